@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.llm.decontamination import op3_decontamination
 from tracemill.llm.superminhash import op7_superminhash
 from tracemill.llm.weak_quality import op8_weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op7_superminhash": op7_superminhash,
     "op8_weak_quality": op8_weak_quality,
 }
