@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm.decontamination import op3_decontamination
+from tracemill.llm.packing import op9_packing
 from tracemill.llm.pii import op10_pii
 from tracemill.llm.superminhash import op7_superminhash
 from tracemill.llm.weak_quality import op8_weak_quality
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op7_superminhash": op7_superminhash,
     "op8_weak_quality": op8_weak_quality,
+    "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
 
