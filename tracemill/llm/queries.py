@@ -10,10 +10,12 @@ from tracemill.llm.decontamination import op3_decontamination
 from tracemill.llm.packing import op9_packing
 from tracemill.llm.pfor import op6_pfor
 from tracemill.llm.pii import op10_pii
+from tracemill.llm.suffix_dedup import op1_suffix_dedup
 from tracemill.llm.superminhash import op7_superminhash
 from tracemill.llm.weak_quality import op8_weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op6_pfor": op6_pfor,
     "op7_superminhash": op7_superminhash,
