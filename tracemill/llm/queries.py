@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.llm import sharding
 from tracemill.llm.decontamination import op3_decontamination
 from tracemill.llm.packing import op9_packing
 from tracemill.llm.pfor import op6_pfor
 from tracemill.llm.pii import op10_pii
+from tracemill.llm.sharding import op5_sharding
 from tracemill.llm.suffix_dedup import op1_suffix_dedup
 from tracemill.llm.superminhash import op7_superminhash
 from tracemill.llm.weak_quality import op8_weak_quality
@@ -17,6 +19,7 @@ from tracemill.llm.weak_quality import op8_weak_quality
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_decontamination": op3_decontamination,
+    "op5_sharding": op5_sharding,
     "op6_pfor": op6_pfor,
     "op7_superminhash": op7_superminhash,
     "op8_weak_quality": op8_weak_quality,
@@ -24,4 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_sharding": sharding.sql(),
+}
