@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm import sharding
 from tracemill.llm.decontamination import op3_decontamination
+from tracemill.llm.html_extract import op4_html_extract
 from tracemill.llm.packing import op9_packing
 from tracemill.llm.pfor import op6_pfor
 from tracemill.llm.pii import op10_pii
