@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import sharding
+from tracemill.llm import license_scan, sharding
 from tracemill.llm.decontamination import op3_decontamination
 from tracemill.llm.html_extract import op4_html_extract
+from tracemill.llm.license_scan import op2_license_scan
 from tracemill.llm.packing import op9_packing
 from tracemill.llm.pfor import op6_pfor
 from tracemill.llm.pii import op10_pii
@@ -29,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.sql(),
     "op5_sharding": sharding.sql(),
 }
