@@ -20,7 +20,9 @@ from tracemill.llm.weak_quality import op8_weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_html_extract": op4_html_extract,
     "op5_sharding": op5_sharding,
     "op6_pfor": op6_pfor,
     "op7_superminhash": op7_superminhash,
