@@ -158,11 +158,14 @@ def decode(code: np.ndarray) -> np.ndarray:
     return (code[:, None] // _PLACE[None, :] % 3).astype(np.int8)
 
 
-@F.arrow_udf(LongType())
-def _code(text: pa.Array) -> pa.Array:
+def _encoded(text: pa.Array) -> pa.Array:
     return pa.array(encode(votes(text)), pa.int64())
 
 
+#: Called non-deterministic so that no inferred filter evaluates it a second time.
+_code = F.arrow_udf(_encoded, LongType()).asNondeterministic()
+
+
 def fit(pattern: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over vote patterns: (share of good documents, accuracies, posterior of each pattern).
 
