@@ -1,0 +1,77 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tests.llm.conftest import DATA, prose
+from tracemill.llm import pii
+
+
+def kinds(text):
+    return [(k.removesuffix("_plain"), text[a:b]) for k, a, b, _ in pii.scan(text)]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("write to jo.do+x@mail.example.org now", [("email", "jo.do+x@mail.example.org")]),
+    ("card 4111 1111 1111 1111.", [("card", "4111 1111 1111 1111")]),
+    ("number 4111111111111112 is no card", []),
+    ("IBAN GB82 WEST 1234 5698 7654 32", [("iban", "GB82 WEST 1234 5698 7654 32")]),
+    ("IBAN GB82 WEST 1234 5698 7654 33", []),
+    ("DE89370400440532013000 is one", [("iban", "DE89370400440532013000")]),
+    ("host 10.0.0.254 up", [("ipv4", "10.0.0.254")]),
+    ("version 300.1.1.1 or 1.2.3.4.5", []),
+    ("ssn 123-45-6789", [("us_ssn", "123-45-6789")]),
+    ("ssn 000-45-6789", []),
+    ("call +1 (017) 555-7713 today", [("phone", "+1 (017) 555-7713")]),
+    ("phone 555 123 4567", [("phone", "555 123 4567")]),
+    ("sum 555 123 4567", []),
+    ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', [("secret", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"')]),
+    ("password: correcthorse", [("secret", "password: correcthorse")]),
+    ("nothing here", []),
+    ("", []),
+])
+def test_spans(text, want):
+    assert kinds(text) == want
+
+
+def test_context_raises_the_score():
+    near, far = pii.scan("visa 4111111111111111")[0], pii.scan("thing 4111111111111111")[0]
+    assert near[3] == 1.0 and far[3] == 0.7
+
+
+@given(st.text(alphabet="0123456789", min_size=12, max_size=18))
+@settings(max_examples=80, deadline=None)
+def test_luhn_finds_the_one_right_digit(body):
+    ok = [d for d in "0123456789" if pii.luhn(body + d)]
+    assert len(ok) == (1 if len(set(body + (ok or ["x"])[0])) > 1 else 0) or len(set(body)) == 1
+
+
+@given(st.text(alphabet="ab1 @.:=+-\n4é", max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_texts_that_are_passed_by_hold_nothing(text):
+    import pyarrow as pa
+
+    if not pii.hinted(pa.array([text]))[0]:
+        assert pii.scan(text) == []
+
+
+def test_findings_and_masks_as_one_text_at_a_time(make):
+    secret = "mail a@b.example.com, card 4111111111111111"
+    docs = [(1, secret), (2, None), (3, ""), (None, secret), (4, prose(1, 60_000) + " " + secret), (5, secret), (5, secret), (6, "é " * 5 + secret), (7, "clean text")]
+    want = sorted((d or 0, k.removesuffix("_plain"), a, b, s) for d, t in docs for k, a, b, s in pii.scan(t or ""))
+    assert sorted((r[0] or 0, *r[1:]) for r in pii.findings(make(docs)).collect()) == want and len(want) == 12
+    out = pii.redact(make(docs, {"kind": "clash", "start": "x"}))
+    assert out.columns[-2:] == ["kind", "start"]
+    got = sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in out.collect())
+    assert got == sorted((d or 0, pii.mask(t or ""), len(pii.mask(t or ""))) for d, t in docs)
+    assert pii.mask(secret) == "mail [EMAIL], card [CARD]"
+
+
+def test_empty(make):
+    assert pii.findings(make([])).count() == 0 and pii.redact(make([])).count() == 0
+
+
+def test_query_on_the_small_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()
+    want = sorted((r.doc_id, k.removesuffix("_plain"), a, b, s) for r in docs for k, a, b, s in pii.scan(r.text))
+    assert sorted(tuple(r) for r in pii.op10_pii(spark, f"{DATA}/sf0.01").collect()) == want
+    assert want
