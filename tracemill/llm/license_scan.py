@@ -100,15 +100,16 @@ def scan(files: DataFrame) -> DataFrame:
     )
     # (doc_id, path, segments): the texts are left behind here.
     cues = settle(cues.withColumn("row", F.monotonically_increasing_id()))
-    found = cues.select("row", F.explode("segments").alias("segment"))
-    distinct = found.select("segment").distinct().select("segment", terms(F.col("segment")).alias("terms"))
+    # A segment goes by its digest: its words would else be carried with each of its terms.
+    said = cues.select("row", F.explode("segments").alias("said")).withColumn("segment", F.md5("said"))
+    found = said.select("row", "segment", F.size(terms(F.col("said"))).alias("size"))
+    distinct = said.groupBy("segment").agg(F.any_value("said").alias("said")).select("segment", terms(F.col("said")).alias("terms"))
     left = _weighed(distinct, "segment", idf, unseen)
     right = _weighed(templates, "template", idf, unseen).select("template", "term", F.col("w").alias("v"))
     cosine = left.join(F.broadcast(right), "term").groupBy("segment", "template").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine")).filter(F.col("cosine") >= MIN_COSINE)
     named = cosine.join(F.broadcast(templates.select("template", "licence")), "template")
     best = found.join(named.groupBy("segment").agg(F.max(F.struct("cosine", (-F.col("template")).alias("last"), "licence")).alias("b")), "segment")
-    size = F.size(terms(F.col("segment")))
-    own = best.groupBy("row").agg(F.max(F.struct(F.col("b.cosine").alias("cosine"), F.col("b.last").alias("last"), F.col("b.licence").alias("licence"), size.alias("size"))).alias("b"))
+    own = best.groupBy("row").agg(F.max(F.struct(F.col("b.cosine").alias("cosine"), F.col("b.last").alias("last"), F.col("b.licence").alias("licence"), "size")).alias("b"))
     docs = cues.join(own, "row", "left").select(
         "doc_id", "path", F.col("b.licence").alias("own_licence"), F.col("b.cosine").alias("cosine"),
         F.coalesce(F.col("b").isNotNull() & (F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (F.col("b.size") >= FILE_SHARE * F.col("n_terms"))), F.lit(False)).alias("is_file"),
