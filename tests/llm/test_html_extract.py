@@ -19,7 +19,7 @@ def naive(tree):
     blocks = [any(inside(x, a) and x != a and tree.tag[x] in he.BLOCK for x in range(n)) for a in range(n)]
     total, seen = [0.0] * n, [False] * n
     for p in range(1, n):
-        if (tree.tag[p] in he.PARAGRAPH or tree.tag[p] in ("div", "section", "article")) and not blocks[p] and chars[p] >= he.MIN_CHARS and not any(tree.tag[x] in he.ASIDE and inside(p, x) for x in range(n)):
+        if (tree.tag[p] in he.PARAGRAPH or tree.tag[p] in ("div", "section", "article")) and not blocks[p] and chars[p] >= he.MIN_CHARS and not any(he.set_aside(tree, x) and inside(p, x) for x in range(1, n)):
             worth, up, level = 1 + "".join(text(p)).count(",") + min(chars[p] // 100, 3), tree.parent[p], 0
             while up > 0:
                 total[up] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -71,7 +71,7 @@ def test_good_siblings_are_kept():
 
 
 @pytest.mark.parametrize("h,want", [
-    (None, ("", "", 0.0)), ("", ("", "", 0.0)), ("plain text", ("", "", 0.0)), ("<p>short</p>", ("", "", 0.0)), ("<title>x</title>", ("x", "", 0.0)),
+    (None, ("", "", 0.0)), ("", ("", "", 0.0)), ("plain text", ("", "", 0.0)), ("<p>short</p>", ("", "", 0.0)), ("<title>x</title>", ("x", "", 0.0)), ("<nav>n</nav><article><p>tiny</article>", ("", "tiny", 0.0)),
     ("</div></p><", ("", "", 0.0)), ("<a <b <p>", ("", "", 0.0)), ("<script>never closed", ("", "", 0.0)), ("<!-- never closed", ("", "", 0.0)), ('<p title="never closed>', ("", "", 0.0)),
 ])
 def test_odd_pages(h, want):

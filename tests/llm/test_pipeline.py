@@ -15,7 +15,7 @@ def test_stages():
 def folder(spark, make, tmp_path):
     item = " ".join(f"bench{i} item" for i in range(12))
     good = [varied(i) for i in range(30)]
-    texts = [*good, *JUNK, good[0], good[1] + " One.", good[2].replace(".", " " + item + ".", 1), good[29] + " Mail me at a.b@mail.example.com today."]
+    texts = [*good, *JUNK, good[0], good[1] + " One.", varied(50).replace(".", " " + item + ".", 1), varied(51) + " Mail me at a.b@mail.example.com today."]
     make(texts).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path), texts

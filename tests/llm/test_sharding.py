@@ -48,7 +48,9 @@ def test_movement_is_confined_to_the_subtree(spark):
     inside = sh.moves(df, sh.tree(spec), sh.tree(same_sum)).collect()
     assert inside and {(r["from"], r["to"]) for r in inside} == {("a/x/1", "a/x/2")}
     gained = sh.moves(df, sh.tree(spec), sh.tree(more)).collect()
-    assert gained and all(r["to"] == "b/x/1" for r in gained)
+    # b, b/x and b/x/1 all weigh more: what moves goes into b, and inside b to b/x/1 only; nothing moves inside a.
+    assert gained and all(r["to"].startswith("b/") for r in gained)
+    assert {r["to"] for r in gained if r["from"].startswith("b/")} == {"b/x/1"}
     assert len(gained) < 3000 * 0.3
 
 

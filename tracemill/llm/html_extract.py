@@ -8,7 +8,9 @@ it finds open and is dropped if it finds nothing.
 Paragraphs (p, pre, td, blockquote, li, and a div or section that holds no
 block) of MIN_CHARS characters pass points to their ancestors: 1, 1 for each
 comma, 1 for each 100 characters up to 3.  The parent gets all of them, the
-grandparent half, the levels above that 1/(3 * level).  An ancestor's points
+grandparent half, the levels above that 1/(3 * level).  What is navigation, a
+form or the like by its tag, or an advertisement, menu or the like by its class
+or id, is left out.  An ancestor's points
 start from its tag and from words in its class and id, and are discounted at
 the end by link density, the share of its text in links.  The best container is
 kept whole but for parts that are mostly links, and so are siblings of the best
@@ -16,8 +18,9 @@ that score a fifth of it (10 at least), and sibling paragraphs with few links.
 
 Pages are independent: one pass in Arrow batches without a shuffle.
 
-Defined cases: null or empty html, or a page without a paragraph that scores,
-gives an empty text and score 0; broken markup is read as above; ties go to the
+Defined cases: null or empty html gives an empty text and score 0; a page without
+a paragraph that scores gives its first article or main element, and nothing if
+it has none, with score 0; broken markup is read as above; ties go to the
 container that comes first; very long pages are read whole; rows that repeat
 are each extracted; an empty table gives no rows; further columns are not
 carried.
@@ -113,6 +116,14 @@ class Tree:
         self._close(open_, tag, ("table",) if tag not in ("table", "html", "body", "article", "main", "section", "div") else ())
 
 
+def set_aside(tree: Tree, i: int) -> bool:
+    """Whether an element is no content by its tag, or by its class and id."""
+    if tree.tag[i] in ASIDE:
+        return True
+    named = tree.named[i]
+    return bool(named) and tree.tag[i] not in ("html", "body", "main", "article") and bool(BAD_WORDS.search(named)) and not GOOD_WORDS.search(named)
+
+
 def weigh(tree: Tree) -> tuple[list[float], list[int], list[int], list[bool]]:
     """(score, characters, characters in links, is a paragraph) of each element."""
     n = len(tree.tag)
@@ -133,7 +144,7 @@ def weigh(tree: Tree) -> tuple[list[float], list[int], list[int], list[bool]]:
     outside = [False] * n
     points: dict[int, float] = {}
     for i in range(1, n):
-        outside[i] = outside[tree.parent[i]] or tree.tag[i] in ASIDE
+        outside[i] = outside[tree.parent[i]] or set_aside(tree, i)
         if outside[i] or not paragraph[i] or chars[i] < MIN_CHARS:
             continue
         worth = 1.0 + commas[i] + min(chars[i] // 100, 3)
@@ -158,17 +169,22 @@ def extract(page: str | None) -> tuple[str, str, float]:
     n = len(tree.tag)
     best = max(range(n), key=lambda i: (score[i], -i))
     if score[best] <= 0:
-        return tree.title, "", 0.0
+        best = next((i for i in range(1, n) if tree.tag[i] in ("article", "main")), 0)
+        if not best:
+            return tree.title, "", 0.0
+        score[best] = 0.0
     density = [linked[i] / chars[i] if chars[i] else 0.0 for i in range(n)]
     least = max(10.0, 0.2 * score[best])
     kept = [False] * n
     for i in range(1, n):
         if i == best:
             kept[i] = True
-        elif tree.parent[i] == tree.parent[best] and tree.tag[i] not in ASIDE:
+        elif set_aside(tree, i):
+            kept[i] = False
+        elif tree.parent[i] == tree.parent[best]:
             kept[i] = score[i] >= least or (paragraph[i] and tree.tag[i] == "p" and chars[i] > 80 and density[i] < 0.25)
         elif kept[tree.parent[i]]:
-            kept[i] = tree.tag[i] not in ASIDE and not (tree.tag[i] in ("ul", "ol", "div", "table", "section") and density[i] > 0.5)
+            kept[i] = not (tree.tag[i] in ("ul", "ol", "div", "table", "section") and density[i] > 0.5)
     lines: list[str] = []
     last, line = -1, []
     block = [0] * n
