@@ -1,0 +1,208 @@
+"""OTLP decoding, the Parquet store, results and feedback."""
+
+import json
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from tracemill.engine import Engine
+from tracemill.schema import LOGS, SIGNALS
+from tracemill.sources import feedback, otlp, results, store
+from tracemill.streaming import ingest
+
+H = store.HOUR
+
+
+def kv(**values):
+    def any_value(v):
+        if isinstance(v, bool):
+            return {"boolValue": v}
+        if isinstance(v, int):
+            return {"intValue": str(v)}
+        if isinstance(v, float):
+            return {"doubleValue": v}
+        if isinstance(v, list):
+            return {"arrayValue": {"values": [any_value(x) for x in v]}}
+        return {"stringValue": v} if isinstance(v, str) else v
+
+    return [{"key": k, "value": any_value(v)} for k, v in values.items()]
+
+
+def log_request(*records, scope=None, resource=None):
+    return {"resourceLogs": [{"resource": {"attributes": resource if resource is not None else kv(**{"service.name": "api"})}, "scopeLogs": [{"scope": scope or {"name": "lib", "version": "1"}, "logRecords": list(records)}]}]}
+
+
+def decode(spark, signal, *requests):
+    df = spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in requests], "value string")
+    out = otlp.DECODERS[signal](df)
+    assert [(f.name, f.dataType) for f in out.schema.fields] == [(f.name, f.dataType) for f in SIGNALS[signal].fields]
+    return [r.asDict() for r in out.collect()]
+
+
+def test_logs(spark):
+    full = {"timeUnixNano": "1700000000000000000", "observedTimeUnixNano": "1700000000000000005", "severityNumber": 17, "severityText": "ERROR", "body": {"stringValue": 'broke "here"'}, "traceId": "0af7651916cd43dd8448eb211c80319c", "spanId": "b7ad6b7169203331",
+            "attributes": kv(s="x\"y", b=True, i=7, d=1.5, a=["p", 2, [False]])}
+    bare = {"timeUnixNano": 5, "body": {"intValue": "3"}, "traceId": "short", "severityText": ""}
+    a, b = decode(spark, "logs", log_request(full, bare))
+    assert a["timestamp_ns"] == 1700000000000000000 and a["observed_timestamp_ns"] == a["timestamp_ns"] + 5
+    assert a["trace_id"].hex() == full["traceId"] and a["span_id"].hex() == full["spanId"]
+    assert a["body"] == 'broke "here"' and a["severity_number"] == 17 and a["scope_name"] == "lib"
+    assert json.loads(a["attributes"]) == {"s": 'x"y', "b": True, "i": 7, "d": 1.5, "a": ["p", 2, [False]]}
+    assert json.loads(a["resource_attributes"]) == {"service.name": "api"}
+    assert (b["timestamp_ns"], b["observed_timestamp_ns"], b["body"], b["trace_id"], b["severity_text"], b["severity_number"], b["attributes"]) == (5, 5, "3", None, None, 0, None)
+
+
+def test_unknown_values_are_empty_text(spark):
+    (r,) = decode(spark, "logs", log_request({"timeUnixNano": "x", "attributes": [{"key": "m", "value": {"kvlistValue": {}}}, {"key": "n"}, {"key": "i", "value": {"intValue": 4}}]}, resource=[]))
+    assert json.loads(r["attributes"]) == {"m": "", "n": "", "i": 4} and r["timestamp_ns"] == 0 and r["resource_attributes"] is None and r["body"] is None
+
+
+def test_rows_that_are_no_requests(spark):
+    assert decode(spark, "logs", "", "not json", "{}", '{"resourceLogs": []}', '{"resourceLogs": [{"scopeLogs": []}]}') == []
+
+
+def test_metrics(spark):
+    point = {"timeUnixNano": "10", "startTimeUnixNano": "4", "asDouble": 0.5, "attributes": kv(host="h")}
+    metrics = [{"name": "cpu", "unit": "1", "description": "", "gauge": {"dataPoints": [point, {"timeUnixNano": "11", "asInt": "9"}]}}, {"name": "req", "sum": {"dataPoints": [{"timeUnixNano": "12", "asInt": 8}], "isMonotonic": True}}, {"name": "h", "histogram": {"dataPoints": [{"count": "3"}]}}]
+    rows = decode(spark, "metrics", {"resourceMetrics": [{"scopeMetrics": [{"metrics": metrics}]}]})
+    brief = sorted((r["timestamp_ns"], r["name"], r["metric_type"], r["value_double"], r["value_int"], r["start_timestamp_ns"], r["unit"], r["description"]) for r in rows)
+    assert brief == [(10, "cpu", 0, 0.5, None, 4, "1", None), (11, "cpu", 0, None, 9, None, "1", None), (12, "req", 1, None, 8, None, None, None)]
+
+
+def test_spans(spark):
+    good = {"traceId": "0af7651916cd43dd8448eb211c80319c", "spanId": "b7ad6b7169203331", "parentSpanId": "", "name": "GET", "kind": 2, "startTimeUnixNano": "1000000000", "endTimeUnixNano": "1500000000", "status": {"code": 2, "message": "no"},
+            "events": [{"timeUnixNano": "7", "name": "e", "attributes": kv(k="v")}], "links": [{"traceId": "0" * 32, "spanId": "1" * 16}, {"traceId": "bad", "spanId": "1" * 16}]}
+    backwards = good | {"startTimeUnixNano": "9", "endTimeUnixNano": "2", "parentSpanId": "00000000000000ff", "events": None, "links": None}
+    not_hex = good | {"spanId": "b7ad6b716920333g"}
+    short = good | {"traceId": "0af7"}
+    rows = decode(spark, "traces", {"resourceSpans": [{"scopeSpans": [{"spans": [good, backwards, not_hex, short]}]}]})
+    assert [r["duration_ns"] for r in rows] == [500_000_000, 0]
+    a, b = rows
+    assert a["parent_span_id"] is None and b["parent_span_id"].hex() == "00000000000000ff" and a["status_code"] == 2 and a["kind"] == 2
+    assert json.loads(a["events"]) == [{"timestamp_ns": 7, "name": "e", "attributes": {"k": "v"}}] and b["events"] == b["links"] == "[]"
+    assert json.loads(a["links"]) == [{"trace_id": "0" * 32, "span_id": "1" * 16, "attributes": {}}]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "a.json").write_text(json.dumps(log_request({"timeUnixNano": "1"}), indent=1))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(log_request({"timeUnixNano": str(i)})) for i in range(3)))
+    assert otlp.read(spark, str(tmp_path / "whole"), "logs").count() == 1
+    assert otlp.read(spark, str(tmp_path / "lines.json"), "logs", lines=True).count() == 3
+
+
+def log_rows(spark, times):
+    rows = [(t, t, None, None, 9, "INFO", f"at {t}", '{"env":"test"}', '{"service.name":"s"}', None, None, None) for t in times]
+    return spark.createDataFrame(rows, LOGS)
+
+
+def test_store_prunes_partitions(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    store.write(log_rows(spark, [3000, 1000, 2000, H + 5, 5 * H, 5 * H + 1]), "logs", path)
+    assert sorted(store.parts(spark, path)) == [0, H, 5 * H]
+    e = store.register(Engine(spark, now=lambda: 6 * H), "logs", path)
+    df = e.query(f"select timestamp_ns from logs where timestamp_ns > now() - 5h - 1us and timestamp_ns <= {5 * H} order by timestamp_ns")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # now() - 5h is H: the partitions before H's and after 5 H's aren't read. The microsecond reaches into the one before.
+    assert f"(part#" in plan and f">= 0)" in plan and f"<= {5 * H})" in plan
+    assert [r[0] for r in df.collect()] == [H + 5, 5 * H]
+    only = e.query(f"select count(*) from logs where timestamp_ns between {H} and {2 * H}")
+    assert only.first()[0] == 1 and len(only.inputFiles()) >= 1
+    assert store.read(spark, path, H, 2 * H).count() == 1
+
+
+def test_files_are_sorted_by_time(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    store.write(log_rows(spark, [3000, 1000, 2000]).coalesce(1), "logs", path)
+    import pyarrow.parquet as pq
+
+    (f,) = (tmp_path / "logs" / "part=0").glob("*.parquet")
+    assert pq.read_table(f)["timestamp_ns"].to_pylist() == [1000, 2000, 3000]
+    assert pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_compaction(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    for k in range(4):
+        store.write(log_rows(spark, [k, 10 - k, H + k] if k < 2 else [k, 10 - k]).coalesce(1), "logs", path)
+    before = sorted(tuple(r) for r in store.read(spark, path).collect())
+    assert store.parts(spark, path) == {0: 4, H: 2}
+    assert store.compact(spark, "logs", path) == [0]
+    assert store.parts(spark, path) == {0: 1, H: 2}
+    assert sorted(tuple(r) for r in store.read(spark, path).collect()) == before
+    assert not [p for p in (tmp_path / "logs").iterdir() if p.name.startswith("_") and p.name != "_SUCCESS"]
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**62), st.text(alphabet="abc xyz", max_size=64)), min_size=1, max_size=30))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+def test_rows_survive_writing(spark, tmp_path, rows):
+    import uuid
+
+    path = str(tmp_path / uuid.uuid4().hex)
+    df = spark.createDataFrame([(t, t, None, None, 9, None, b, None, None, None, None, None) for t, b in rows], LOGS)
+    store.write(df, "logs", path, width=2**60)
+    assert sorted((r.timestamp_ns, r.body) for r in store.read(spark, path).collect()) == sorted(rows)
+
+
+def test_stream_to_store(spark, tmp_path):
+    landing, out, check = (str(tmp_path / n) for n in ("landing", "store", "check"))
+    (tmp_path / "landing").mkdir()
+
+    def land(name, *times):
+        (tmp_path / "landing" / name).write_text(json.dumps(log_request(*({"timeUnixNano": str(t)} for t in times))))
+
+    land("a.json", 5, H + 1)
+    land("b.json", 6)
+    ingest.ingest(spark, landing, out, check, "logs", files_per_trigger=1).awaitTermination()
+    land("c.json", 2, 3 * H)
+    ingest.ingest(spark, landing, out, check, "logs").awaitTermination()
+    ingest.ingest(spark, landing, out, check, "logs").awaitTermination()
+    rows = sorted((r.timestamp_ns, r.part) for r in store.read(spark, out).collect())
+    assert rows == [(2, 0), (5, 0), (6, 0), (H + 1, H), (3 * H, 3 * H)]
+
+
+@pytest.mark.parametrize("build,want", [
+    (lambda d: ingest.windowed_counts(d, "logs", ["body"], "10 seconds", "0 seconds"), [("a", 2), ("a", 1), ("b", 1)]),
+    (lambda d: ingest.sessions(d, "logs", ["body"], "5 seconds", "0 seconds"), [("a", 2), ("a", 1), ("b", 1)]),
+])
+def test_streaming_aggregates(spark, tmp_path, build, want):
+    S = 10**9
+    rows = [(1 * S, "a"), (3 * S, "a"), (2 * S, "b"), (21 * S, "a"), (900 * S, "end")]
+    spark.createDataFrame(rows, "timestamp_ns long, body string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("timestamp_ns long, body string").parquet(str(tmp_path / "in"))
+    q = build(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.schema("start timestamp, end timestamp, body string, n long").parquet(str(tmp_path / "out")).filter("body != 'end'")
+    assert sorted((r.body, -r.n) for r in got.collect()) == sorted((b, -n) for b, n in want)
+
+
+def test_stream_takes_keys_once(spark, tmp_path):
+    rows = [(10**9, "x"), (2 * 10**9, "x"), (2 * 10**9, "y")]
+    spark.createDataFrame(rows, "timestamp_ns long, body string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("timestamp_ns long, body string").parquet(str(tmp_path / "in"))
+    ingest.once(stream, "logs", ["body"], "1 hour").writeStream.format("memory").queryName("once_rows").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.body for r in spark.table("once_rows").collect()) == ["x", "y"]
+
+
+def test_results(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, "ü")], "a int, b string, c string")
+    assert [json.loads(r.value) for r in results.ndjson(df).collect()] == [{"a": 1, "b": None, "c": "ü"}]
+    results.write_ndjson(df, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    assert results.arrow(df).to_pydict() == {"a": [1], "b": [None], "c": ["ü"]}
+
+
+def test_feedback(spark, tmp_path):
+    clock = iter(range(100))
+    f = feedback.Feedback(spark, str(tmp_path / "f"), now=lambda: next(clock))
+    a, b, c = f.add("qa", "select 1"), f.add("qb", "select 2"), f.add("qc", "select 3")
+    f.rate(a, True)
+    f.rate(b, False)
+    f.rate(c, True)
+    f.rate(a, False)
+    f.rate(b, True)
+    assert f.history().count() == 3
+    assert f.examples() == [("qb", "select 2"), ("qc", "select 3")] and f.examples(1) == [("qb", "select 2")]
+    with pytest.raises(KeyError):
+        f.rate("none", True)

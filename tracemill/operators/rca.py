@@ -41,22 +41,29 @@ def anomalies(df: DataFrame, columns: list[str], keys: list[str] = (), limit: fl
     return long.withColumn("z", F.abs(F.col("value") - F.col("m")) / F.col("s")).filter(F.col("z") > limit).select(*keys, "column", "value", F.round("z", 2).alias("z"))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson's r over rows where both are known; null where either is constant (corr is an error there)."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, columns: list[str], limit: float = R_LIMIT) -> DataFrame:
     """a, b, r of each pair of columns with |r| of `limit` at least, over LEAST_ROWS rows at least; r to 3 places. One aggregation."""
     pairs = list(combinations(columns, 2))
     shape = "a string, b string, r double"
     if not pairs:
         return df.sparkSession.createDataFrame([], shape)
-    r = df.agg(F.count("*").alias("n"), *[F.corr(as_number(df, a), as_number(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    r = df.agg(F.count("*").alias("n"), *[pearson(as_number(df, a), as_number(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]))
-    return r.filter(F.col("n") >= LEAST_ROWS).select(each.alias("e")).select("e.*").filter((~F.isnan("r")) & (F.abs("r") >= limit)).select("a", "b", F.round("r", 3).alias("r"))
+    return r.filter(F.col("n") >= LEAST_ROWS).select(each.alias("e")).select("e.*").filter(F.abs("r") >= limit).select("a", "b", F.round("r", 3).alias("r"))
 
 
 def lag_correlations(df: DataFrame, time: str, a: str, b: str, bucket_ns: int, lags: range) -> DataFrame:
     """lag, n, r: Pearson r of a's bucket means with b's, lag buckets later; one row a lag."""
     means = df.groupBy((F.floor(F.col(time) / F.lit(bucket_ns))).alias("t")).agg(F.avg(a).alias("a"), F.avg(b).alias("b"))
     shifted = means.select(F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"), "t", "a").select("lag", (F.col("t") + F.col("lag")).alias("t"), "a")
-    return shifted.join(means.select("t", "b"), "t").groupBy("lag").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
+    return shifted.join(means.select("t", "b"), "t").groupBy("lag").agg(F.count("*").alias("n"), pearson(F.col("a"), F.col("b")).alias("r"))
 
 
 def p_value(r: float, n: int) -> float:

@@ -167,6 +167,9 @@ class Lowering:
             return self.call(e)
         raise BindError("* is allowed in SELECT and count(*) only")
 
+    def condition(self, e: s.Expr) -> Column:
+        return F.lit(None).cast("boolean") if e == s.Literal(None) else self.column(e)
+
     def quotient(self, a: Column, b: Column) -> Column:
         """Of whole numbers, truncated, and an error for a zero divisor; else a double, null for a zero divisor."""
         if isinstance(self.kind(a), T.IntegralType) and isinstance(self.kind(b), T.IntegralType):
@@ -279,10 +282,10 @@ class Lowering:
                 right = right.hint(self.join_hint)
             on = self.bound(j.on, {}, False)
             left, self.df = self.df, self.df.join(right)  # for types
-            on = self.column(on)
+            on = self.condition(on)
             self.df = left.join(right, on, j.how)
         if where is not None:
-            self.df = self.df.filter(self.column(where))
+            self.df = self.df.filter(self.condition(where))
 
         aliases: dict[str, s.Expr] = {}
         items: list[tuple[s.Expr, str]] = []
@@ -314,7 +317,7 @@ class Lowering:
         if keys or calls:
             self.group(keys, list(calls))
         if having is not None:
-            self.df = self.df.filter(self.column(having))
+            self.df = self.df.filter(self.condition(having))
 
         shown = [self.column(e).alias(name) for e, name in items]
         if q.distinct:
