@@ -19,7 +19,9 @@ digit 3   32 bits of the hash of its second half.
 
 Passes 2 and 3 work on the groups of pass 1, in the task that got them.  Two
 windows that differ agree in all digits with a chance of 2**-64 among those of
-one first digit.
+one first digit.  Windows that repeat within one piece of input are reported
+where they are read, and only the first of them is sent, as reported: so what a
+task gets of a passage grows with the pieces that hold it, not with its copies.
 
 Words are what stands between ASCII white space, with case and punctuation.
 Groups may lie in one document or in many; touching and overlapping repeated
@@ -38,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,9 @@ from tracemill.llm.cluster import prepare
 
 THRESHOLD = 50
 GRAM = 16
+#: end_word is set where a span is known to repeat and passes through; told: the suffixes were reported already.
+SCHEMA = "digit long, doc_id long, first_word int, end_word int, told boolean, rest binary"
+NAMES = ["digit", "doc_id", "first_word", "end_word", "told", "rest"]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -70,6 +76,26 @@ def suffix_digits(words: tk.Words, depth: int, gram: int) -> tuple[np.ndarray, n
     return at, least, (front >> tk.U(32) << tk.U(32)) | (back >> tk.U(32))
 
 
+def told_here(first: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which suffixes share all digits with another one here, which of those aren't the first of their kind)."""
+    order = np.lexsort([rest, first])
+    f, r = first[order], rest[order]
+    same = (f[1:] == f[:-1]) & (r[1:] == r[:-1])
+    again, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    again[order[1:]] = same
+    later[order[1:]] = same
+    again[order[:-1]] |= same
+    return again, later
+
+
+def _starts(*columns: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Where a new run begins: a column changes, or step doesn't go up by one."""
+    new = step[1:] != step[:-1] + 1
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.concatenate([[True], new])) if len(step) else np.zeros(0, np.int64)
+
+
 def _digits(depth: int, gram: int):
     def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,13 +105,26 @@ def _digits(depth: int, gram: int):
                 if not len(at):
                     continue
                 row = w.row[at]
-                start = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (row[1:] != row[:-1])]))
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
+                again, later = told_here(first, rest)
+                # Known to repeat: spans that only pass through, spread over the tasks.
+                known = np.flatnonzero(again)
+                if len(known):
+                    start = _starts(row[known], step=at[known])
+                    end = np.concatenate([start[1:], [len(known)]]) - 1
+                    r, n = row[known[start]], len(start)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(tk.mix(at[known[start]].astype(tk.U) + ids[r].view(tk.U) * tk.GOLD).view(np.int64)), pa.array(ids[r]), pa.array((at[known[start]] - w.first[r]).astype(np.int32)),
+                        pa.array((at[known[end]] - w.first[r] + depth).astype(np.int32)), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.binary()),
+                    ], NAMES)
+                sent = np.flatnonzero(~later)
+                first, rest, row, at, again = first[sent], rest[sent], row[sent], at[sent], again[sent]
+                start = _starts(first, row, again, step=at)
                 edge = np.concatenate([start, [len(at)]]) * 8
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(first[start].view(np.int64)), pa.array(ids[row[start]]), pa.array((at[start] - w.first[row[start]]).astype(np.int32)),
-                    pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(rest)]),
-                ], ["digit", "doc_id", "first_word", "rest"])
+                    pa.array(first[start].view(np.int64)), pa.array(ids[row[start]]), pa.array((at[start] - w.first[row[start]]).astype(np.int32)), pa.nulls(len(start), pa.int32()), pa.array(again[start]),
+                    pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rest))]),
+                ], NAMES)
 
     return digits
 
@@ -130,9 +169,16 @@ class _Sorter:
         self.depth = depth
         self.held = (np.zeros(0, np.int64), np.zeros(0, tk.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
 
-    def take(self, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        known = batch.column(3).is_valid()
+        if known.true_count:
+            yield batch.filter(known).select([1, 2, 3]).rename_columns(["doc_id", "first_word", "end_word"])
+            batch = batch.filter(pc.invert(known))
+        if not batch.num_rows:
+            return
         digit, doc, word = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
-        rest, off = _binary(batch.column(3))
+        flag = batch.column(4).to_numpy(zero_copy_only=False)
+        rest, off = _binary(batch.column(5))
         sizes = np.diff(off) // 8
         owner = np.repeat(np.arange(len(sizes)), sizes)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -141,7 +187,7 @@ class _Sorter:
         rest = np.concatenate([self.held[1], rest])
         doc = np.concatenate([self.held[2], doc[owner]])
         word = np.concatenate([self.held[3], word[owner] + inside])
-        told = np.concatenate([self.held[4], np.zeros(len(owner), bool)])
+        told = np.concatenate([self.held[4], flag[owner]])
         live = np.flatnonzero(together(digit))
         found = live[radix_passes(digit[live], rest[live])]
         again = np.zeros(len(digit), bool)
@@ -152,11 +198,11 @@ class _Sorter:
         tell = np.flatnonzero(again & ~told)
         self.held = (digit[keep], rest[keep], doc[keep], word[keep], told[keep] | again[keep])
         if not len(tell):
-            return None
+            return
         d, w = doc[tell], word[tell]
         new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1] + 1) | (tell[1:] <= old)]))
         end = np.concatenate([new[1:], [len(tell)]]) - 1
-        return pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(w[new].astype(np.int32)), pa.array((w[end] + self.depth).astype(np.int32))], ["doc_id", "first_word", "end_word"])
+        yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(w[new].astype(np.int32)), pa.array((w[end] + self.depth).astype(np.int32))], ["doc_id", "first_word", "end_word"])
 
 
 def _repeated(depth: int):
@@ -164,9 +210,7 @@ def _repeated(depth: int):
         sorter = _Sorter(depth)
         for batch in batches:
             if batch.num_rows:
-                out = sorter.take(batch)
-                if out is not None:
-                    yield out
+                yield from sorter.take(batch)
 
     return repeated
 
@@ -183,7 +227,7 @@ def repeated_spans(docs: DataFrame, depth: int = THRESHOLD, gram: int = GRAM) ->
     """doc_id, first_word, end_word: the maximal spans of each document that repeated windows of `depth` words cover."""
     prepare(docs.sparkSession)
     text = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = text.mapInArrow(_digits(depth, min(gram, depth)), "digit long, doc_id long, first_word int, rest binary")
+    rows = text.mapInArrow(_digits(depth, min(gram, depth)), SCHEMA)
     found = rows.repartition("digit").sortWithinPartitions("digit").mapInArrow(_repeated(depth), "doc_id long, first_word int, end_word int")
     order = Window.partitionBy("doc_id").orderBy("first_word", "end_word")
     before = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
