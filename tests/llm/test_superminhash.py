@@ -55,6 +55,14 @@ def test_signature_is_that_of_the_published_algorithm():
     assert np.array_equal(sm.signatures(np.zeros(9, np.int64), elements, 1, m)[0], want)
 
 
+def test_blocks_of_elements_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    row, element = np.sort(rng.integers(0, 9, 4000)), rng.integers(0, 2**63, 4000).astype(np.uint64)
+    whole = sm.signatures(row, element, 10)
+    monkeypatch.setattr(sm, "BLOCK", 70)
+    assert np.array_equal(sm.signatures(row, element, 10), whole)
+
+
 def test_groups_against_all_pairs(make):
     docs, clean = [], []
     for g in range(25):

@@ -37,6 +37,13 @@ def test_equal_windows_hash_alike_and_others_differ(texts, k):
     assert n == sum(max(0, len((t or "").split()) - k + 1) for t in texts)
 
 
+def test_long_texts_hash_in_pieces(monkeypatch):
+    data, off = tk.buffers(pa.array(["alpha beta gamma " * 50, "x" * 500 + " delta"]))
+    whole = tk.Words(data, off).hash
+    monkeypatch.setattr(tk, "CHUNK_BYTES", 8)
+    assert np.array_equal(tk.Words(data, off).hash, whole)
+
+
 def test_slices_and_large_strings():
     a = pa.array(["x y", None, "z é", "y"])
     for column in (a.slice(1), a.cast(pa.large_string()).slice(1), pa.chunked_array([a.slice(1, 1), a.slice(2)])):

@@ -42,29 +42,36 @@ from tracemill.llm.components import components
 SHINGLE = 3
 M, BANDS, ROWS = 128, 32, 4
 THRESHOLD = 0.5
+#: Elements whose permutations are held at once (M bytes each).
+BLOCK = 1 << 17
 
 _EMPTY = np.iinfo(np.uint64).max
 _RANK = tk.U(40)
 
 
 def signatures(row: np.ndarray, element: np.ndarray, rows: int, m: int = M) -> np.ndarray:
-    """rows x m SuperMinHash values (rank in the high bits, fraction in the low 40); _EMPTY for rows without elements."""
+    """rows x m SuperMinHash values (rank in the high bits, fraction in the low 40); _EMPTY for rows without elements.
+
+    Elements are taken BLOCK at a time, each with its permutation; what a
+    document's earlier elements gave lets its later ones stop sooner.
+    """
     sig = np.full(rows * m, _EMPTY, np.uint64)
-    place = np.empty((len(element), m), np.uint8 if m <= 256 else np.uint16)
-    place[:] = np.arange(m, dtype=place.dtype)
-    base = row * m
-    at = np.arange(len(element))
-    for j in range(m):
-        x = tk.mix(element[at] + tk.U((j + 1) * int(tk.GOLD) % 2**64))
-        k = (((x >> tk.U(32)) * tk.U(m - j)) >> tk.U(32)).astype(np.int64) + j
-        to = place[at, k]
-        place[at, k] = place[at, j]
-        value = (tk.U(j) << _RANK) | ((x * tk.GOLD) >> tk.U(24))
-        np.minimum.at(sig, base[at] + to, value)
-        done = sig.reshape(rows, m).max(1) < (j + 1) << 40
-        at = at[~done[row[at]]]
-        if not len(at):
-            break
+    place = np.empty((min(len(element), BLOCK), m), np.uint8 if m <= 256 else np.uint16)
+    for a in range(0, len(element), BLOCK):
+        e, base = element[a : a + BLOCK], row[a : a + BLOCK] * m
+        place[:] = np.arange(m, dtype=place.dtype)
+        at = np.arange(len(e))
+        for j in range(m):
+            x = tk.mix(e[at] + tk.U((j + 1) * int(tk.GOLD) % 2**64))
+            k = (((x >> tk.U(32)) * tk.U(m - j)) >> tk.U(32)).astype(np.int64) + j
+            to = place[at, k]
+            place[at, k] = place[at, j]
+            value = (tk.U(j) << _RANK) | ((x * tk.GOLD) >> tk.U(24))
+            np.minimum.at(sig, base[at] + to, value)
+            done = sig.reshape(rows, m).max(1) < (j + 1) << 40
+            at = at[~done[base[at] // m]]
+            if not len(at):
+                break
     return sig.reshape(rows, m)
 
 

@@ -110,7 +110,18 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.rows = len(offsets) - 1
         self.row = np.repeat(np.arange(self.rows), np.diff(self.first))
-        self.hash = span_hash(data.astype(U) + U(1), self.start, self.end, 0)
+        self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """The words' hashes, worked out over about CHUNK_BYTES of text at a time (and a word at least)."""
+        out = np.empty(len(self.start), U)
+        a = 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + 2 * CHUNK_BYTES, "right")))
+            low = self.start[a]
+            out[a:b] = span_hash(self.data[low : self.end[b - 1]].astype(U) + U(1), self.start[a:b] - low, self.end[a:b] - low, 0)
+            a = b
+        return out
 
     def __len__(self) -> int:
         return len(self.start)
