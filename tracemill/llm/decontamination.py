@@ -44,7 +44,7 @@ from tracemill.llm.cluster import prepare
 SHINGLE = 3
 THRESHOLD = 0.7
 #: Shingles of the benchmark that are sent to the executors at a time (16 bytes each).
-SLICE_SHINGLES = 2_000_000
+SLICE_SHINGLES = 1_000_000
 
 
 @dataclass
@@ -137,9 +137,11 @@ def _frequency(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return count
 
 
-def prefixes(items: Items, frequency: dict[int, int], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, item number) of each item's necessary prefix, sorted by shingle."""
-    n = np.array([frequency.get(int(x), 0) for x in items.shingle.view(np.int64)], np.int64)
+def prefixes(items: Items, counted: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, item number) of each item's necessary prefix, sorted by shingle. counted: shingles, sorted, and their documents."""
+    n = np.zeros(len(items.shingle), np.int64)
+    hit, at = find(counted[0], items.shingle)
+    n[hit] = counted[1][at]
     need = items.needs(threshold)
     keys, owners = [], []
     for i in range(len(items.ids)):
@@ -216,15 +218,22 @@ def _matches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return match
 
 
+def document_frequency(text: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """The items' shingles that occur, sorted, and the number of documents of each: no more rows than the slice has."""
+    shared = text.sparkSession.sparkContext.broadcast(np.unique(items.shingle))
+    t = text.mapInArrow(_frequency(shared), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    key, n = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: int = SLICE_SHINGLES) -> DataFrame:
     """doc_id, item_id, containment and the window [first_word, end_word) for each document that holds an item."""
     spark = prepare(docs.sparkSession)
     text = _lower(docs, "doc_id")
     found = None
     for items in slices(benchmark, limit):
-        screened = spark.sparkContext.broadcast(np.unique(items.shingle))
-        rows = text.mapInArrow(_frequency(screened), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
-        key, owner = prefixes(items, {r.shingle: r.n for r in rows}, threshold)
+        key, owner = prefixes(items, document_frequency(text, items), threshold)
         part = text.mapInArrow(_matches(spark.sparkContext.broadcast((items, key, owner, threshold))), "doc_id long, item_id long, containment double, first_word long, end_word long")
         found = part if found is None else found.union(part)
     if found is None:
@@ -251,9 +260,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     text = _lower(docs, "doc_id")
     kept = docs
     for items in slices(benchmark, limit):
-        screened = spark.sparkContext.broadcast(np.unique(items.shingle))
-        rows = text.mapInArrow(_frequency(screened), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
-        key, owner = prefixes(items, {r.shingle: r.n for r in rows}, threshold)
+        key, owner = prefixes(items, document_frequency(text, items), threshold)
         udf = _any_leak(spark.sparkContext.broadcast((items, key, owner, threshold)))
         kept = kept.filter(~udf(F.lower(F.coalesce(F.col("text"), F.lit("")))))
     return kept
@@ -261,3 +268,19 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sql(threshold: float = THRESHOLD, n: int = SHINGLE) -> str:
+    """The leaks of benchmark into documents in DuckDB's SQL."""
+    words = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+    shingles = f"CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+    return f"""
+WITH items AS (SELECT item_id, len(w) AS words, list_distinct({shingles}) AS s FROM (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+item_shingles AS (SELECT item_id, words, len(s) AS size, unnest(s) AS shingle FROM items),
+doc_lists AS (SELECT doc_id, {shingles} AS s FROM (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+doc_shingles AS (SELECT doc_id, unnest(s) AS shingle, unnest(range(len(s))) AS p FROM doc_lists),
+hits AS (SELECT doc_id, item_id, words, size, shingle, p FROM doc_shingles JOIN item_shingles USING (shingle)),
+windows AS (SELECT a.doc_id, a.item_id, a.words, a.size, a.p, count(DISTINCT b.shingle) AS k FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p BETWEEN a.p AND a.p + greatest(a.words - {n - 1}, 1) - 1 GROUP BY ALL),
+best AS (SELECT * FROM windows QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, p) = 1)
+SELECT doc_id, item_id, round(k / size, 6) AS containment, p AS first_word, p + words AS end_word FROM best WHERE k >= {threshold} * size - 1e-9
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import license_scan, sharding
+from tracemill.llm import decontamination, license_scan, sharding, suffix_dedup
 from tracemill.llm.decontamination import op3_decontamination
 from tracemill.llm.html_extract import op4_html_extract
 from tracemill.llm.license_scan import op2_license_scan
@@ -32,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.sql(),
     "op2_license_scan": license_scan.sql(),
+    "op3_decontamination": decontamination.sql(),
     "op5_sharding": sharding.sql(),
 }

@@ -237,3 +237,16 @@ def repeated_spans(docs: DataFrame, depth: int = THRESHOLD, gram: int = GRAM) ->
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def sql(depth: int = THRESHOLD) -> str:
+    """The spans of documents in DuckDB's SQL."""
+    return rf"""
+WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+windows AS (SELECT doc_id, list_transform(range(1, len(w) - {depth - 2}), lambda a: md5(array_to_string(w[a:a + {depth - 1}], ' '))) AS h FROM words WHERE len(w) >= {depth}),
+suffixes AS (SELECT doc_id, unnest(h) AS h, unnest(range(len(h))) AS a FROM windows),
+repeated AS (SELECT doc_id, a FROM suffixes WHERE h IN (SELECT h FROM suffixes GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT doc_id, a, CASE WHEN a - lag(a) OVER (PARTITION BY doc_id ORDER BY a) <= {depth} THEN 0 ELSE 1 END AS new FROM repeated),
+spans AS (SELECT doc_id, a, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS span FROM marked)
+SELECT doc_id, min(a)::INT AS first_word, (max(a) + {depth})::INT AS end_word FROM spans GROUP BY doc_id, span
+"""
