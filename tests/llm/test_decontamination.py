@@ -74,7 +74,7 @@ def test_prefix_is_rarest_first():
     import numpy as np
 
     items = dc.Items(np.array([1]), np.array([6]), np.array([0, 4]), np.array([10, 20, 30, 40], np.uint64))
-    key, owner = dc.prefixes(items, {10: 5, 20: 1, 30: 1}, 0.75)
+    key, owner = dc.prefixes(items, (np.array([10, 20, 30], np.uint64), np.array([5, 1, 1])), 0.75)
     assert key.tolist() == [20, 40] and owner.tolist() == [0, 0]
 
 
