@@ -41,9 +41,8 @@ def test_against_duckdb(spark, duck, name):
     same(q.QUERIES[name](spark, DATA), duck.sql(q.ORACLE_SQL[name]))
 
 
-@pytest.mark.parametrize("name", [k for k in q.QUERIES if k not in q.ORACLE_SQL])
-def test_without_sql(spark, name):
-    assert q.QUERIES[name](spark, DATA).count() > 0
+def test_all_have_sql():
+    assert set(q.QUERIES) == set(q.ORACLE_SQL)
 
 
 def test_entry(spark):

@@ -334,7 +334,7 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "set_operations": (set_operations, f"WITH {_M}, a AS (SELECT user_id FROM m WHERE value > 100), b AS (SELECT user_id FROM m WHERE event_type = 'error') SELECT 'union' AS kind, user_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'except_all', user_id FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)"),
     "cube": (cube, "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"),
     "rollup": (rollup, f"WITH {_M} SELECT event_type, user_id % 3 AS third, count(*) AS n FROM m GROUP BY ROLLUP (event_type, user_id % 3)"),
-    "bucketed_histogram": (bucketed_histogram, None),
+    "bucketed_histogram": (bucketed_histogram, f"WITH {_M}, b AS (SELECT unnest([0, 10, 25, 50, 100]) AS low, unnest([10, 25, 50, 100, 200]) AS high), c AS (SELECT event_type, low, high, count(*) FILTER (value > CASE WHEN low > 0 THEN low ELSE '-inf'::DOUBLE END AND value <= high) AS n, count(*) FILTER (value <= high) AS upto, count(*) AS total FROM m CROSS JOIN b GROUP BY 1, 2, 3) SELECT event_type, round(coalesce(arg_min(low + (high - low) * (0.5 * total - (upto - n)) / n, low) FILTER (n > 0 AND upto >= 0.5 * total), 200), 6) AS p50 FROM c GROUP BY 1"),
     "otlp_logs": (otlp_logs, "SELECT epoch_us(ts) * 1000 AS timestamp_ns, epoch_us(ts) * 1000 AS observed_timestamp_ns, 9 AS severity_number, event_type AS body, '{\"id\":' || event_id || '}' AS attributes, 'svc' || user_id % 5 AS service, 'test' AS scope_name FROM events"),
     "otlp_metrics": (otlp_metrics, "SELECT epoch_us(ts) * 1000 AS timestamp_ns, event_type AS name, 0 AS metric_type, value AS value_double, NULL::VARCHAR AS attributes, 'test' AS scope_name FROM events"),
     "otlp_traces": (otlp_traces, "SELECT lpad(lower(to_hex(event_id)), 32, '0') AS trace_id, lpad(lower(to_hex(user_id)), 16, '0') AS span_id, event_type AS name, 2 AS kind, epoch_us(ts) * 1000 AS start_time_ns, greatest(floor((value - 50) * 1000)::BIGINT, 0) AS duration_ns, 1 AS status_code, '[]' AS events, '[]' AS links FROM events WHERE event_id % 7 <> 0"),
@@ -342,7 +342,7 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "store_compacted": (store_compacted, f"SELECT event_type AS body, 4 * count(*) AS n FROM events WHERE epoch_us(ts) * 1000 >= {T0} AND epoch_us(ts) * 1000 < {T1} GROUP BY 1"),
     "stream_ingest": (stream_ingest, f"SELECT epoch_us(ts) * 1000 // {DAY} * {DAY} AS part, event_type AS body, count(*) AS n FROM events WHERE epoch_us(ts) * 1000 >= {T0} AND epoch_us(ts) * 1000 < {T1} GROUP BY 1, 2"),
     "stream_windows": (stream_windows, f"SELECT epoch_us(ts) * 1000 // {DAY} * {DAY} AS start_ns, event_type, count(*) AS n FROM events WHERE epoch_us(ts) * 1000 < {T1} GROUP BY 1, 2"),
-    "ring_assign": (ring_assign, None),
+    "ring_assign": (ring_assign, "WITH v AS (SELECT 'node' || n AS node, substr(md5('node' || n || '#' || i), 1, 16) AS h FROM range(5) a(n), range(150) b(i)), k AS (SELECT c_custkey, substr(md5(c_custkey::VARCHAR), 1, 16) AS h FROM customer), d AS (SELECT c_custkey, node, min(CASE WHEN v.h >= k.h THEN '0' ELSE '1' END || v.h) AS place FROM k CROSS JOIN v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY place) AS n FROM d) SELECT c_custkey, string_agg(node, ',' ORDER BY place) AS nodes FROM r WHERE n <= 3 GROUP BY 1"),
 }
 
 
