@@ -84,10 +84,15 @@ KINDS: dict[str, Kind] = {
     "iban": Kind(r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{1,4}){3,8}(?!\w)", 0.8, "iban|konto|account|bank|compte|cuenta|bic", mod97),
     "ipv4": Kind(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", 0.6, "ip|address|host|server|adresse|direcci.n", octets),
     "us_ssn": Kind(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", 0.5, "ssn|social|security", social_security),
-    "phone": Kind(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-])", 0.6, "phone|tel|call|mobile|fax|telefon|handy|tel.fono|t.l.phone|portable", dialled),
-    "phone_plain": Kind(r"(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])", 0.4, "phone|tel|call|mobile|fax|telefon|handy|tel.fono|t.l.phone|portable", dialled),
+    "phone": Kind(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{1,4}(?:[.-]?\d{2,4}| \d{2,4}(?![\d.]*\d)){1,5}(?![\w-])", 0.6, "phone|tel|call|mobile|fax|telefon|handy|tel.fono|t.l.phone|portable", dialled),
+    "phone_plain": Kind(r"(?<![\w+.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])", 0.5, "phone|tel|call|mobile|fax|telefon|handy|tel.fono|t.l.phone|portable", dialled),
+    "phone_spaced": Kind(r"(?<![\w+.-])\d{3} \d{3} \d{4}(?![\w-])", 0.4, "phone|tel|call|mobile|fax|telefon|handy|tel.fono|t.l.phone|portable", dialled),
     "secret": Kind(r"(?i)(?<!\w)(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_=.\-]{8,}[\"']?", 0.9, "key|token|secret|auth"),
-    "secret_plain": Kind(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,})(?!\w)", 0.9, "key|token|secret|auth"),
+    # Keys by their form; each has a digit, as a text without one is passed by.
+    "secret_plain": Kind(
+        r"(?<!\w)(?:AKIA(?=[A-Z]*\d)[0-9A-Z]{16}(?!\w)|gh[pousr]_(?=[A-Za-z]*\d)[A-Za-z0-9]{36}(?!\w)|xox[baprs]-(?=[A-Za-z-]*\d)[A-Za-z0-9-]{10,}|sk-(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{20,}"
+        r"|eyJ(?=[A-Za-z_.-]*\d)[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})|-----BEGIN [A-Z ]*PRIVATE KEY-----(?=[^-\d]*\d)[^-]+-----END [A-Z ]*PRIVATE KEY-----",
+        0.9, "key|token|secret|auth"),
 }
 _FIND = {k: re.compile(v.pattern) for k, v in KINDS.items()}
 _NEAR = {k: re.compile(rf"(?i)(?<!\w)(?:{v.context})(?!\w)") for k, v in KINDS.items()}
@@ -135,11 +140,16 @@ def _scan(text: pa.Array) -> pa.Array:
     return pa.array([[dict(zip(("kind", "start", "end", "score"), x)) for x in scan(text[i].as_py())] if look[i] else [] for i in range(len(text))], _ARROW)
 
 
+def shown(kind: str) -> str:
+    """The kind without the form in which it was found."""
+    return re.sub("_(plain|spaced)$", "", kind)
+
+
 def mask(text: str) -> str:
     """text with each finding replaced by its kind in brackets."""
     out, at = [], 0
     for kind, start, end, _ in scan(text):
-        out += [text[at:start], f"[{kind.removesuffix('_plain').upper()}]"]
+        out += [text[at:start], f"[{shown(kind).upper()}]"]
         at = end
     return "".join([*out, text[at:]]) if at else text
 
@@ -157,7 +167,7 @@ def findings(docs: DataFrame) -> DataFrame:
     """doc_id, kind, start, end, score: a row for each finding."""
     prepare(docs.sparkSession)
     found = docs.select("doc_id", F.explode(_scan(F.col("text").cast("string"))).alias("f"))
-    return found.select("doc_id", F.regexp_replace("f.kind", "_plain$", "").alias("kind"), "f.start", "f.end", "f.score")
+    return found.select("doc_id", F.regexp_replace("f.kind", "_(plain|spaced)$", "").alias("kind"), "f.start", "f.end", "f.score")
 
 
 def redact(docs: DataFrame) -> DataFrame:
