@@ -136,6 +136,15 @@ def test_unsigned_columns_become_bigint(spark):
     assert dict(Engine(spark).register("d", df).query("select a / 1 as b from d").dtypes) == {"b": "bigint"}
 
 
+def test_functions_of_ones_own(engine, spark):
+    from pyspark.sql import functions as F
+
+    own = Engine(spark).register("t", spark.createDataFrame(ROWS, "id int, ts long, s string, n long, x double")).function("twice", lambda x: x * 2).function("tag", lambda x, sep="-": F.concat(x, F.lit(sep)), 1, 2)
+    assert run(own, "select twice(n), TAG(s, '!'), tag(s) from t where id = 1") == [(10, "a!", "a-")]
+    with pytest.raises(BindError):
+        engine.query("select twice(n) from t")
+
+
 def test_convenience_columns(spark):
     e = Engine(spark)
     e.register("logs", spark.createDataFrame([(1, '{"service.name":"api"}')], "timestamp_ns long, resource_attributes string"))

@@ -32,6 +32,17 @@ def test_nearest_rank_against_sorted_lists(spark):
             assert got[k] == s[int(q * (len(s) - 1) + 0.5)]
 
 
+def test_ungrouped_rank_in_bins(spark):
+    import random
+
+    r = random.Random(6)
+    values = [r.choice([-5, 0, 3, 10**6, *range(700)]) * r.choice([1, 1, 0.5]) for _ in range(1500)] + [7] * 900
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+    for q in (0.0, 0.01, 0.5, 0.77, 1.0):
+        assert temporal.nearest_rank(df, [], "v", q, "out").first()[0] == sorted(values)[int(q * (len(values) - 1) + 0.5)]
+    assert temporal.nearest_rank(df.filter("v is null"), [], "v", 0.5, "out").collect() == []
+
+
 @pytest.mark.parametrize("bounds,counts,q,want", [
     ([10.0, 20.0], [4, 4, 0], 0.5, 10.0), ([10.0, 20.0], [0, 10, 0], 0.5, 15.0), ([10.0, 20.0], [0, 0, 3], 0.5, 20.0), ([10.0, 20.0], [0, 0, 0], 0.5, None), ([10.0], [2, 2], 0.25, 5.0), ([], [3], 0.5, None),
 ])

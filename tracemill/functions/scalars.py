@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from tracemill.functions import temporal
 from tracemill.schema import severity_name
 
-SCALARS: dict[str, tuple[int, int, Callable[..., Column]]] = {
+Scalar = tuple[int, int, Callable[..., Column]]
+
+SCALARS: dict[str, Scalar] = {
     "round": (1, 2, lambda x, n=0: F.round(x.cast("double"), n)),
     "abs": (1, 1, F.abs),
     "floor": (1, 1, F.floor),

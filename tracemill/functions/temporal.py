@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECOND = 10**9
+#: Parts that the values of an ungrouped quantile are ranked in.
+BINS = 64
 
 
 def time_bucket(width_ns: int, ts: Column) -> Column:
@@ -36,13 +38,29 @@ def nearest_rank(df: DataFrame, keys: list[str], x: str, q: float, out: str) ->
     if not 0 <= q <= 1:
         raise ValueError(f"quantile {q} is not in 0..1")
     counted = df.filter(F.col(f"`{x}`").isNotNull()).groupBy(*[F.col(f"`{k}`") for k in keys], F.col(f"`{x}`").alias("__x")).agg(F.count("*").alias("__n"))
-    part = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]) if keys else Window.partitionBy(F.lit(1))
-    upto = F.sum("__n").over(part.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumns({"__upto": upto, "__all": F.sum("__n").over(part)})
+    if keys:
+        part = Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
+        ranked = counted.withColumns({"__upto": F.sum("__n").over(part.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(part)})
+    else:
+        ranked = _ranked(counted)
     rank = F.floor(F.lit(float(q)) * (F.col("__all") - 1) + 0.5)
     return ranked.filter((F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)).select(*[F.col(f"`{k}`") for k in keys], F.col("__x").alias(out))
 
 
+def _ranked(counted: DataFrame) -> DataFrame:
+    """counted (__x, __n) with the running and the whole count, over bins of values: no task sorts them all.
+
+    The bins' edges are approximate quantiles of the distinct values, so bins
+    are about equal; the result doesn't depend on them.
+    """
+    edges = counted.agg(F.percentile_approx(F.col("__x").cast("double"), [i / BINS for i in range(1, BINS)], 100 * BINS).alias("__edges"))
+    binned = counted.crossJoin(F.broadcast(edges)).withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col("__x").cast("double")))).drop("__edges")
+    one = Window.partitionBy(F.lit(1))  # of BINS rows
+    sums = binned.groupBy("__bin").agg(F.sum("__n").alias("__here")).withColumns({"__before": F.sum("__here").over(one.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__here"), "__all": F.sum("__here").over(one)})
+    inside = F.sum("__n").over(Window.partitionBy("__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    return binned.join(F.broadcast(sums), "__bin").withColumn("__upto", F.col("__before") + inside)
+
+
 def bucket_quantile(q: float, bounds: Column, counts: Column) -> Column:
     """Quantile of a stored histogram: linear within the bucket that holds it; the last bucket gives its lower bound.
 

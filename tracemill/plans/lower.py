@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tracemill.catalog import Catalog, Table
 from tracemill.errors import BindError
 from tracemill.functions import temporal
-from tracemill.functions.scalars import SCALARS
+from tracemill.functions.scalars import SCALARS, Scalar
 from tracemill.plans import syntax as s
 from tracemill.plans.bounds import bounds, constant
 from tracemill.plans.parser import interval_ns
@@ -76,8 +76,8 @@ def rebuilt(e: s.Expr, swap: Callable[[s.Expr], s.Expr | None]) -> s.Expr:
 
 
 class Lowering:
-    def __init__(self, catalog: Catalog, now: int, join_hint: str | None = None):
-        self.catalog, self.now, self.join_hint = catalog, now, join_hint
+    def __init__(self, catalog: Catalog, now: int, join_hint: str | None = None, functions: dict[str, Scalar] = SCALARS):
+        self.catalog, self.now, self.join_hint, self.functions = catalog, now, join_hint, functions
         self.scope: dict[str, Table] = {}
         #: Group keys and aggregates by their trees, once rows are grouped.
         self.grouped: dict[s.Expr, Column] | None = None
@@ -187,9 +187,9 @@ class Lowering:
             if len(e.args) != 2:
                 raise BindError("time_bucket(width, time) takes two arguments")
             return temporal.time_bucket(self.width(e.args[0], "a bucket's width"), self.column(e.args[1]))
-        if e.name not in SCALARS:
+        if e.name not in self.functions:
             raise BindError(f"unknown function {e.name}()")
-        least, most, build = SCALARS[e.name]
+        least, most, build = self.functions[e.name]
         if not least <= len(e.args) <= most:
             raise BindError(f"{e.name}() takes {least}" + (f" to {most}" * (most != least)) + f" arguments, not {len(e.args)}")
         return build(*[a.value if isinstance(a, s.Literal) and i else self.column(a) for i, a in enumerate(e.args)])

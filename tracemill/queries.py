@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracemill.engine import Engine
 from tracemill.functions import temporal
 from tracemill.operators import joins, rca, ring, windows
+from tracemill.plans.parser import parse
 from tracemill.sources import otlp, store
 from tracemill.streaming import ingest
 
@@ -32,16 +33,23 @@ def events_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").withColumn("timestamp_ns", F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    e = events_ns(spark, sf_dir)
-    severity = F.when(F.col("event_type") == "error", 17).when(F.col("event_type") == "purchase", 13).when(F.col("event_type") == "signup", 9).otherwise(5)
+def engine(spark: SparkSession, sf_dir: str, tables: set[str] | None = None) -> Engine:
+    """An engine over the tables that are asked for; all without."""
     out = Engine(spark, now=lambda: NOW)
-    out.register("logs", e.select("timestamp_ns", "event_id", severity.alias("severity_number"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("severity_text"), F.col("event_type").alias("body"), F.col("props").alias("attributes"), "user_id"), ties=("event_id",))
-    out.register("metrics", e.select("timestamp_ns", "event_id", F.col("event_type").alias("name"), F.col("value").alias("value_double"), F.lit(None).cast("long").alias("value_int"), "user_id"), ties=("event_id",))
-    start = F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000
-    out.register("traces", read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").alias("span_id"), F.col("l_returnflag").alias("name"), start.alias("start_time_ns"), (F.col("l_quantity") * 1e6).cast("long").alias("duration_ns"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("price")))
+    asked = lambda name: tables is None or name in tables
+    if asked("logs"):
+        severity = F.when(F.col("event_type") == "error", 17).when(F.col("event_type") == "purchase", 13).when(F.col("event_type") == "signup", 9).otherwise(5)
+        e = events_ns(spark, sf_dir).select("timestamp_ns", "event_id", severity.alias("severity_number"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("severity_text"), F.col("event_type").alias("body"), F.col("props").alias("attributes"), "user_id")
+        out.register("logs", e, ties=("event_id",))
+    if asked("metrics"):
+        e = events_ns(spark, sf_dir).select("timestamp_ns", "event_id", F.col("event_type").alias("name"), F.col("value").alias("value_double"), F.lit(None).cast("long").alias("value_int"), "user_id")
+        out.register("metrics", e, ties=("event_id",))
+    if asked("traces"):
+        start = F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000
+        out.register("traces", read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").alias("span_id"), F.col("l_returnflag").alias("name"), start.alias("start_time_ns"), (F.col("l_quantity") * 1e6).cast("long").alias("duration_ns"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("price")))
     for name in ("orders", "customer", "nation", "region", "supplier", "part"):
-        out.register(name, read(spark, sf_dir, name))
+        if asked(name):
+            out.register(name, read(spark, sf_dir, name))
     return out
 
 
@@ -114,6 +122,9 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "histogram_quantile": (
         "SELECT name, histogram_quantile(0.95, value) AS p95, histogram_quantile(0.5, value, 50) AS p50, count(*) AS n FROM metrics GROUP BY name",
         "SELECT name, v[floor(0.95 * (n - 1) + 0.5)::BIGINT + 1] AS p95, v[floor(0.5 * (n - 1) + 0.5)::BIGINT + 1] AS p50, n FROM (SELECT name, list(value ORDER BY value) AS v, count(*) AS n FROM metrics GROUP BY name)"),
+    "quantile_of_all": (
+        "SELECT histogram_quantile(0.99, value) AS p99, histogram_quantile(0.25, user_id) AS p25, count(*) AS n FROM metrics",
+        "SELECT v[floor(0.99 * (n - 1) + 0.5)::BIGINT + 1] AS p99, u[floor(0.25 * (n - 1) + 0.5)::BIGINT + 1] AS p25, n FROM (SELECT list(value ORDER BY value) AS v, list(user_id ORDER BY user_id) AS u, count(*) AS n FROM metrics)"),
     "order_nulls_last": (
         "SELECT event_id, severity_text FROM logs ORDER BY severity_text DESC, event_id LIMIT 100 OFFSET 3",
         "SELECT event_id, severity_text FROM logs ORDER BY severity_text DESC NULLS LAST, event_id LIMIT 100 OFFSET 3"),
@@ -347,7 +358,9 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
 def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: engine(spark, sf_dir).query(text)
+    q = parse(text)
+    tables = {q.source.table, *(j.source.table for j in q.joins)}
+    return lambda spark, sf_dir: engine(spark, sf_dir, tables).query(text)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _statement(text) for k, (text, _) in STATEMENTS.items()} | {k: f for k, (f, _) in OPERATORS.items()}
