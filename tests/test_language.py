@@ -81,6 +81,12 @@ def test_filter():
     assert parse("select count(*) filter (where a > 1) from t").items[0].expr.where == s.Binary(">", s.Name("a"), s.Literal(1))
 
 
+def test_soft_words_are_names_elsewhere():
+    q = parse("select filter, count(*) outer, count(*) filter from t filter left outer join u outer on filter.a = outer.a")
+    assert [i.alias for i in q.items] == [None, "outer", "filter"] and q.items[0].expr == s.Name("filter")
+    assert q.source.name == "filter" and q.joins[0].source.name == "outer"
+
+
 @pytest.mark.parametrize("text", [
     "", "select", "select a", "select a from", "select a from t where", "select a from t limit x", "select a from t a b", "select a, from t", "select a from t group a", "select a from t;;", "insert into t", "select a = b = c from t",
     "select a from t where a like b", "select a from t where a not 5", "select a from t join u", "select count(distinct a) from t", "select interval 5 from t", "select a from t order by", "select from from t", "select f(a from t",

@@ -69,6 +69,7 @@ def test_lag_correlations_find_the_lag(spark):
     df = spark.createDataFrame([(t, a[t], a[t - 3] if t >= 3 else 0.0) for t in range(80)], "t long, a double, b double")
     rows = {x.lag: x for x in rca.lag_correlations(df, "t", "a", "b", 1, range(-5, 6)).collect()}
     assert max(rows, key=lambda k: rows[k].r) == 3 and rows[3].r > 0.95
+    assert [x.lag for x in rca.significant(rca.lag_correlations(df, "t", "a", "b", 1, range(-5, 6))).collect()] == [3]
     assert rca.p_value(rows[3].r, rows[3].n) < 0.001 < 0.05 < rca.p_value(0.05, 80)
 
 

@@ -66,6 +66,12 @@ def lag_correlations(df: DataFrame, time: str, a: str, b: str, bucket_ns: int, l
     return shifted.join(means.select("t", "b"), "t").groupBy("lag").agg(F.count("*").alias("n"), pearson(F.col("a"), F.col("b")).alias("r"))
 
 
+def significant(lags: DataFrame, least_r: float = 0.7, z: float = 1.959964) -> DataFrame:
+    """Of lag_correlations: |r| above least_r, and p below 0.05 by Fisher's transform (z is that quantile), strongest first."""
+    sure = (F.abs("r") >= 1) | (F.abs(F.atanh("r")) * F.sqrt(F.col("n") - 3) > z)
+    return lags.filter((F.abs("r") > least_r) & (F.col("n") > 3) & sure).orderBy(F.desc(F.abs("r")), "lag")
+
+
 def p_value(r: float, n: int) -> float:
     """Two-sided p of a Pearson r over n pairs, by Fisher's transform."""
     from math import atanh, erfc, sqrt

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from tracemill.errors import LexError
 
 KEYWORDS = frozenset(
-    "select distinct from where group by having order asc desc limit offset as and or not in like between is null true false interval join inner left right outer on filter".split()
+    "select distinct from where group by having order asc desc limit offset as and or not in like between is null true false interval join inner left right on".split()
 )
 
 
