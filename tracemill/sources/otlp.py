@@ -1,8 +1,8 @@
 """OpenTelemetry JSON to the three signals, in batch or streaming.
 
 Input is a column of JSON text, one export request a row.  Everything is
-built-in: from_json with a fixed schema, explode, and higher-order functions;
-values of attributes stay JSON text until they are needed.
+built-in: one from_json with a fixed schema, explode, and higher-order
+functions.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tracemill.schema import LOGS, METRICS, TRACES
 
-_ATTRIBUTES = "array<struct<key: string, value: string>>"
+#: A value; those in an array stay JSON text until they are decoded.
+_VALUE = "struct<stringValue: string, boolValue: boolean, intValue: string, doubleValue: double, arrayValue: struct<values: array<string>>>"
+_ATTRIBUTES = f"array<struct<key: string, value: {_VALUE}>>"
 _SCOPE = "struct<name: string, version: string>"
 _RESOURCE = f"struct<attributes: {_ATTRIBUTES}>"
-_LOG = f"struct<timeUnixNano: string, observedTimeUnixNano: string, severityNumber: int, severityText: string, body: string, attributes: {_ATTRIBUTES}, traceId: string, spanId: string>"
+_LOG = f"struct<timeUnixNano: string, observedTimeUnixNano: string, severityNumber: int, severityText: string, body: {_VALUE}, attributes: {_ATTRIBUTES}, traceId: string, spanId: string>"
 _POINT = f"struct<timeUnixNano: string, startTimeUnixNano: string, asDouble: double, asInt: string, attributes: {_ATTRIBUTES}>"
 _METRIC = f"struct<name: string, description: string, unit: string, gauge: struct<dataPoints: array<{_POINT}>>, sum: struct<dataPoints: array<{_POINT}>>>"
 _LINK = f"struct<traceId: string, spanId: string, attributes: {_ATTRIBUTES}>"
@@ -24,7 +26,6 @@ _SPAN = (
     f"struct<traceId: string, spanId: string, parentSpanId: string, name: string, kind: string, startTimeUnixNano: string, endTimeUnixNano: string, status: struct<code: string, message: string>, "
     f"attributes: {_ATTRIBUTES}, events: array<{_EVENT}>, links: array<{_LINK}>>"
 )
-_VALUE = "stringValue string, boolValue boolean, intValue string, doubleValue double, arrayValue struct<values: array<string>>"
 #: Arrays within arrays that are still decoded.
 _DEPTH = 3
 
@@ -35,13 +36,12 @@ def quote(x: Column) -> Column:
     return F.substring(one, F.lit(2), F.length(one) - 2)
 
 
-def any_value(raw: Column, depth: int = _DEPTH) -> Column:
-    """An AnyValue's JSON as plain JSON. Kinds that aren't decoded, and missing values, are the empty string."""
-    v = F.from_json(raw, _VALUE)
+def any_value(v: Column, depth: int = _DEPTH) -> Column:
+    """A value as plain JSON. Kinds that aren't decoded, and missing values, are the empty string."""
     whole = v["intValue"].try_cast("long")
     items = F.lit('""')
     if depth:
-        items = F.concat(F.lit("["), F.array_join(F.transform(v["arrayValue"]["values"], lambda x: any_value(x, depth - 1)), ","), F.lit("]"))
+        items = F.concat(F.lit("["), F.array_join(F.transform(v["arrayValue"]["values"], lambda x: any_value(F.from_json(x, _VALUE), depth - 1)), ","), F.lit("]"))
     return (
         F.when(v["stringValue"].isNotNull(), quote(v["stringValue"]))
         .when(v["boolValue"].isNotNull(), v["boolValue"].cast("string"))
@@ -58,10 +58,9 @@ def attributes(entries: Column) -> Column:
     return F.when(F.size(entries) > 0, F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}")))
 
 
-def body(raw: Column) -> Column:
+def body(v: Column) -> Column:
     """Text bodies as they are, others as JSON."""
-    text = F.from_json(raw, _VALUE)["stringValue"]
-    return F.when(raw.isNull(), None).when(text.isNotNull(), text).otherwise(any_value(raw))
+    return F.when(v.isNull(), None).when(v["stringValue"].isNotNull(), v["stringValue"]).otherwise(any_value(v))
 
 
 def nanos(x: Column) -> Column:
