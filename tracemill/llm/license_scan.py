@@ -93,10 +93,12 @@ def scan(files: DataFrame) -> DataFrame:
     idf = spark.createDataFrame([(t, df.get(t, 0)) for t in vocabulary], "term string, df long").select("term", (F.log((F.lit(float(1 + n))) / (F.col("df") + 1)) + 1).alias("idf"))
     unseen = F.log(F.lit(float(1 + n))) + 1
 
+    # A cue has no line break: a text without one has no segment, and isn't cut up.
+    cued = F.col("text").rlike(CUE)
     cues = files.select(
         "doc_id", "path",
-        F.array_union(F.filter(F.split("text", "\n"), lambda s: s.rlike(CUE)), F.filter(F.split("text", r"\n\s*\n"), lambda s: s.rlike(CUE))).alias("segments"),
-        F.when(F.col("text").rlike(CUE), F.size(terms(F.col("text")))).alias("n_terms"),
+        F.when(cued, F.array_union(F.filter(F.split("text", "\n"), lambda s: s.rlike(CUE)), F.filter(F.split("text", r"\n\s*\n"), lambda s: s.rlike(CUE)))).alias("segments"),
+        F.when(cued, F.size(terms(F.col("text")))).alias("n_terms"),
     )
     # (doc_id, path, segments): the texts are left behind here.
     cues = settle(cues.withColumn("row", F.monotonically_increasing_id()))
