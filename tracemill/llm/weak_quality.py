@@ -6,9 +6,10 @@ documents how accurate each rule is, without labels, and a document's posterior
 probability of good quality replaces all-must-pass filtering.
 
 EM needs only how often each pattern of votes occurs.  That table has at most
-3 ** len(RULES) rows however large the corpus is, so the corpus is read twice
-(once to count, once to score), nothing but counts is shuffled, and the EM
-itself is a few matrix products on the driver.
+3 ** len(RULES) rows however large the corpus is: nothing but counts is
+shuffled, and the EM itself is a few matrix products on the driver.  To score,
+the votes are kept, a number a document; to filter, the texts are read a second
+time where they are, which moves none of them.
 
 Defined cases: a null or empty text, or one without words, is bad on the
 `length` rule and abstains elsewhere; a very long text is scanned whole; rows
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tracemill.llm import textkit as tk
-from tracemill.llm.cluster import prepare
+from tracemill.llm.cluster import prepare, settle
 
 #: name: (measure, bad below, good from, good to, bad above); None: no such side.
 RULES: dict[str, tuple[str, float | None, float, float, float | None]] = {
@@ -198,19 +199,21 @@ def with_code(docs: DataFrame, name: str = "__votes") -> DataFrame:
     return docs.withColumn(name, _code(F.col("text")))
 
 
-def posteriors(docs: DataFrame) -> DataFrame:
+def posteriors(coded: DataFrame) -> DataFrame:
     """(code, quality) for each pattern of votes that occurs; at most 3 ** len(RULES) rows."""
-    counted = with_code(docs.select("text")).groupBy("__votes").count().toPandas().sort_values("__votes")
+    counted = coded.groupBy("__votes").count().toPandas().sort_values("__votes")
     pattern, count = counted["__votes"].to_numpy(np.int64), counted["count"].to_numpy(np.int64)
     q = fit(pattern, count)[2] if len(pattern) else np.zeros(0)
-    return docs.sparkSession.createDataFrame(pd.DataFrame({"__code": pattern, "__quality": np.round(q, 6)}), "__code long, __quality double")
+    return coded.sparkSession.createDataFrame(pd.DataFrame({"__code": pattern, "__quality": np.round(q, 6)}), "__code long, __quality double")
 
 
 def score_quality(docs: DataFrame) -> DataFrame:
     """doc_id, each rule's vote (-1 bad, 0 abstains, 1 good), quality in 0..1 and keep."""
     prepare(docs.sparkSession)
-    learnt = posteriors(docs)
-    scored = with_code(docs.select("doc_id", "text")).drop("text").join(F.broadcast(learnt), F.col("__votes") == F.col("__code"))
+    # The votes are a number a document: kept, so that the texts are read once.
+    coded = settle(with_code(docs.select("doc_id", "text")).drop("text"))
+    learnt = posteriors(coded)
+    scored = coded.join(F.broadcast(learnt), F.col("__votes") == F.col("__code"))
     vote = [
         F.when(F.floor(F.col("__votes") / F.lit(int(p))) % 3 == GOOD, 1).when(F.floor(F.col("__votes") / F.lit(int(p))) % 3 == BAD, -1).otherwise(0).alias(f"vote_{r}")
         for r, p in zip(NAMES, _PLACE)
@@ -221,7 +224,7 @@ def score_quality(docs: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents of posterior quality KEEP_FROM or more, with all their columns."""
     prepare(docs.sparkSession)
-    learnt = posteriors(docs).filter(F.col("__quality") >= KEEP_FROM)
+    learnt = posteriors(with_code(docs.select("text"))).filter(F.col("__quality") >= KEEP_FROM)
     return with_code(docs).join(F.broadcast(learnt), F.col("__votes") == F.col("__code")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
