@@ -51,3 +51,39 @@ def test_sql(spark):
     want = c.sql(ls.sql()).df().sort_values("doc_id").reset_index(drop=True)
     got = ls.op2_license_scan(spark, f"{DATA}/sf0.01").toPandas().sort_values("doc_id").reset_index(drop=True)[want.columns]
     pd.testing.assert_frame_equal(got.astype(object).where(got.notna(), None), want.astype(object).where(want.notna(), None), check_dtype=False)
+
+
+def brute(texts):
+    """The greatest cosine of each one-line text, by the definition."""
+    import math
+    import re
+    from collections import Counter
+
+    cut = lambda text: re.findall(ls.TERM, text.lower())
+    df = Counter(t for text in texts for t in set(cut(text)))
+
+    def unit(text):
+        w = {t: k * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, k in Counter(cut(text)).items()}
+        return {t: x / math.sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+
+    known = [(name, unit(text)) for name, text in ls.TEMPLATES]
+    out = []
+    for text in texts:
+        u = unit(text)
+        out.append(max(((round(sum(u[t] * v.get(t, 0) for t in u), 6), -i, name) for i, (name, v) in enumerate(known)), default=None))
+    return out
+
+
+def test_cosines_do_not_depend_on_the_size_of_the_corpus(spark):
+    block = ["This file is licensed under the MIT License.", "See the LICENSE file for this", "Licensed under the Apache License, Version 2.0, see file"] + ["this file is for words of prose and see the rest"] * 17 + ["plain words only"] * 30
+    cosines = []
+    for times in (4, 20, 400):
+        texts = block * times
+        got = scanned(spark, [(i, f"p{i}/x", t, "x") for i, t in enumerate(texts)])
+        want = brute(texts)
+        for i in range(3):
+            r = got[i, f"p{i}/x"]
+            assert (r.own_licence, r.cosine) == ((want[i][2], want[i][0]) if want[i][0] >= ls.MIN_COSINE else (None, None))
+        assert got[0, "p0/x"].own_licence == "MIT" and got[2, "p2/x"].own_licence == "Apache-2.0"
+        cosines.append(got[0, "p0/x"].cosine)
+    assert max(cosines) - min(cosines) < 0.05

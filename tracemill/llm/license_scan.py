@@ -4,9 +4,10 @@
    lines between empty lines that does.  Whole texts are searched.  Equal
    segments are compared once, however many documents hold them.
 2. TF-IDF: a term weighs its count in the segment times ln((1 + N) / (1 + df)) + 1,
-   with df the documents of the whole corpus that hold it.  df is counted for
-   the terms of the templates; others are in no template and weigh as if df
-   were 0 - they only lengthen the segment's vector.
+   with df the documents of the whole corpus that hold it, counted for every
+   term of the segments and the templates: a term that a constant share of the
+   documents holds weighs the same, however many documents there are.  The SQL
+   below weighs terms outside the templates as if df were 0.
 3. A document has the licence of the template with the greatest cosine over its
    segments, MIN_COSINE at least; ties go to the template that is named first.
 4. Licence files - by name (LICENSE, COPYING, ...), or because at least
@@ -19,7 +20,7 @@
    documents by directory.
 
 Only built-in functions are used.  Documents are read for step 2 and for the
-segments; their texts are never shuffled.
+segments; their texts are never shuffled, only counts of terms are.
 
 Defined cases: a null or empty text has no segment and may still inherit; a
 null path has no directory and inherits nothing; null doc_ids are kept; very
@@ -72,10 +73,14 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template int, licence string, wording string").select("template", "licence", terms(F.col("wording")).alias("terms"))
 
 
-def _weighed(bags: DataFrame, key: str, idf: DataFrame, unseen: Column) -> DataFrame:
+def _counted(bags: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf)."""
+    return bags.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _weighed(counted: DataFrame, key: str, idf: DataFrame, unseen: Column) -> DataFrame:
     """(key, term, weight) with weights of unit length for each key."""
-    counted = bags.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    w = counted.join(F.broadcast(idf), "term", "left").select(key, "term", (F.col("tf") * F.coalesce("idf", unseen)).alias("w"))
+    w = counted.join(idf, "term", "left").select(key, "term", (F.col("tf") * F.coalesce("idf", unseen)).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
@@ -84,15 +89,6 @@ def scan(files: DataFrame) -> DataFrame:
     """doc_id, path, own licence and cosine, is_file, inherited licence and its directory, and the licence that holds."""
     spark = prepare(files.sparkSession)
     templates = _templates(spark)
-    vocabulary = sorted({t for r in templates.collect() for t in r.terms})
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    # One row, and one row for each term of the templates, however large the corpus is.
-    held = files.select(F.array_intersect(terms(F.coalesce("text", F.lit(""))), known).alias("t"))
-    df = {r.t: r.n for r in held.select(F.explode(F.array_append(F.col("t"), F.lit(""))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    n = df.pop("", 0)
-    idf = spark.createDataFrame([(t, df.get(t, 0)) for t in vocabulary], "term string, df long").select("term", (F.log((F.lit(float(1 + n))) / (F.col("df") + 1)) + 1).alias("idf"))
-    unseen = F.log(F.lit(float(1 + n))) + 1
-
     # A cue has no line break: a text without one has no segment, and isn't cut up.
     cued = F.col("text").rlike(CUE)
     cues = files.select(
@@ -106,8 +102,15 @@ def scan(files: DataFrame) -> DataFrame:
     said = cues.select("row", F.explode("segments").alias("said")).withColumn("segment", F.md5("said"))
     found = said.select("row", "segment", F.size(terms(F.col("said"))).alias("size"))
     distinct = said.groupBy("segment").agg(F.any_value("said").alias("said")).select("segment", terms(F.col("said")).alias("terms"))
-    left = _weighed(distinct, "segment", idf, unseen)
-    right = _weighed(templates, "template", idf, unseen).select("template", "term", F.col("w").alias("v"))
+    counted, wording = _counted(distinct, "segment"), _counted(templates, "template")
+    # Terms are counted in each task before they are sent; how many there are depends on the segments, so nothing is broadcast by force.
+    held = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = F.lit(float(1 + files.count()))
+    wanted = counted.select("term").union(wording.select("term")).distinct()
+    idf = settle(held.join(wanted, "term", "left_semi").select("term", (F.log(n / (F.col("df") + 1)) + 1).alias("idf")))
+    unseen = F.log(n) + 1
+    left = _weighed(counted, "segment", idf, unseen)
+    right = _weighed(wording, "template", idf, unseen).select("template", "term", F.col("w").alias("v"))
     cosine = left.join(F.broadcast(right), "term").groupBy("segment", "template").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine")).filter(F.col("cosine") >= MIN_COSINE)
     named = cosine.join(F.broadcast(templates.select("template", "licence")), "template")
     best = found.join(named.groupBy("segment").agg(F.max(F.struct("cosine", (-F.col("template")).alias("last"), "licence")).alias("b")), "segment")
