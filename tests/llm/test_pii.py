@@ -110,3 +110,44 @@ def test_query_on_the_small_tables(spark):
     want = sorted((r.doc_id, pii.shown(k), a, b, s) for r in docs for k, a, b, s in pii.scan(r.text))
     assert sorted(tuple(r) for r in pii.op10_pii(spark, f"{DATA}/sf0.01").collect()) == want
     assert want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", [("iban", "DE89 3704 0044 0532 0130 00")]),
+    ("DE89370400440532013000 BIC COBADEFF", [("iban", "DE89370400440532013000")]),
+    ("DE89 3704 0044 0532 0130 00 EUR 50", [("iban", "DE89 3704 0044 0532 0130 00")]),
+    ("AB12 CD34 DE89 3704 0044 0532 0130 00", [("iban", "DE89 3704 0044 0532 0130 00")]),
+    ("MT84 MALT 0110 0001 2345 MTLC AST0 01S BIC X", [("iban", "MT84 MALT 0110 0001 2345 MTLC AST0 01S")]),
+    ("DE89370400440532013000X", []),
+    ("card 4111 1111 1111 1111 12/27", [("card", "4111 1111 1111 1111")]),
+    ("card 4111 1111 1111 1111 123.", [("card", "4111 1111 1111 1111")]),
+    ("card 4111-1111-1111-1111-123", [("card", "4111-1111-1111-1111")]),
+    ("no 12 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]),
+    ("1 2 3 4 5 6 7 4111 1111 1111 1111 12 34", [("card", "4111 1111 1111 1111")]),
+    ("4111111111111111 5500005555555559 12", [("card", "4111111111111111"), ("card", "5500005555555559")]),
+    ("4111 1111 1111 1111 12th", [("card", "4111 1111 1111 1111")]),
+    ("41111111111111111", []),
+])
+def test_valid_spans_in_refused_ones(text, want):
+    assert kinds(text) == want
+    assert not want or all(w not in pii.mask(text) for _, w in want)
+
+
+@given(st.lists(st.sampled_from(["4111", "1111", "12", "7", "5500005555555559", "3782", "822463", "10005", "x9"]), max_size=14), st.sampled_from([" ", "-"]))
+@settings(max_examples=200, deadline=None)
+def test_no_valid_card_is_left_between_group_borders(groups, sep):
+    text = sep.join(groups)
+    spans = list(pii.cards(text))
+    assert all(pii.luhn(text[a:b]) for a, b in spans)
+    assert all(b <= c for (_, b), (c, _) in zip(sorted(spans), sorted(spans)[1:]))
+    if sep == "-" and "x9" in groups:
+        return
+    starts, at = [], 0
+    for g in groups:
+        starts.append((at, at + len(g)))
+        at += len(g) + 1
+    for i in range(len(groups)):
+        for j in range(i, len(groups)):
+            a, b = starts[i][0], starts[j][1]
+            if "x" not in text[a:b] and pii.luhn(text[a:b]):
+                assert any(a < d and c < b for c, d in spans)

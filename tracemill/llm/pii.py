@@ -4,7 +4,9 @@ Each kind has an expression that proposes, a validator where the kind has a
 check digit or a range (Luhn for cards, modulo 97 for IBANs, octets for IPv4,
 area and group numbers for US social security numbers), a base score, and
 context words in the languages of the corpus.  A span that its validator
-refuses is no finding, whatever stands near it.  A context word within WINDOW
+refuses is no finding, whatever stands near it; of a card or an IBAN, which
+may swallow numbers and words beside it, all parts that begin and end where a
+group of characters does are tried as well.  A context word within WINDOW
 characters before or after raises the score by CONTEXT; FINDING is the least
 score of a finding.  Where findings overlap, the one that starts first, then
 the longest, then the best stays.
@@ -22,7 +24,7 @@ repeat are each reported; an empty table gives no rows; further columns stay in
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,18 +72,69 @@ def dialled(text: str) -> bool:
     return 8 <= sum(c.isdigit() for c in text) <= 15
 
 
+_RUN, _GROUP = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}"), re.compile(r"\d+")
+#: Groups in which cards are printed.
+_PRINTED = frozenset([(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 4, 5)])
+
+
+def cards(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of whole groups of digits that pass Luhn and don't overlap: those as cards are printed and begin first, then the longest, then the first."""
+    for run in _RUN.finditer(text):
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        if re.match(r"[\w-]", text[run.end() : run.end() + 1]):
+            groups.pop()
+        found = []
+        for i in range(len(groups)):
+            n = 0
+            for j in range(i, len(groups)):
+                n += groups[j][1] - groups[j][0]
+                if n > 19:
+                    break
+                if n >= 13 and luhn(text[groups[i][0] : groups[j][1]]):
+                    usual = i == j or tuple(b - a for a, b in groups[i : j + 1]) in _PRINTED
+                    found.append((not usual, text[groups[i][0]] not in "23456", -n, i, j + 1))
+        used = bytearray(len(groups))
+        for *_, i, j in sorted(found):
+            if not any(used[i:j]):
+                used[i:j] = b"\1" * (j - i)
+                yield groups[i][0], groups[j - 1][1]
+
+
+_COUNTRY, _ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}"), re.compile(r"[ -]?[A-Z0-9]")
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start the longest span that passes modulo 97, and on behind it; a start without one is passed by alone."""
+    at = 0
+    while m := _COUNTRY.search(text, at):
+        ends, end = [], m.end()
+        for _ in range(30):
+            if not (c := _ACCOUNT.match(text, end)):
+                break
+            end = c.end()
+            if not re.match(r"\w", text[end : end + 1]):
+                ends.append(end)
+        at = next((e for e in reversed(ends) if mod97(text[m.start() : e])), 0)
+        if at:
+            yield m.start(), at
+        else:
+            at = m.start() + 1
+
+
 @dataclass(frozen=True)
 class Kind:
     pattern: str
     score: float
     context: str
     valid: Callable[[str], bool] | None = None
+    #: Finds the valid spans in place of the expression, where a valid one may lie inside one that is refused.
+    search: Callable[[str], Iterator[tuple[int, int]]] | None = None
 
 
 KINDS: dict[str, Kind] = {
     "email": Kind(r"(?<![\w.+%-])[\w+%-](?:[\w.+%-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![\w-])", 0.9, "e-?mail|mail|contact|kontakt|correo|courriel|write"),
-    "card": Kind(r"(?<![\w.-])(?:\d[ -]?){12,18}\d(?![\w-])", 0.7, "card|visa|mastercard|amex|credit|karte|carte|tarjeta|cvv", luhn),
-    "iban": Kind(r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{1,4}){3,8}(?!\w)", 0.8, "iban|konto|account|bank|compte|cuenta|bic", mod97),
+    "card": Kind(r"(?<![\w.-])(?:\d[ -]?){12,18}\d(?![\w-])", 0.7, "card|visa|mastercard|amex|credit|karte|carte|tarjeta|cvv", luhn, cards),
+    "iban": Kind(r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{1,4}){3,8}(?!\w)", 0.8, "iban|konto|account|bank|compte|cuenta|bic", mod97, ibans),
     "ipv4": Kind(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", 0.6, "ip|address|host|server|adresse|direcci.n", octets),
     "us_ssn": Kind(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", 0.5, "ssn|social|security", social_security),
     "phone": Kind(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{1,4}(?:[.-]?\d{2,4}| \d{2,4}(?![\d.]*\d)){1,5}(?![\w-])", 0.6, "phone|tel|call|mobile|fax|telefon|handy|tel.fono|t.l.phone|portable", dialled),
@@ -105,13 +158,12 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of the findings in text, in order; positions count characters."""
     found = []
     for kind, how in KINDS.items():
-        for m in _FIND[kind].finditer(text):
-            if how.valid is not None and not how.valid(m.group()):
-                continue
-            near = text[max(0, m.start() - WINDOW) : m.start()] + "\n" + text[m.end() : m.end() + WINDOW]
+        spans = how.search(text) if how.search else (m.span() for m in _FIND[kind].finditer(text) if how.valid is None or how.valid(m.group()))
+        for start, end in spans:
+            near = text[max(0, start - WINDOW) : start] + "\n" + text[end : end + WINDOW]
             score = round(min(1.0, how.score + CONTEXT * bool(_NEAR[kind].search(near))), 2)
             if score >= FINDING:
-                found.append((kind, m.start(), m.end(), score))
+                found.append((kind, start, end, score))
     found.sort(key=lambda x: (x[1], -x[2], -x[3], x[0]))
     kept: list[tuple[str, int, int, float]] = []
     for x in found:
