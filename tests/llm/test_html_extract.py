@@ -100,3 +100,24 @@ def test_query_on_the_small_tables(spark):
         import html
 
         assert r.text.split() == html.unescape(words).split()
+
+
+LINKS = f"<ul><li><a href=a>{LONG}</a><li><a href=b>{LONG}</a></ul>"
+
+
+@pytest.mark.parametrize("h,want", [
+    (f"<!doctype html><title>t</title><p>{LONG} a</p><p>{LONG} b</p>", f"{LONG} a\n{LONG} b"),
+    (f"<p>{LONG} a<p>{LONG} b<nav>{LINKS}</nav>", f"{LONG} a\n{LONG} b"),
+    (f"<html><p>{LONG} a</p><p>{LONG} b</p>", f"{LONG} a\n{LONG} b"),
+    (f"<body>{LONG} direct", f"{LONG} direct"),
+    (f"{LONG} no tag", f"{LONG} no tag"),
+    (f"<body>{LONG} a<br>{LONG} b<br><br>{LONG} <b>c</b><nav>{LINKS}</nav></body>", f"{LONG} a\n{LONG} b\n{LONG} c"),
+    (f"<body><nav>menu</nav>{(LONG + ' ') * 3}<br><br>{LONG}<div><p>Copyright of someone, some year or other</p></div></body>", f"{' '.join([LONG] * 3)}\n{LONG}\nCopyright of someone, some year or other"),
+    (f"<body>{LONG} beside<div class=content><p>{LONG}</p><p>{LONG}</p></div></body>", f"{LONG} beside\n{LONG}\n{LONG}"),
+    (f"<body><span>{LONG} in a span</span></body>", f"{LONG} in a span"),
+    (f"<body><form id=aspnetForm><nav>{LINKS}</nav><div><p>{LONG} a</p><p>{LONG} b</p></div><p>{LONG} c</p></form></body>", f"{LONG} a\n{LONG} b\n{LONG} c"),
+    (f"<body><form><p>{LONG} asked</p></form><div><p>{LONG} a</p><p>{LONG} b</p></div></body>", f"{LONG} a\n{LONG} b"),
+    (f"<body>{LINKS}</body>", ""),
+])
+def test_pages_without_a_body_or_with_text_directly_in_it(h, want):
+    assert he.extract(h)[1] == want

@@ -10,17 +10,21 @@ block) of MIN_CHARS characters pass points to their ancestors: 1, 1 for each
 comma, 1 for each 100 characters up to 3.  The parent gets all of them, the
 grandparent half, the levels above that 1/(3 * level).  What is navigation, a
 form or the like by its tag, or an advertisement, menu or the like by its class
-or id, is left out.  An ancestor's points
+or id, is left out, but for a form that holds most of the page's text.  Text
+directly in the body counts as paragraphs of the body, split by blocks and
+double line breaks; without a body or html element the page itself is the body.
+An ancestor's points
 start from its tag and from words in its class and id, and are discounted at
 the end by link density, the share of its text in links.  The best container is
 kept whole but for parts that are mostly links, and so are siblings of the best
-that score a fifth of it (10 at least), and sibling paragraphs with few links.
+that score a fifth of it (10 at least), and sibling paragraphs, text directly in the body among them, with few links.
 
 Pages are independent: one pass in Arrow batches without a shuffle.
 
 Defined cases: null or empty html gives an empty text and score 0; a page without
-a paragraph that scores gives its first article or main element, and nothing if
-it has none, with score 0; broken markup is read as above; ties go to the
+a paragraph that scores gives its first article or main element, without one the
+whole body if it has MIN_CHARS characters and isn't mostly links, and else
+nothing, with score 0; broken markup is read as above; ties go to the
 container that comes first; very long pages are read whole; rows that repeat
 are each extracted; an empty table gives no rows; further columns are not
 carried.
@@ -82,6 +86,41 @@ class Tree:
                     self._begin(open_, tag, m[6])
         if at < len(page):
             self._say(open_[-1], page[at:])
+        #: The body, or what stands for it.
+        self.top = next((self.tag.index(t) for t in ("body", "html") if t in self.tag), 0)
+        self.wrappers = self._wrappers() if "form" in self.tag else frozenset()
+
+    def _wrappers(self) -> frozenset[int]:
+        """Forms that hold more than half of the page's text."""
+        chars = [0] * len(self.tag)
+        for node, s in self.text:
+            chars[node] += 0 if s.isspace() else len(s)
+        for i in range(len(chars) - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        return frozenset(i for i, t in enumerate(self.tag) if t == "form" and 2 * chars[i] > chars[0])
+
+    def direct(self, outside: list[bool]) -> list[list[int]]:
+        """Places in text of the runs of MIN_CHARS characters that lie in the top element and in no block below it; some of it not even in a span or the like."""
+        flows = [False] * len(self.tag)
+        for i in range(self.top, len(self.tag)):
+            flows[i] = i == self.top or (flows[self.parent[i]] and self.tag[i] not in BLOCK and not outside[i])
+        runs, run, broken = [], [], False
+        for k, (node, s) in enumerate(self.text):
+            if s == "\n":
+                if broken:
+                    runs.append(run)
+                    run = []
+                broken = True
+            elif not s.isspace():
+                broken = False
+                if not flows[node]:
+                    runs.append(run)
+                    run = []
+            if flows[node]:
+                run.append(k)
+        runs.append(run)
+        size = lambda r: sum(len(self.text[k][1]) for k in r if not self.text[k][1].isspace())
+        return [r for r in runs if size(r) >= MIN_CHARS and any(self.text[k][0] == self.top and not self.text[k][1].isspace() for k in r)]
 
     def _say(self, node: int, raw: str) -> None:
         if raw and not raw.isspace():
@@ -118,14 +157,14 @@ class Tree:
 
 def set_aside(tree: Tree, i: int) -> bool:
     """Whether an element is no content by its tag, or by its class and id."""
-    if tree.tag[i] in ASIDE:
+    if tree.tag[i] in ASIDE and i not in tree.wrappers:
         return True
     named = tree.named[i]
     return bool(named) and tree.tag[i] not in ("html", "body", "main", "article") and bool(BAD_WORDS.search(named)) and not GOOD_WORDS.search(named)
 
 
-def weigh(tree: Tree) -> tuple[list[float], list[int], list[int], list[bool]]:
-    """(score, characters, characters in links, is a paragraph) of each element."""
+def weigh(tree: Tree) -> tuple[list[float], list[int], list[int], list[bool], list[list[int]]]:
+    """(score, characters, characters in links, is a paragraph) of each element, and the body's own paragraphs."""
     n = len(tree.tag)
     chars, linked, commas = [0] * n, [0] * n, [0] * n
     for node, s in tree.text:
@@ -143,21 +182,42 @@ def weigh(tree: Tree) -> tuple[list[float], list[int], list[int], list[bool]]:
     paragraph = [(t in PARAGRAPH or t in ("div", "section", "article")) and not holds_block[i] for i, t in enumerate(tree.tag)]
     outside = [False] * n
     points: dict[int, float] = {}
-    for i in range(1, n):
-        outside[i] = outside[tree.parent[i]] or set_aside(tree, i)
-        if outside[i] or not paragraph[i] or chars[i] < MIN_CHARS:
-            continue
-        worth = 1.0 + commas[i] + min(chars[i] // 100, 3)
-        up, level = tree.parent[i], 0
-        while up > 0:
+
+    def give(up: int, n_commas: int, n_chars: int) -> None:
+        worth, level = 1.0 + n_commas + min(n_chars // 100, 3), 0
+        while up > 0 or up == tree.top:
             if up not in points:
                 points[up] = START.get(tree.tag[up], 0.0) + (25.0 * (bool(GOOD_WORDS.search(tree.named[up])) - bool(BAD_WORDS.search(tree.named[up]))) if tree.named[up] else 0.0)
             points[up] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = tree.parent[up], level + 1
+
+    for i in range(1, n):
+        outside[i] = outside[tree.parent[i]] or set_aside(tree, i)
+        if not outside[i] and paragraph[i] and chars[i] >= MIN_CHARS:
+            give(tree.parent[i], commas[i], chars[i])
+    runs = tree.direct(outside)
+    for run in runs:
+        said = [s for s in (tree.text[k][1] for k in run) if not s.isspace()]
+        give(tree.top, sum(s.count(",") for s in said), sum(map(len, said)))
     score = [0.0] * n
     for i, x in points.items():
         score[i] = x * (1 - (linked[i] / chars[i] if chars[i] else 0.0))
-    return score, chars, linked, paragraph
+    return score, chars, linked, paragraph, runs
+
+
+def _within(tree: Tree, top: int) -> list[bool]:
+    """Whether an element lies in top and in nothing that is set aside."""
+    out = [False] * len(tree.tag)
+    for i in range(top, len(out)):
+        out[i] = i == top or (out[tree.parent[i]] and not set_aside(tree, i))
+    return out
+
+
+def _in_links(tree: Tree) -> list[bool]:
+    out = [False] * len(tree.tag)
+    for i in range(1, len(out)):
+        out[i] = tree.tag[i] == "a" or out[tree.parent[i]]
+    return out
 
 
 def extract(page: str | None) -> tuple[str, str, float]:
@@ -165,17 +225,23 @@ def extract(page: str | None) -> tuple[str, str, float]:
     if not page:
         return "", "", 0.0
     tree = Tree(page)
-    score, chars, linked, paragraph = weigh(tree)
+    score, chars, linked, paragraph, runs = weigh(tree)
     n = len(tree.tag)
     best = max(range(n), key=lambda i: (score[i], -i))
     if score[best] <= 0:
-        best = next((i for i in range(1, n) if tree.tag[i] in ("article", "main")), 0)
-        if not best:
-            return tree.title, "", 0.0
+        best = next((i for i in range(1, n) if tree.tag[i] in ("article", "main")), -1)
+        if best < 0:
+            best = tree.top
+            whole = _within(tree, best)
+            size = sum(len(s) for node, s in tree.text if whole[node] and not s.isspace())
+            links = _in_links(tree)
+            if size < MIN_CHARS or 2 * sum(len(s) for node, s in tree.text if whole[node] and links[node] and not s.isspace()) > size:
+                return tree.title, "", 0.0
         score[best] = 0.0
     density = [linked[i] / chars[i] if chars[i] else 0.0 for i in range(n)]
     least = max(10.0, 0.2 * score[best])
     kept = [False] * n
+    kept[0] = best == 0
     for i in range(1, n):
         if i == best:
             kept[i] = True
@@ -190,8 +256,16 @@ def extract(page: str | None) -> tuple[str, str, float]:
     block = [0] * n
     for i in range(1, n):
         block[i] = i if tree.tag[i] in BLOCK else block[tree.parent[i]]
-    for node, s in tree.text:
-        if not kept[node]:
+    beside: set[int] = set()
+    if best and tree.parent[best] == tree.top:
+        links = _in_links(tree)
+        for run in runs:
+            said = [(node, len(s)) for node, s in (tree.text[k] for k in run) if not s.isspace()]
+            size = sum(k for _, k in said)
+            if size > 80 and sum(k for node, k in said if links[node]) < 0.25 * size:
+                beside.update(run)
+    for k, (node, s) in enumerate(tree.text):
+        if not kept[node] and k not in beside:
             continue
         if block[node] != last or s == "\n":
             lines.append("".join(line))
