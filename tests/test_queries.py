@@ -105,3 +105,18 @@ class Random:
 def test_random_statements(spark, duck, seed):
     text = Random(seed).statement()
     same(q.engine(spark, DATA).query(text), duck.sql(q.WITH + text))
+
+
+@pytest.mark.parametrize("text,sql", [
+    ("SELECT event_id, 1 AS one, 2.5 AS half, 'it''s' AS text, TRUE AS yes, INTERVAL '5 minutes' AS five, now() - 1h AS before FROM logs -- a comment\n;", f"SELECT event_id, 1 AS one, 2.5::DOUBLE AS half, 'it''s' AS text, TRUE AS yes, 300000000000 AS five, {q.NOW - q.HOUR} AS before FROM logs"),
+    ('SELECT l.event_id "the id", l.user_id AS u, u * 2 AS twice, twice + 1 AS more FROM logs l', 'SELECT event_id AS "the id", user_id AS u, user_id * 2 AS twice, user_id * 2 + 1 AS more FROM logs'),
+    ("SELECT event_id FROM logs ORDER BY event_id OFFSET 4",) * 2,
+    ("SELECT event_id FROM logs ORDER BY user_id % 5 DESC, event_id",) * 2,
+    ("SELECT event_id, severity_text FROM logs ORDER BY severity_text DESC, event_id", "SELECT event_id, severity_text FROM logs ORDER BY severity_text DESC NULLS LAST, event_id"),
+])
+def test_whole_tables(spark, duck, text, sql):
+    """What literals, aliases, offset_alone, order_by_expression and order_nulls_last do to some rows, over all rows."""
+    got, want = q.engine(spark, DATA).query(text), duck.sql(q.WITH + sql)
+    if "ORDER" in text:
+        assert [tuple(r) for r in got.collect()] == want.fetchall()
+    same(got, want)
