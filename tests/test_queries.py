@@ -120,3 +120,21 @@ def test_whole_tables(spark, duck, text, sql):
     if "ORDER" in text:
         assert [tuple(r) for r in got.collect()] == want.fetchall()
     same(got, want)
+
+
+@pytest.mark.parametrize("name", ["store_compacted", "stream_ingest", "stream_windows"])
+def test_all_days(spark, duck, monkeypatch, name):
+    """What these queries read back of some days, of all days; of stream_windows but for what the watermark keeps open."""
+    last = duck.sql("SELECT max(epoch_us(ts) * 1000) FROM events").fetchall()[0][0]
+    end = (last - q.HOUR) // q.DAY * q.DAY if name == "stream_windows" else last + 1
+    sql = q.ORACLE_SQL[name].replace(str(q.T0), "0").replace(str(q.T1), str(end))
+    monkeypatch.setattr(q, "T0", 0)
+    monkeypatch.setattr(q, "T1", end)
+    same(q.QUERIES[name](spark, DATA), duck.sql(sql))
+
+
+def test_range_join_of_all_errors(spark, duck):
+    m = q._metrics(spark, DATA)
+    spans = m.filter("event_type = 'error'").selectExpr("event_id AS span", "timestamp_ns AS low", f"timestamp_ns + {q.HOUR} AS high")
+    got = q.joins.within(m.select("event_id", "timestamp_ns"), spans, "timestamp_ns", "low", "high", q.HOUR).select("span", "event_id")
+    same(got, duck.sql(q.ORACLE_SQL["range_join"].replace(" AND s.value > 150", "")))
