@@ -128,3 +128,18 @@ def test_query_on_the_small_tables(spark):
     for i, g in group.items():
         near = [jaccard(docs[i], docs[k]) for k, h in group.items() if h == g and k != i]
         assert max(near) > sm.THRESHOLD - 0.15
+
+
+def test_pairs_that_stand_alone_about_the_threshold(make):
+    docs, true = [], []
+    for k in range(240):
+        words = [f"p{k}w{i}" for i in range(300)]
+        shared = (188 + k % 13) if k < 120 else (203 + k % 13)
+        docs += [" ".join(words), " ".join(words[:shared] + [w + "x" for w in words[shared:]])]
+        true.append(jaccard(*map(shingles, docs[-2:])))
+    got = {r.doc_id: r.group_id for r in sm.groups(make(docs)).collect()}
+    hit = [2 * k in got for k in range(240)]
+    far, near = [h for h, j in zip(hit, true) if j < sm.THRESHOLD], [h for h, j in zip(hit, true) if sm.THRESHOLD <= j < 0.57]
+    assert len(far) > 100 and len(near) > 100
+    assert not any(far) and sum(near) >= 0.95 * len(near)
+    assert all(got.get(2 * k) == got.get(2 * k + 1) for k in range(240))

@@ -15,9 +15,11 @@ are drawn together, as arrays.
    a bucket.  Buckets of the same members, as copies make in many bands, are
    looked at once.
 4. verification: in a bucket, the share of equal signature values, corrected for
-   the chance that one-byte values agree, must be THRESHOLD.  A walk compares
-   each member with those that no group of the bucket has yet: all pairs are
-   decided, but a bucket of n near copies costs about n comparisons.
+   the chance that one-byte values agree, estimates the similarity.  From
+   THRESHOLD + MARGIN a pair is verified: a walk compares each member with those
+   that no group of the bucket has yet, so a bucket of n near copies costs about
+   n comparisons.  Pairs between these groups within MARGIN of THRESHOLD are
+   decided by their exact sets of elements.  MARGIN is three deviations.
 5. Verified pairs are united (components.py); a group keeps its least doc_id.
 
 Nothing is capped.  Defined cases: null or wordless texts and null doc_ids are
@@ -40,8 +42,8 @@ from tracemill.llm.cluster import prepare, settle
 from tracemill.llm.components import components
 
 SHINGLE = 3
-M, BANDS, ROWS = 128, 32, 4
-THRESHOLD = 0.5
+M, BANDS, ROWS = 128, 42, 3
+THRESHOLD, MARGIN = 0.5, 0.13
 #: Elements whose permutations are held at once (M bytes each).
 BLOCK = 1 << 17
 
@@ -99,8 +101,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "same1", "same2", "bands", "sketch"])
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).mapInArrow(_sketch, "doc_id long, same1 long, same2 long, bands array<long>, sketch binary")
+    return _texts(docs).mapInArrow(_sketch, "doc_id long, same1 long, same2 long, bands array<long>, sketch binary")
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -165,6 +171,25 @@ def unite(doc: np.ndarray, sketch: np.ndarray, threshold: float = THRESHOLD) ->
     return doc[np.concatenate(members)], doc[np.concatenate(roots)]
 
 
+def _unsure(doc: np.ndarray, sketch: np.ndarray, sure: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket that the estimate doesn't decide, between different groups of the sure."""
+    member, root = sure
+    group = doc.copy()
+    if len(member):
+        order = np.argsort(member, kind="stable")
+        at = np.minimum(np.searchsorted(member[order], doc), len(member) - 1)
+        group = np.where(member[order][at] == doc, root[order][at], doc)
+    u, v = [doc[:0]], [doc[:0]]
+    for i in range(len(doc) - 1):
+        rest = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        if len(rest):
+            near = agreement(sketch[rest], sketch[i])
+            near = rest[(near >= THRESHOLD - MARGIN) & (near < THRESHOLD + MARGIN)]
+            u.append(np.maximum(doc[near], doc[i]))
+            v.append(np.minimum(doc[near], doc[i]))
+    return np.concatenate(u), np.concatenate(v)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_runs(batches):
         bucket, doc = t.column(0).to_numpy(), t.column(1).to_numpy()
@@ -172,14 +197,52 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bound = _runs(bucket)
         pair = np.flatnonzero(np.diff(bound) == 2)
         i = bound[pair]
-        good = agreement(sketch[i], sketch[i + 1]) >= THRESHOLD
-        u, v = [np.maximum(doc[i], doc[i + 1])[good]], [np.minimum(doc[i], doc[i + 1])[good]]
+        near = agreement(sketch[i], sketch[i + 1])
+        hi, lo = np.maximum(doc[i], doc[i + 1]), np.minimum(doc[i], doc[i + 1])
+        good = near >= THRESHOLD + MARGIN
+        maybe = ~good & (near >= THRESHOLD - MARGIN)
+        found = {True: ([hi[good]], [lo[good]]), False: ([hi[maybe]], [lo[maybe]])}
         for k in np.flatnonzero(np.diff(bound) > 2):
             a, b = bound[k], bound[k + 1]
-            x, y = unite(doc[a:b], sketch[a:b])
-            u.append(x)
-            v.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+            sure = unite(doc[a:b], sketch[a:b], THRESHOLD + MARGIN)
+            for key, (x, y) in ((True, sure), (False, _unsure(doc[a:b], sketch[a:b], sure))):
+                found[key][0].append(x)
+                found[key][1].append(y)
+        for key, (u, v) in found.items():
+            u, v = np.concatenate(u), np.concatenate(v)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), key))], ["u", "v", "sure"])
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct elements of each text, sorted."""
+    for batch in batches:
+        for a, b, data, off in tk.chunks(batch.column(1)):
+            row, h = tk.Words(data, off, tk.ALNUM).shingles(SHINGLE)
+            pairs = np.unique(np.rec.fromarrays([row, h], names="row,h"))
+            first = np.searchsorted(pairs.row, np.arange(b - a + 1)).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(first), pa.array(np.ascontiguousarray(pairs.h).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], ["doc_id", "elements"])
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v, elements of u, elements of v) of at least THRESHOLD."""
+    for batch in batches:
+        good = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good[i] = both >= THRESHOLD * (len(x) + len(y) - both) - 1e-9
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], ["u", "v"])
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u, v): the sure pairs, and the others that their elements confirm."""
+    pairs = settle(pairs.distinct())
+    unsure = pairs.filter("NOT sure").select("u", "v")
+    asked = unsure.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = settle(_texts(docs).join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_elements, "doc_id long, elements array<long>"))
+    both = unsure.join(sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("y")), "v")
+    return pairs.filter("sure").select("u", "v").union(both.select("u", "v", "x", "y").mapInArrow(_exact, "u long, v long"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -191,9 +254,9 @@ def groups(docs: DataFrame) -> DataFrame:
     first = sketched.join(alike.select(F.col("first").alias("doc_id"), "same1", "same2"), ["doc_id", "same1", "same2"], "left_semi")
     bands = first.select(F.explode("bands").alias("band"), "doc_id").repartition("band").sortWithinPartitions("band")
     buckets = bands.mapInArrow(_buckets, "bucket long, doc_id long").distinct()
-    pairs = buckets.join(first.select("doc_id", "sketch"), "doc_id").select("bucket", "doc_id", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify, "u long, v long")
+    pairs = buckets.join(first.select("doc_id", "sketch"), "doc_id").select("bucket", "doc_id", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify, "u long, v long, sure boolean")
     copies = sketched.join(alike.filter("n > 1"), ["same1", "same2"]).filter("doc_id != first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    joined = components(pairs.union(copies))
+    joined = components(verified(docs, pairs).union(copies))
     roots = joined.select(F.col("root").alias("node"), "root").distinct()
     return joined.union(roots).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
 
