@@ -206,3 +206,21 @@ def test_feedback(spark, tmp_path):
     assert f.examples() == [("qb", "select 2"), ("qc", "select 3")] and f.examples(1) == [("qb", "select 2")]
     with pytest.raises(KeyError):
         f.rate("none", True)
+
+
+def test_deep_arrays_keep_their_elements(spark):
+    def nested(depth):
+        return {"arrayValue": {"values": [{"stringValue": "]}x"}, nested(depth - 1)]}} if depth else {"intValue": "7"}
+
+    for depth in (2, 3, 4, 6):
+        request = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": "1", "body": nested(depth)}]}]}]}
+        got = json.loads(otlp.logs(spark.createDataFrame([(json.dumps(request),)], "value string")).collect()[0].body)
+        for _ in range(min(depth, 3)):
+            assert got[0] == "]}x"
+            got = got[1]
+        if depth == 4:
+            assert got == nested(1)["arrayValue"]["values"]
+        if depth == 6:
+            assert got == nested(3)["arrayValue"]["values"]
+        if depth < 4:
+            assert got == 7

@@ -26,7 +26,7 @@ _SPAN = (
     f"struct<traceId: string, spanId: string, parentSpanId: string, name: string, kind: string, startTimeUnixNano: string, endTimeUnixNano: string, status: struct<code: string, message: string>, "
     f"attributes: {_ATTRIBUTES}, events: array<{_EVENT}>, links: array<{_LINK}>>"
 )
-#: Arrays within arrays that are still decoded.
+#: Arrays within arrays that are still decoded; the elements of deeper ones stay the JSON that they came as.
 _DEPTH = 3
 
 
@@ -39,7 +39,8 @@ def quote(x: Column) -> Column:
 def any_value(v: Column, depth: int = _DEPTH) -> Column:
     """A value as plain JSON. Kinds that aren't decoded, and missing values, are the empty string."""
     whole = v["intValue"].try_cast("long")
-    items = F.lit('""')
+    raw = F.transform(v["arrayValue"]["values"], lambda x: F.when(x.startswith("{"), x).otherwise(F.lit('""')))
+    items = F.concat(F.lit("["), F.array_join(raw, ","), F.lit("]"))
     if depth:
         items = F.concat(F.lit("["), F.array_join(F.transform(v["arrayValue"]["values"], lambda x: any_value(F.from_json(x, _VALUE), depth - 1)), ","), F.lit("]"))
     return (
