@@ -81,3 +81,11 @@ def test_prefix_is_rarest_first():
 def test_query_on_the_small_tables(spark):
     read = lambda n, k: [tuple(r) for r in spark.read.parquet(f"{DATA}/sf0.001/{n}.parquet").select(k, "text").collect()]
     assert sorted(tuple(r) for r in dc.op3_decontamination(spark, f"{DATA}/sf0.001").collect()) == brute(read("documents", "doc_id"), read("benchmark", "item_id"))
+
+
+def test_texts_of_one_id_and_one_length(spark, make):
+    texts = [prose(70 + k, 40) for k in range(3)]
+    benchmark = spark.createDataFrame([(1, t) for t in texts] + [(1, texts[0])], "item_id long, text string")
+    docs = make([f"{prose(90 + k, 60)} {t} {prose(95 + k, 60)}" for k, t in enumerate(texts)] + [prose(99, 200)])
+    assert sorted((r.doc_id, r.item_id, r.containment) for r in dc.leaks(docs, benchmark).collect()) == [(k, 1, 1.0) for k in range(3)]
+    assert [r.doc_id for r in dc.drop_leaks(docs, benchmark).collect()] == [3]

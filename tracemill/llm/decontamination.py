@@ -69,16 +69,17 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, off in tk.chunks(batch.column(1)):
             w = tk.Words(data, off, tk.ALNUM)
             row, h = w.shingles(SHINGLE)
+            same = tk.span_hash(w.hash, w.first[:-1], w.first[1:], 1).view(np.int64)
             pairs = np.unique(np.rec.fromarrays([row, h], names="row,h"))
             ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs.row]), pa.array(np.diff(w.first)[pairs.row]), pa.array(pairs.h.view(np.int64))], ["item_id", "words", "shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs.row]), pa.array(np.diff(w.first)[pairs.row]), pa.array(np.ascontiguousarray(pairs.h).view(np.int64)), pa.array(same[pairs.row])], ["item_id", "words", "shingle", "same"])
 
 
 def slices(benchmark: DataFrame, limit: int = SLICE_SHINGLES) -> Iterator[Items]:
     """The benchmark in pieces of at most `limit` shingles, an item at least."""
-    rows = _lower(benchmark, "item_id").mapInArrow(_shingled, "item_id long, words long, shingle long")
-    # Text that repeats under one id counts once a text: the words tell the texts of an id apart.
-    listed = rows.groupBy("item_id", "words").agg(F.collect_set("shingle").alias("shingles")).orderBy("item_id", "words")
+    rows = _lower(benchmark, "item_id").mapInArrow(_shingled, "item_id long, words long, shingle long, same long")
+    # Text that repeats under one id counts once a text: a hash of the words tells the texts of an id apart.
+    listed = rows.groupBy("item_id", "words", "same").agg(F.collect_set("shingle").alias("shingles")).orderBy("item_id", "words", "same")
     ids, words, shingles, held = [], [], [], 0
 
     def made() -> Items:
