@@ -11,12 +11,18 @@ characters before or after raises the score by CONTEXT; FINDING is the least
 score of a finding.  Where findings overlap, the one that starts first, then
 the longest, then the best stays.
 
-Texts without a digit, an at sign, a colon or an equals sign hold nothing of
-these kinds and are passed by without a regular expression; others are searched
-whole.
+Every kind needs a digit, an at sign, a colon, an equals sign or the beginning
+of a known form of key.  A text without any of them can hold nothing and is
+passed by; digits are those of any script, and every other text is searched
+whole.  Each search takes time in proportion to the text: an expression either
+has a bounded length, or no two of its starts read on over the same characters.
+
+A secret is a name with one of SECRET_WORDS at a boundary of its parts
+(`password`, `DB_PASSWORD`, `clientSecret`) and what is assigned to it: up to
+the closing quote, or up to white space, a comma or a bracket.
 
 Defined cases: a null or empty text has no finding and stays as it is; null
-doc_ids keep their findings; very long texts are searched whole; rows that
+doc_ids, and ids of any type, keep their findings; very long texts are searched whole; rows that
 repeat are each reported; an empty table gives no rows; further columns stay in
 `redact`, and n_chars, where present, becomes the length of the new text.
 """
@@ -83,16 +89,25 @@ def cards(text: str) -> Iterator[tuple[int, int]]:
         groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
         if re.match(r"[\w-]", text[run.end() : run.end() + 1]):
             groups.pop()
+        # Sums of the digits up to each place, plain and doubled, of even and of odd places: each span's Luhn sum is then a difference.
+        plain, double, edge = [[0], [0]], [[0], [0]], [0]
+        for a, b in groups:
+            for d in map(int, text[a:b]):
+                k = len(plain[0]) - 1 & 1
+                for side in (0, 1):
+                    plain[side].append(plain[side][-1] + d * (side == k))
+                    double[side].append(double[side][-1] + (2 * d - 9 * (d > 4)) * (side == k))
+            edge.append(len(plain[0]) - 1)
         found = []
         for i in range(len(groups)):
-            n = 0
             for j in range(i, len(groups)):
-                n += groups[j][1] - groups[j][0]
-                if n > 19:
+                s, e = edge[i], edge[j + 1]
+                if e - s > 19:
                     break
-                if n >= 13 and luhn(text[groups[i][0] : groups[j][1]]):
+                k = e - 1 & 1
+                if e - s >= 13 and (plain[k][e] - plain[k][s] + double[1 - k][e] - double[1 - k][s]) % 10 == 0 and luhn(text[groups[i][0] : groups[j][1]]):
                     usual = i == j or tuple(b - a for a, b in groups[i : j + 1]) in _PRINTED
-                    found.append((not usual, text[groups[i][0]] not in "23456", -n, i, j + 1))
+                    found.append((not usual, text[groups[i][0]] not in "23456", s - e, i, j + 1))
         used = bytearray(len(groups))
         for *_, i, j in sorted(found):
             if not any(used[i:j]):
@@ -107,12 +122,12 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
     """From each start the longest span that passes modulo 97, and on behind it; a start without one is passed by alone."""
     at = 0
     while m := _COUNTRY.search(text, at):
-        ends, end = [], m.end()
-        for _ in range(30):
+        ends, end, length = [], m.end(), _IBAN_LENGTH.get(m.group()[:2])
+        for n in range(5, 35):
             if not (c := _ACCOUNT.match(text, end)):
                 break
             end = c.end()
-            if not re.match(r"\w", text[end : end + 1]):
+            if n == (length or max(n, 15)) and not re.match(r"\w", text[end : end + 1]):
                 ends.append(end)
         at = next((e for e in reversed(ends) if mod97(text[m.start() : e])), 0)
         if at:
@@ -121,6 +136,25 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
             at = m.start() + 1
 
 
+#: What a secret's name ends with, or has before a further part.
+SECRET_WORDS = r"(?:api|access|secret|private|account|encryption|auth)[_-]?key|(?:auth|access|refresh|session|bearer)[_-]?token|client[_-]?secret|token|secret|password|passphrase|passwd|pwd"
+
+
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Assignments to a secret's name, from where the name begins; a stop at the end of the value isn't part of it."""
+    done = 0
+    for m in _FIND["secret"].finditer(text):
+        start, end = m.span()
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "_-."):
+            start -= 1
+        while text[start] in "-.":
+            start += 1
+        while text[end - 1] in ".:?":
+            end -= 1
+        done = m.end()
+        yield start, end
+
+
 @dataclass(frozen=True)
 class Kind:
     pattern: str
@@ -140,11 +174,14 @@ KINDS: dict[str, Kind] = {
     "phone": Kind(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{1,4}(?:[.-]?\d{2,4}| \d{2,4}(?![\d.]*\d)){1,5}(?![\w-])", 0.6, "phone|tel|call|mobile|fax|telefon|handy|tel.fono|t.l.phone|portable", dialled),
     "phone_plain": Kind(r"(?<![\w+.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])", 0.5, "phone|tel|call|mobile|fax|telefon|handy|tel.fono|t.l.phone|portable", dialled),
     "phone_spaced": Kind(r"(?<![\w+.-])\d{3} \d{3} \d{4}(?![\w-])", 0.4, "phone|tel|call|mobile|fax|telefon|handy|tel.fono|t.l.phone|portable", dialled),
-    "secret": Kind(r"(?i)(?<!\w)(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_=.\-]{8,}[\"']?", 0.9, "key|token|secret|auth"),
-    # Keys by their form; each has a digit, as a text without one is passed by.
+    "secret": Kind(
+        r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:" + SECRET_WORDS + r")[\w-]{0,24}?[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}"
+        r"(?:\"(?:[^\"\\\n]|\\.){8,}+\"|'(?:[^'\\\n]|\\.){8,}+'|[\"']?[^\s\"'`,;&<>()\[\]{}|]{8,}+[\"']?)",
+        0.9, "key|token|secret|auth", search=secrets),
+    # Keys by their form.
     "secret_plain": Kind(
-        r"(?<!\w)(?:AKIA(?=[A-Z]*\d)[0-9A-Z]{16}(?!\w)|gh[pousr]_(?=[A-Za-z]*\d)[A-Za-z0-9]{36}(?!\w)|xox[baprs]-(?=[A-Za-z-]*\d)[A-Za-z0-9-]{10,}|sk-(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{20,}"
-        r"|eyJ(?=[A-Za-z_.-]*\d)[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})|-----BEGIN [A-Z ]*PRIVATE KEY-----(?=[^-\d]*\d)[^-]+-----END [A-Z ]*PRIVATE KEY-----",
+        r"(?<![\w-])(?:AKIA[0-9A-Z]{16}(?!\w)|gh[pousr]_[A-Za-z0-9]{36}(?!\w)|xox[baprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+"
+        r"|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)|-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----(?:[^-]|-(?!----))++-----END \1PRIVATE KEY-----",
         0.9, "key|token|secret|auth"),
 }
 _FIND = {k: re.compile(v.pattern) for k, v in KINDS.items()}
@@ -152,6 +189,9 @@ _NEAR = {k: re.compile(rf"(?i)(?<!\w)(?:{v.context})(?!\w)") for k, v in KINDS.i
 _HINT = np.zeros(256, np.int64)
 _HINT[48:58] = 1
 _HINT[[58, 61, 64]] = 1
+# Digits of other scripts begin with these bytes.
+_HINT[[0xD9, 0xDB, 0xDF, 0xE0, 0xE1, 0xEA, 0xEF, 0xF0]] = 1
+_KEY = r"AKIA[0-9A-Z]{16}|gh[pousr]_|xox[baprs]-|sk-[A-Za-z0-9_-]{20}|eyJ[A-Za-z0-9_-]{10}|-----BEGIN "
 
 
 def scan(text: str) -> list[tuple[str, int, int, float]]:
@@ -173,13 +213,13 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
 
 
 def hinted(column: pa.Array) -> np.ndarray:
-    """Rows with a digit, an at sign, or a sign of assignment."""
+    """Rows with a digit, an at sign, a sign of assignment, or how a key begins."""
     out = [np.zeros(0, bool)]
     for _, _, data, off in tk.chunks(column):
         total = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_HINT[data], out=total[1:])
         out.append(total[off[1:]] > total[off[:-1]])
-    return np.concatenate(out)
+    return np.concatenate(out) | pc.fill_null(pc.match_substring_regex(column, _KEY), False).to_numpy(zero_copy_only=False)
 
 
 _FINDINGS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())]))
