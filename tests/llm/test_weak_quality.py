@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tests.llm.conftest import DATA
 from tracemill.llm import weak_quality as wq
@@ -83,6 +84,32 @@ def test_odd_rows(make):
     assert wq.score_quality(make([])).count() == 0 and wq.filter_quality(make([])).count() == 0
 
 
+def test_any_names_and_ids(make, spark):
+    from pyspark.sql import functions as F
+
+    texts = [varied(i) for i in range(40)] + JUNK * 2
+    odd = {"__votes": "a", "__code": "b", "votes": "c", "CODE": "d", "__quality": "e", "tick`s": "f", "a.b": "g"}
+    docs = make(texts, {k: v for k, v in odd.items() if "`" not in k and "." not in k}).withColumn("tick`s", F.lit("f")).withColumn("a.b", F.lit("g"))
+    rows = wq.filter_quality(docs).collect()
+    assert wq.filter_quality(docs).columns == docs.columns
+    assert sorted(r.doc_id for r in rows) == list(range(40)) and all({k: r[k] for k in odd} == odd for r in rows)
+    text_ids = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {r.doc_id for r in wq.score_quality(text_ids).collect() if r.keep} == {f"d{i}" for i in range(40)}
+
+
+@pytest.mark.parametrize("text", [
+    "Смотритель маяка спустился к берегу, и море в то утро было спокойным. Он сказал, что день хорош для лодок в заливе, и пошёл обратно в дом.",
+    "نزل حارس المنارة إلى الشاطئ وكان البحر هادئا في ذلك الصباح. قال إن اليوم جيد للقوارب في الخليج ثم عاد إلى بيته الصغير قرب الماء.",
+    "灯塔的看守人走到岸边，那天早上海面很平静。他说今天对海湾里的船来说是个好日子。 然后他回到了水边的小屋，点起了灯。",
+    "ผู้ดูแลประภาคารเดินลงไปที่ชายฝั่ง ทะเลเช้าวันนั้นสงบ เขาบอกว่าวันนี้เป็นวันที่ดีสำหรับเรือในอ่าว",
+    "Ο φύλακας του φάρου κατέβηκε στην ακτή και η θάλασσα ήταν ήρεμη εκείνο το πρωί. Είπε πως ήταν καλή μέρα για τις βάρκες.",
+])
+def test_prose_of_other_scripts_has_no_bad_vote(make, text):
+    assert not (wq.votes(pa.array([text])) == wq.BAD).any()
+    docs = [varied(i) for i in range(40)] + JUNK * 2 + [text]
+    assert {r.doc_id: r.keep for r in wq.score_quality(make(docs)).collect()}[50]
+
+
 def test_against_labels(spark):
     rows = wq.op8_weak_quality(spark, f"{DATA}/sf0.01").join(spark.read.parquet(f"{DATA}/sf0.01/labels.parquet"), "doc_id").collect()
     good, bad = [r for r in rows if r.quality and r[-2] == 1], [r for r in rows if r[-2] == 0]

@@ -14,8 +14,11 @@ time where they are, which moves none of them.
 Defined cases: a null or empty text, or one without words, is bad on the
 `length` rule and abstains elsewhere; a very long text is scanned whole; rows
 that repeat are each scored, alike; an empty table gives no rows; further
-columns of any name are kept by `filter_quality`.  Text is measured in words
-between ASCII white space.
+columns of any name are kept by `filter_quality`, and ids may be of any type.
+Text is measured in words between ASCII white space.  Rules made for words in
+Latin letters abstain on other texts: `function_words` where most letters are
+of another script, `word_length` and `sentences` where many are of a script
+that has no spaces or stops of its own.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql.types import LongType
 
 from tracemill.llm import textkit as tk
 from tracemill.llm.cluster import prepare, settle
+from tracemill.llm.columns import fresh, own, quoted
 
 #: name: (measure, bad below, good from, good to, bad above); None: no such side.
 RULES: dict[str, tuple[str, float | None, float, float, float | None]] = {
@@ -60,6 +64,10 @@ FUNCTION_WORDS = (
 ).split()
 _LETTER = np.zeros(256, np.int64)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC2:0xF5] = 1
+#: First bytes of letters beyond Latin ones, and of those of scripts written without spaces (Thai, Khmer, Chinese, Japanese and the like).
+_OTHER, _DENSE = np.zeros(256, np.int64), np.zeros(256, np.int64)
+_OTHER[0xCD:0xF5] = 1
+_DENSE[[0xE0, 0xE1, *range(0xE3, 0xEA)]] = 1
 _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
 _SYMBOL = np.zeros(256, np.int64)
@@ -103,6 +111,8 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
         seen = _per_row(_SEEN[data], off)
         shown = np.where(seen > 0, seen, np.nan)
         letters = _per_row(_LETTER[data], off)
+        latin = 2 * _per_row(_OTHER[data], off) <= letters
+        spaced = 4 * _per_row(_DENSE[data], off) <= letters
         # Capitals outside ASCII: C3 80..C3 9E, the Latin-1 ones.
         upper = _UPPER[data]
         if len(data) > 1:
@@ -117,7 +127,7 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
         stops = np.bincount(w.row[np.isin(last, [46, 33, 63])], minlength=w.rows)
         parts.append({
             "words": n,
-            "mean_word": seen / some,
+            "mean_word": np.where(spaced, seen / some, np.nan),
             "letter_share": letters / shown,
             "symbol_share": _per_row(_SYMBOL[data], off) / shown,
             "capital_share": _per_row(upper, off) / np.where(letters > 0, letters, np.nan),
@@ -125,8 +135,8 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
             "stutter_share": np.bincount(w.row[same], minlength=w.rows) / some,
             "distinct_share": 1 - _repeats(w.row, w.hash, np.ones(len(w)), w.rows) / some,
             "line_repeat_share": _repeats(lines.row, lines.hash, (lines.end - lines.start).astype(float), lines.rows) / np.where(n > 0, np.maximum(1, np.bincount(lines.row, weights=lines.end - lines.start, minlength=lines.rows)), np.nan),
-            "sentence_words": some / np.maximum(1, stops),
-            "function_share": np.bincount(w.row[_FUNCTION[np.minimum(np.searchsorted(_FUNCTION, w.hash), len(_FUNCTION) - 1)] == w.hash], minlength=w.rows) / np.where(n >= 12, n, np.nan),
+            "sentence_words": np.where(latin & spaced, some / np.maximum(1, stops), np.nan),
+            "function_share": np.bincount(w.row[_FUNCTION[np.minimum(np.searchsorted(_FUNCTION, w.hash), len(_FUNCTION) - 1)] == w.hash], minlength=w.rows) / np.where((n >= 12) & latin, n, np.nan),
             "bar_share": np.bincount(w.row[bar], minlength=w.rows) / some,
         })
         # A long text uses its common words again: compare with what its length leads to expect.
@@ -195,37 +205,37 @@ def fit(pattern: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.n
     return prior, prior * theta[1, :, 1] + (1 - prior) * theta[0, :, 0], q
 
 
-def with_code(docs: DataFrame, name: str = "__votes") -> DataFrame:
-    return docs.withColumn(name, _code(F.col("text")))
+def with_code(docs: DataFrame, name: str) -> DataFrame:
+    return docs.select(*own(docs), _code(quoted("text").cast("string")).alias(name))
 
 
-def posteriors(coded: DataFrame) -> DataFrame:
+def posteriors(coded: DataFrame, name: str) -> DataFrame:
     """(code, quality) for each pattern of votes that occurs; at most 3 ** len(RULES) rows."""
-    counted = coded.groupBy("__votes").count().toPandas().sort_values("__votes")
-    pattern, count = counted["__votes"].to_numpy(np.int64), counted["count"].to_numpy(np.int64)
+    counted = coded.groupBy(quoted(name).alias("code")).count().toPandas().sort_values("code")
+    pattern, count = counted["code"].to_numpy(np.int64), counted["count"].to_numpy(np.int64)
     q = fit(pattern, count)[2] if len(pattern) else np.zeros(0)
-    return coded.sparkSession.createDataFrame(pd.DataFrame({"__code": pattern, "__quality": np.round(q, 6)}), "__code long, __quality double")
+    return coded.sparkSession.createDataFrame(pd.DataFrame({"code": pattern, "quality": np.round(q, 6)}), "code long, quality double")
 
 
 def score_quality(docs: DataFrame) -> DataFrame:
     """doc_id, each rule's vote (-1 bad, 0 abstains, 1 good), quality in 0..1 and keep."""
     prepare(docs.sparkSession)
     # The votes are a number a document: kept, so that the texts are read once.
-    coded = settle(with_code(docs.select("doc_id", "text")).drop("text"))
-    learnt = posteriors(coded)
-    scored = coded.join(F.broadcast(learnt), F.col("__votes") == F.col("__code"))
+    coded = settle(with_code(docs.select("doc_id", "text"), "votes").drop("text"))
+    scored = coded.join(F.broadcast(posteriors(coded, "votes")), F.col("votes") == F.col("code"))
     vote = [
-        F.when(F.floor(F.col("__votes") / F.lit(int(p))) % 3 == GOOD, 1).when(F.floor(F.col("__votes") / F.lit(int(p))) % 3 == BAD, -1).otherwise(0).alias(f"vote_{r}")
+        F.when(F.floor(F.col("votes") / F.lit(int(p))) % 3 == GOOD, 1).when(F.floor(F.col("votes") / F.lit(int(p))) % 3 == BAD, -1).otherwise(0).alias(f"vote_{r}")
         for r, p in zip(NAMES, _PLACE)
     ]
-    return scored.select("doc_id", *vote, F.col("__quality").alias("quality"), (F.col("__quality") >= KEEP_FROM).alias("keep"))
+    return scored.select("doc_id", *vote, "quality", (F.col("quality") >= KEEP_FROM).alias("keep"))
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents of posterior quality KEEP_FROM or more, with all their columns."""
     prepare(docs.sparkSession)
-    learnt = posteriors(with_code(docs.select("text"))).filter(F.col("__quality") >= KEEP_FROM)
-    return with_code(docs).join(F.broadcast(learnt), F.col("__votes") == F.col("__code")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    votes, code, quality = fresh(docs, "votes", "code", "quality")
+    learnt = posteriors(with_code(docs.select("text"), "votes"), "votes").toDF(code, quality).filter(F.col(quality) >= KEEP_FROM).select(code)
+    return with_code(docs, votes).join(F.broadcast(learnt), F.col(votes) == F.col(code)).select(*own(docs))
 
 
 def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
