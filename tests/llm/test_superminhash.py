@@ -88,11 +88,73 @@ def test_many_copies_are_one_group(make):
 
 def test_odd_rows(make):
     docs = [(1, None), (2, ""), (3, " .,! "), (4, "word"), (5, "WORD!"), (6, "two words"), (None, "word"), (7, prose(1, 20_000)), (8, prose(1, 20_000) + " tail"), (9, prose(2, 50)), (9, prose(2, 50)), (10, "")]
-    got = {(r.doc_id, r.group_id, r.keep) for r in sm.groups(make(docs)).collect()}
-    assert got == {(4, 4, True), (5, 4, False), (7, 7, True), (8, 7, False)}
+    got = sorted((r.doc_id, r.group_id, r.keep, r.links) for r in sm.groups(make(docs)).collect())
+    assert got == [(4, 4, True, 1), (5, 4, False, 1), (7, 7, True, 1), (8, 7, False, 1), (9, 9, False, 1), (9, 9, True, 1)]
     kept = sm.drop_near_duplicates(make(docs, {"group_id": "g", "bands": "b"}))
     assert kept.columns[-2:] == ["group_id", "bands"]
-    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: -1 if x is None else x) == [None, 1, 2, 3, 4, 6, 7, 9, 9, 10]
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: -1 if x is None else x) == [None, 1, 2, 3, 4, 6, 7, 9, 10]
+
+
+def test_rows_not_ids_stay_or_go(make, spark):
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c), (4, b + " tail"), (5, prose(34, 60))]
+    kept = sm.drop_near_duplicates(make(rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (2, b), (3, c), (5, rows[7][1])])
+    text_ids = make(rows).selectExpr("concat('d', doc_id) AS doc_id", "text")
+    assert sorted((r.doc_id, r.group_id, r.keep) for r in sm.groups(text_ids).collect()) == [("d1", "d1", True), ("d2", "d1", False), ("d2", "d2", True), ("d3", "d3", False), ("d3", "d3", False), ("d3", "d3", True), ("d4", "d2", False)]
+    assert sm.drop_near_duplicates(text_ids).count() == 4
+
+
+def test_columns_of_any_name_are_kept(make):
+    from pyspark.sql import functions as F
+
+    odd = {k: k for k in ("__gone", "key", "KEY_", "doc_id_as_text", "node", "group_id", "keep", "some", "n")}
+    docs = make([prose(1, 50), prose(1, 50), prose(2, 50)], {k: v for k, v in odd.items() if k != "KEY_"}).withColumn("tick`s", F.lit("t")).withColumn("a.b", F.lit("u"))
+    kept = sm.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    assert all(r["tick`s"] == "t" and r["a.b"] == "u" and r["__gone"] == "__gone" and r["key"] == "key" for r in kept.collect())
+
+
+def test_near_copies_without_spaces_between_words(make):
+    r = random.Random(4)
+    sign = lambda: chr(r.randrange(0x4E00, 0x9FA0))
+    base = "".join(sign() for _ in range(300))
+    near = base[:150] + sign() + base[150:]
+    got = {x.doc_id: x.group_id for x in sm.groups(make([base, near, "".join(sign() for _ in range(300))])).collect()}
+    assert got == {0: 0, 1: 0}
+
+
+def test_large_buckets_are_compared_by_parts(make, monkeypatch):
+    base = prose(1, 120)
+    docs = [edited(base, 0.02, i) for i in range(60)] + [prose(100 + i, 80) for i in range(20)]
+    want = sorted(tuple(r) for r in sm.groups(make(docs)).collect())
+    import pyarrow as pa
+
+    nodes = np.arange(50, dtype=np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(50, np.int64)), pa.array(nodes)], ["band", "node"])
+    monkeypatch.setattr(sm, "PART", 7)
+    seen = set()
+    for b in sm._buckets(iter([batch])):
+        by = {}
+        for bucket, node in zip(*(c.to_pylist() for c in b.columns)):
+            by.setdefault(bucket, []).append(node)
+        for x in by.values():
+            assert len(x) <= 14
+            seen.update(combinations(x, 2))
+    assert seen == set(combinations(range(50), 2))
+    assert len(want) == 60
+
+
+def test_sieve_passes_every_wanted_key(spark):
+    from pyspark.sql import functions as F
+
+    from tracemill.llm.sieve import sieve
+
+    keys = spark.range(0, 30_000, 3).select(F.xxhash64("id").alias("k"))
+    test = sieve(keys)
+    assert keys.filter(~test(F.col("k"))).count() == 0
+    assert spark.range(1, 30_000, 3).select(F.xxhash64("id").alias("k")).filter(test(F.col("k"))).count() < 20
+    assert spark.range(50).filter(sieve(keys.limit(0))(F.col("id"))).count() == 0
 
 
 def test_empty(make):

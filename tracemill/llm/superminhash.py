@@ -9,8 +9,10 @@ as soon as its largest signature value is below the next rank - after two or
 three ranks for a usual text.  Here the ranks of all elements of many documents
 are drawn together, as arrays.
 
-1. words: lower case, letters and digits; elements: SHINGLE words.
-2. Documents of the same words are one representative with its copies.
+1. words: lower case, letters and digits, each Chinese or Japanese sign for
+   itself; elements: SHINGLE words.
+2. Documents of the same words are one representative with its copies; what
+   follows goes over representatives.
 3. BANDS bands of ROWS signature values; documents that share a band's hash are
    a bucket.  Buckets of the same members, as copies make in many bands, are
    looked at once.
@@ -19,13 +21,22 @@ are drawn together, as arrays.
    THRESHOLD + MARGIN a pair is verified: a walk compares each member with those
    that no group of the bucket has yet, so a bucket of n near copies costs about
    n comparisons.  Pairs between these groups within MARGIN of THRESHOLD are
-   decided by their exact sets of elements.  MARGIN is three deviations.
+   decided by their exact sets of elements.  MARGIN is three deviations.  A
+   bucket of more than PART members is looked at by pairs of its parts, each
+   pair in a task of its own: no member and no pair is left out.
 5. Verified pairs are united (components.py); a group keeps its least doc_id.
 
+A row is what stays or goes.  It is known by its place in the sketches, which
+are written once, and found again in the documents by doc_id and a hash of its
+text; only rows that may have to go are moved for that (sieve.py), and the
+texts of undecided pairs.
+
 Nothing is capped.  Defined cases: null or wordless texts and null doc_ids are
-in no group; a text of 1 to SHINGLE - 1 words is one element; very long texts
-are taken whole; rows that repeat a doc_id are one document, which stays or goes
-whole (with several texts, it is in the groups of each); an empty table gives no groups; further columns are kept by `drop_near_duplicates`.
+in no group and stay; a text of 1 to SHINGLE - 1 words is one element; very
+long texts are taken whole; rows of one doc_id with different texts are
+different documents; of rows that repeat doc_id and text one stays; ids may be
+of any type; an empty table gives no groups; further columns of any name are
+kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -34,18 +45,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import textkit as tk
 from tracemill.llm.cluster import prepare, settle
+from tracemill.llm.columns import fresh, identified, own, quoted
 from tracemill.llm.components import components
+from tracemill.llm.sieve import sieve
 
 SHINGLE = 3
 M, BANDS, ROWS = 128, 42, 3
 THRESHOLD, MARGIN = 0.5, 0.13
 #: Elements whose permutations are held at once (M bytes each).
 BLOCK = 1 << 17
+#: Members of a bucket that are compared in one place.
+PART = 4096
 
 _EMPTY = np.iinfo(np.uint64).max
 _RANK = tk.U(40)
@@ -79,9 +94,8 @@ def signatures(row: np.ndarray, element: np.ndarray, rows: int, m: int = M) -> n
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for a, b, data, off in tk.chunks(batch.column(1), 1 << 19):
-            w = tk.Words(data, off, tk.ALNUM)
+        for a, b, data, off in tk.chunks(batch.column(2), 1 << 19):
+            w = tk.Words(data, off, tk.ALNUM, dense=True)
             some = np.flatnonzero(np.diff(w.first) > 0)
             if not len(some):
                 continue
@@ -94,19 +108,25 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 band = tk.mix(band * tk.GOLD + sig[:, r : BANDS * ROWS : ROWS] + np.arange(BANDS, dtype=np.uint64))
             low = tk.mix(sig).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([
-                ids.slice(a, b - a).take(pa.array(some)),
+                *(batch.column(c).slice(a, b - a).take(pa.array(some)) for c in (0, 1)),
                 pa.array(same[0]), pa.array(same[1]),
                 pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
                 pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.arange(0, (len(some) + 1) * M, M, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(low))]),
-            ], ["doc_id", "same1", "same2", "bands", "sketch"])
+            ], ["doc_id", "key", "same1", "same2", "bands", "sketch"])
+
+
+def _key() -> Column:
+    """With the doc_id, what a row of the documents is found by."""
+    return F.xxhash64(quoted("text").cast("string"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
+    text = quoted("text").cast("string")
+    return docs.select(identified(docs, "doc_id")[0].alias("doc_id"), _key().alias("key"), F.lower(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    return _texts(docs).mapInArrow(_sketch, "doc_id long, same1 long, same2 long, bands array<long>, sketch binary")
+    return _texts(docs).mapInArrow(_sketch, f"doc_id {identified(docs, 'doc_id')[1]}, key long, same1 long, same2 long, bands array<long>, sketch binary")
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -134,15 +154,25 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (band, doc_id) -> (bucket, doc_id) of buckets of two and more; bucket: a hash of the members."""
+    """Sorted (band, node) -> (bucket, node) of buckets of two and more; bucket: a hash of the members.
+
+    A bucket of more than PART nodes is given out as the pairs of its parts.
+    """
     for t in whole_runs(batches):
-        band, doc = t.column(0).to_numpy(), t.column(1).to_numpy()
+        band, node = t.column(0).to_numpy(), t.column(1).to_numpy()
         bound = _runs(band)
         size = np.diff(bound)
-        name = np.add.reduceat(tk.mix(doc.view(np.uint64) + tk.GOLD), bound[:-1])
-        name = tk.mix(name + size.astype(np.uint64))
-        many = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[many].view(np.int64)), pa.array(doc[many])], ["bucket", "doc_id"])
+        many = np.repeat((size > 1) & (size <= PART), size)
+        name = tk.mix(np.add.reduceat(tk.mix(node.view(tk.U) + tk.GOLD), bound[:-1]) + size.astype(tk.U))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[many].view(np.int64)), pa.array(node[many])], ["bucket", "node"])
+        for k in np.flatnonzero(size > PART):
+            nodes = np.sort(node[bound[k] : bound[k + 1]])
+            parts = [nodes[i : i + PART] for i in range(0, len(nodes), PART)]
+            for i in range(len(parts)):
+                for j in range(i + 1, len(parts)):
+                    both = np.concatenate([parts[i], parts[j]])
+                    key = tk.mix(np.add.reduce(tk.mix(both.view(tk.U) + tk.GOLD), keepdims=True) + tk.U(len(both))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, len(both))), pa.array(both)], ["bucket", "node"])
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -217,11 +247,11 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct elements of each text, sorted."""
     for batch in batches:
         for a, b, data, off in tk.chunks(batch.column(1)):
-            row, h = tk.Words(data, off, tk.ALNUM).shingles(SHINGLE)
+            row, h = tk.Words(data, off, tk.ALNUM, dense=True).shingles(SHINGLE)
             pairs = np.unique(np.rec.fromarrays([row, h], names="row,h"))
             first = np.searchsorted(pairs.row, np.arange(b - a + 1)).astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(first), pa.array(np.ascontiguousarray(pairs.h).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], ["doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], ["node", "elements"])
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,36 +265,58 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], ["u", "v"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, v): the sure pairs, and the others that their elements confirm."""
+def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """(u, v): the sure pairs, and the others that their elements confirm. first: (node, doc_id, key) of each representative."""
     pairs = settle(pairs.distinct())
     unsure = pairs.filter("NOT sure").select("u", "v")
-    asked = unsure.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = settle(_texts(docs).join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_elements, "doc_id long, elements array<long>"))
-    both = unsure.join(sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("y")), "v")
+    asked = settle(first.join(unsure.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node"))
+    # Rows that repeat doc_id and text are taken once.
+    texts = _texts(docs).filter(sieve(asked.select("key"))(F.col("key"))).groupBy("doc_id", "key").agg(F.first("text").alias("text"))
+    sets = settle(texts.join(asked, ["doc_id", "key"]).select("node", "text").mapInArrow(_elements, "node long, elements array<long>"))
+    both = unsure.join(sets.select(F.col("node").alias("u"), F.col("elements").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("elements").alias("y")), "v")
     return pairs.filter("sure").select("u", "v").union(both.select("u", "v", "x", "y").mapInArrow(_exact, "u long, v long"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id, keep) for each document of a group of two and more; keep: it is the least doc_id."""
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, group_id, keep, links): a row for each row of docs in a group of two and more."""
     prepare(docs.sparkSession)
-    sketched = settle(sketches(docs))
-    alike = settle(sketched.groupBy("same1", "same2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    # Representatives: one document of each sequence of words.
-    first = sketched.join(alike.select(F.col("first").alias("doc_id"), "same1", "same2"), ["doc_id", "same1", "same2"], "left_semi")
-    bands = first.select(F.explode("bands").alias("band"), "doc_id").repartition("band").sortWithinPartitions("band")
-    buckets = bands.mapInArrow(_buckets, "bucket long, doc_id long").distinct()
-    pairs = buckets.join(first.select("doc_id", "sketch"), "doc_id").select("bucket", "doc_id", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify, "u long, v long, sure boolean")
-    copies = sketched.join(alike.filter("n > 1"), ["same1", "same2"]).filter("doc_id != first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    joined = components(verified(docs, pairs).union(copies))
-    roots = joined.select(F.col("root").alias("node"), "root").distinct()
-    return joined.union(roots).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
+    sketched = settle(sketches(docs).withColumn("node", F.monotonically_increasing_id()))
+    # Representatives: one row of each sequence of words.
+    alike = settle(sketched.groupBy("same1", "same2").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("n")))
+    alike = alike.select("same1", "same2", "n", F.col("first.node").alias("node"), F.col("first.doc_id").alias("least"))
+    first = sketched.join(alike.select("node"), "node", "left_semi")
+    bands = first.select(F.explode("bands").alias("band"), "node").repartition("band").sortWithinPartitions("band")
+    buckets = bands.mapInArrow(_buckets, "bucket long, node long").distinct()
+    pairs = buckets.join(first.select("node", "sketch"), "node").select("bucket", "node", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify, "u long, v long, sure boolean")
+    joined = components(verified(docs, pairs, first.select("node", "doc_id", "key")))
+    star = joined.union(joined.select(F.col("root").alias("node"), "root").distinct())
+    placed = alike.join(star, "node", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
+    kept = placed.groupBy("root").agg(F.sum("n").alias("size"), F.min(F.struct("least", "node")).alias("k"))
+    named = placed.select("same1", "same2", "root").join(kept, "root").select("same1", "same2", F.col("k.least").alias("group_id"), F.col("k.node").alias("stays"), (F.col("size") - 1).alias("links"))
+    return sketched.select("doc_id", "key", "node", "same1", "same2").join(named, ["same1", "same2"]).select("doc_id", "key", "group_id", (F.col("node") == F.col("stays")).alias("keep"), "links")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, group_id, keep, links) for each row of a group of two and more.
+
+    group_id: the group's least doc_id, whose row is the one to keep; links: the
+    rows that it is linked to, directly or through others.
+    """
+    return members(docs).drop("key")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose group keeps another one."""
-    gone = groups(docs).filter("NOT keep").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs without the rows whose group keeps another one."""
+    rows = members(docs).groupBy("doc_id", "key").agg(F.max("keep").alias("some"), F.count("*").alias("n")).filter("NOT some OR n > 1")
+    decided = settle(rows.select("doc_id", "key", "some"))
+    i, k = fresh(docs, "doc_id_as_text", "key")
+    marked = docs.select(*own(docs), identified(docs, "doc_id")[0].alias(i), _key().alias(k))
+    maybe = sieve(decided.select("key"))(F.col(k))
+    moved, named = marked.filter(maybe), decided.withColumnsRenamed({"doc_id": i, "key": k})
+    out = marked.filter(~maybe).union(moved.join(named, [i, k], "left_anti").select(*own(marked)))
+    if not (once := named.filter("some")).isEmpty():
+        out = out.union(moved.join(once, [i, k], "left_semi").dropDuplicates([i, k]).select(*own(marked)))
+    return out.select(*own(docs))
 
 
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

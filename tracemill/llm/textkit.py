@@ -93,10 +93,14 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 class Words:
     """The words of a chunk of rows: byte spans, hashes and row bounds."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = RAW_WORD):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = RAW_WORD, dense: bool = False):
+        """dense: each sign of U+3000 to U+9FFF - Chinese, Japanese - is a word, as nothing stands between words there."""
         inside = kind[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
+        if dense and len(sign := np.flatnonzero((data >= 0xE3) & (data <= 0xE9))):
+            edge[sign] = True
+            edge[sign + 3] = True
         before = np.empty_like(inside)
         after = np.empty_like(inside)
         if len(data):
