@@ -121,3 +121,107 @@ LINKS = f"<ul><li><a href=a>{LONG}</a><li><a href=b>{LONG}</a></ul>"
 ])
 def test_pages_without_a_body_or_with_text_directly_in_it(h, want):
     assert he.extract(h)[1] == want
+
+
+@pytest.mark.parametrize("h,want", [
+    (f"<html><head><title>x</title><p>{LONG} a</p><p>{LONG} b</p>", f"{LONG} a\n{LONG} b"),
+    (f"<head><meta charset=u><link rel=x><body><p>{LONG} a</p><p>{LONG} b</p>", f"{LONG} a\n{LONG} b"),
+    (f"<div data-id='sidebar' data-class=menu><p>{LONG} a</p><p>{LONG} b</p></div>", f"{LONG} a\n{LONG} b"),
+    (f"<p title=don't>{LONG} a</p><p>{LONG} b</p><p>it's {LONG} c</p>", f"{LONG} a\n{LONG} b\nit's {LONG} c"),
+    ("<body>" + "".join(f"<p>a short line, {i}</p>" for i in range(60)), "\n".join(f"a short line, {i}" for i in range(60))),
+    (f"<p class='a' title='b > c' hidden data-x = 1>{LONG} a</p><p>{LONG} b</p>", f"{LONG} a\n{LONG} b"),
+    (f"<div><p>{LONG} a</p><p>{LONG} b</p><a broken <p>{LONG} c</p></div>", f"{LONG} a\n{LONG} b\n{LONG} c"),
+])
+def test_loose_markup(h, want):
+    assert he.extract(h)[1] == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<span><hr>", '<a x="', "<a x='", "<a 'x\" ", "<!", "<!--", "<script ", "<title ", "<svg>", "<div>", "<p>a b c d e f g h i j k l m n o p q<div>", "<p><button><span><hr>", "<td><tr>", "<li><ul>", "</", "<b>x</i>"])
+def test_time_is_in_proportion_to_the_page(unit):
+    import time
+
+    def took(n):
+        page, best = (unit * (n // len(unit) + 1))[:n], 9e9
+        for _ in range(2):
+            began = time.perf_counter()
+            he.extract(page)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(200_000) < 3.5 * took(100_000) + 0.05
+
+
+class Outline(__import__("html.parser").parser.HTMLParser):
+    """A well-formed page as nested lists [tag, class, children], by another parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["#", "", []]
+        self.open = [self.root]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs).get("class") or "", []]
+        self.open[-1][2].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def chosen(page):
+    """The words of the container with the most points, by the rules and without the operator's tree or scores."""
+    good, bad = {"content", "story", "main"}, {"sidebar", "menu", "footer"}
+    root = Outline(page).root
+    found = []
+
+    def words(n):
+        return n if isinstance(n, str) else "".join(map(words, n[2]))
+
+    def listed(n):
+        return n.split() if isinstance(n, str) else [w for c in n[2] for w in listed(c)]
+
+    def links(n):
+        return "" if isinstance(n, str) else words(n) if n[0] == "a" else "".join(map(links, n[2]))
+
+    points = {}
+
+    def walk(n, above):
+        if isinstance(n, str) or n[0] in ("nav", "footer", "head") or (set(n[1].split()) & bad and not set(n[1].split()) & good):
+            return
+        found.append(n)
+        blocks = [c for c in n[2] if not isinstance(c, str) and c[0] not in ("a", "b")]
+        text = words(n)
+        if n[0] in ("p", "li", "div", "section") and not blocks and len(text) >= 25:
+            for level, a in enumerate(reversed(above)):
+                if a[0] in ("#",):
+                    continue
+                at = points.setdefault(id(a), {"div": 5.0, "section": 5.0, "article": 8.0, "ul": -3.0}.get(a[0], 0.0) + 25 * bool(set(a[1].split()) & good) - 25 * bool(set(a[1].split()) & bad))
+                points[id(a)] = at + (1 + text.count(",") + min(len(text) // 100, 3)) / (1 if level == 0 else 2 if level == 1 else 3 * level)
+        for c in n[2]:
+            walk(c, [*above, n])
+
+    walk(root, [])
+    best = max(found, key=lambda n: points.get(id(n), 0) * (1 - len(links(n)) / max(1, len(words(n)))), default=None)
+    return None if best is None or points.get(id(best), 0) <= 0 else listed(best)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_container_is_that_of_an_independent_search(seed):
+    """Containers without siblings that join them: exactly one has many paragraphs."""
+    r = random.Random(seed)
+    said = lambda n: " ".join(f"w{r.randrange(999)}" + "," * (r.random() < 0.2) for _ in range(n))
+    para = lambda: f"<p>{said(r.randrange(8, 60))}</p>"
+    linked = lambda: f"<li><a>{said(r.randrange(6, 12))}</a></li>"
+    body = "".join(para() for _ in range(r.randrange(6, 14)))
+    for _ in range(r.randrange(1, 4)):
+        t = r.choice(["div", "section", "article"])
+        body = f'<{t} class="{r.choice(["", "content", "x", "story"])}">{body}</{t}>'
+    lists = "".join(f'<div class="{r.choice(["sidebar", "menu", "y"])}"><ul>{"".join(linked() for _ in range(r.randrange(2, 9)))}</ul></div>' for _ in range(r.randrange(1, 4)))
+    page = f"<html><head><title>t</title></head><body><nav>{said(9)}</nav>{lists}{body}<footer>{said(30)}</footer></body></html>"
+    got = he.extract(page)[1].split()
+    want = chosen(page)
+    assert want and got == want

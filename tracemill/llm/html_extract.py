@@ -3,7 +3,10 @@
 A page is read into a tree as browsers do it: scripts, styles, comments and the
 head are no content, void elements have no end, a new block ends an open
 paragraph, a list item or cell ends its open neighbour, an end tag closes what
-it finds open and is dropped if it finds nothing.
+it finds open and is dropped if it finds nothing.  An open head ends with the
+first element that can't be in one; elements nested deeper than DEPTH are
+siblings, as in browsers.  A quote belongs to an attribute only right behind its
+equals sign; a `<` outside quotes ends a tag that isn't closed.
 
 Paragraphs (p, pre, td, blockquote, li, and a div or section that holds no
 block) of MIN_CHARS characters pass points to their ancestors: 1, 1 for each
@@ -19,15 +22,16 @@ the end by link density, the share of its text in links.  The best container is
 kept whole but for parts that are mostly links, and so are siblings of the best
 that score a fifth of it (10 at least), and sibling paragraphs, text directly in the body among them, with few links.
 
-Pages are independent: one pass in Arrow batches without a shuffle.
+Pages are independent: one pass in Arrow batches without a shuffle.  The time
+is in proportion to the page, whatever its markup is like.
 
 Defined cases: null or empty html gives an empty text and score 0; a page without
 a paragraph that scores gives its first article or main element, without one the
 whole body if it has MIN_CHARS characters and isn't mostly links, and else
 nothing, with score 0; broken markup is read as above; ties go to the
 container that comes first; very long pages are read whole; rows that repeat
-are each extracted; an empty table gives no rows; further columns are not
-carried.
+are each extracted; ids may be null and of any type; an empty table gives no
+rows; further columns are not carried.
 """
 
 from __future__ import annotations
@@ -41,9 +45,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.cluster import prepare
+from tracemill.llm.columns import identified, quoted
 
 MIN_CHARS = 25
-SCHEMA = "page_id long, title string, text string, score double"
+#: Elements within elements, beyond which they are put beside each other.
+DEPTH = 512
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
@@ -51,15 +57,19 @@ PARAGRAPH = frozenset(("p", "pre", "td", "blockquote", "li"))
 #: Never content, whatever they score.
 ASIDE = frozenset("nav aside footer form button select noscript iframe head".split())
 ENDS = {"li": ("li", ("ul", "ol")), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "tr": ("tr", ("table",)), "dd": ("dd", ("dl",)), "dt": ("dt", ("dl",)), "option": ("option", ("select",))}
+#: What may be in a head without ending it.
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title head html".split())
 START = {"article": 8.0, "main": 8.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "form": -3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0, "th": -5.0}
 GOOD_WORDS = re.compile(r"(?i)article|body|content|entry|main|page|post|text|blog|story")
 BAD_WORDS = re.compile(r"(?i)(?<![a-z])(?:ad|ads|banner|combx|comment|contact|foot|footer|hidden|masthead|media|menu|meta|nav|promo|related|scroll|share|sidebar|sponsor|tags|widget)(?![a-z])")
+# Each alternative either reads on to its end once or stops at the next "<", so no two starts read the same text again and again.
+_VALUE = r"(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)?+)?+"
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|math)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(title|textarea)\b[^>]*+>(.*?)(?:</\2\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|math)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<(title|textarea)\b[^<>]*+>(.*?)(?:</\2\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[\s/\"']++|[^\s\"'<>/=][^\s\"'<>/=]*+" + _VALUE + r"|=)*+)(?:>|(?=<)|\Z)|<[!?][^<>]*+(?:>|(?=<)|\Z)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"(?i)(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_NAMED = re.compile(r"(?i)(?<![\w-])(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _SPACE = re.compile(r"\s+")
 
 
@@ -70,6 +80,8 @@ class Tree:
         self.tag, self.parent, self.named = ["#root"], [-1], [""]
         self.text: list[tuple[int, str]] = []
         self.title = ""
+        #: For each tag, where it is among the open elements.
+        self.depths: dict[str, list[int]] = {}
         open_, at = [0], 0
         for m in _MARK.finditer(page):
             if m.start() > at:
@@ -128,25 +140,31 @@ class Tree:
         elif raw:
             self.text.append((node, " "))
 
-    def _close(self, open_: list[int], tag: str, bounds: tuple[str, ...]) -> bool:
-        for k in range(len(open_) - 1, 0, -1):
-            t = self.tag[open_[k]]
-            if t == tag:
-                del open_[k:]
-                return True
-            if t in bounds:
-                return False
-        return False
+    def _cut(self, open_: list[int], k: int) -> None:
+        for node in open_[k:]:
+            self.depths[self.tag[node]].pop()
+        del open_[k:]
+
+    def _close(self, open_: list[int], tag: str, bounds: tuple[str, ...]) -> None:
+        """Close the innermost open `tag` with what is in it, unless one of `bounds` lies within."""
+        mine = self.depths.get(tag)
+        if mine and not any(d[-1] > mine[-1] for b in bounds if (d := self.depths.get(b))):
+            self._cut(open_, mine[-1])
 
     def _begin(self, open_: list[int], tag: str, rest: str) -> None:
+        if tag not in HEAD and (head := self.depths.get("head")):
+            self._cut(open_, head[-1])
         if tag in BLOCK:
             self._close(open_, "p", ("td", "th", "li", "article", "section", "div", "blockquote", "button"))
         if tag in ENDS:
             self._close(open_, *ENDS[tag])
         self.tag.append(tag)
-        self.parent.append(open_[-1])
+        self.parent.append(open_[-1 if len(open_) <= DEPTH else -2])
         self.named.append(" ".join(_NAMED.findall(rest)) if rest else "")
         if tag not in VOID and not rest.endswith("/"):
+            if len(open_) > DEPTH:
+                self._cut(open_, len(open_) - 1)
+            self.depths.setdefault(tag, []).append(len(open_))
             open_.append(len(self.tag) - 1)
         elif tag in ("br", "hr"):
             self.text.append((open_[-1], "\n"))
@@ -285,7 +303,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, title, text and the best container's score, for each page."""
     prepare(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(_extract, SCHEMA)
+    page, kind = identified(pages, "page_id")
+    return pages.select(page, quoted("html").cast("string")).mapInArrow(_extract, f"page_id {kind}, title string, text string, score double")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
