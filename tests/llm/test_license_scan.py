@@ -42,7 +42,7 @@ def test_root_directory_inherits(spark):
 def test_every_template_finds_itself(spark):
     rows = [(i, f"p{i}/x", "lead\n" + text, "x") for i, (_, text) in enumerate(ls.TEMPLATES)]
     got = scanned(spark, rows)
-    assert [got[i, f"p{i}/x"].own_licence for i in range(len(rows))] == [name for name, _ in ls.TEMPLATES]
+    assert [(i, got[i, f"p{i}/x"].own_licence) for i in range(len(rows))] == [(i, name) for i, (name, _) in enumerate(ls.TEMPLATES)]
 
 
 def test_sql(spark):
@@ -87,3 +87,45 @@ def test_cosines_do_not_depend_on_the_size_of_the_corpus(spark):
         assert got[0, "p0/x"].own_licence == "MIT" and got[2, "p2/x"].own_licence == "Apache-2.0"
         cosines.append(got[0, "p0/x"].cosine)
     assert max(cosines) - min(cosines) < 0.05
+
+
+def comment(text, mark):
+    import textwrap
+
+    return "\n".join(f"{mark} {line}".rstrip() for p in text.split("\n") for line in (textwrap.wrap(p, 68) or [""]))
+
+
+def test_file_heads_and_full_texts_of_each_licence(spark):
+    """Full wordings in comments of several styles, with a copyright line and code behind; SPDX tags."""
+    longest = {}
+    for name, text in ls.TEMPLATES:
+        if len(text) > len(longest.get(name, "")):
+            longest[name] = text
+    code = "\n\n" + "\n".join(f"def f{i}(alpha, beta): return gamma{i}" for i in range(30)) + "\n"
+    rows, want = [], {}
+
+    def add(text, licence):
+        want[len(rows)] = licence
+        rows.append((len(rows), f"p{len(rows)}/x.py", text, "x"))
+
+    long = [n for n in longest if len(longest[n].split()) > 20]
+    assert {"AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib"} <= set(long)
+    for mark in ("#", " *", "//"):
+        for name in long:
+            add(comment(f"Copyright (c) 2021 Jane Doe\n\n{longest[name]}", mark) + code, name)
+    add("ISC License\n\nCopyright (c) 2004-2010 by Some Body, Inc.\n\n" + longest["ISC"], "ISC")
+    add("BSD 2-Clause License\n\nCopyright (c) 2019, Jane Doe\nAll rights reserved.\n\n" + longest["BSD-2-Clause"], "BSD-2-Clause")
+    for tag, licence in (("MIT", "MIT"), ("GPL-3.0-or-later", "GPL-3.0"), ("Foo-1.0", "Foo-1.0"), ("(MIT OR Apache-2.0)", "MIT OR Apache-2.0"), ("LGPL-2.1+", "LGPL-2.1")):
+        add(f"// SPDX-License-Identifier: {tag}" + code, licence)
+    for line, licence in (("Released under the MIT License.", "MIT"), ("Distributed under the GNU General Public License, version 3", "GPL-3.0"), ("Released under the Wobble License.", None)):
+        add("alpha beta\n" + line + code, licence)
+    rows += [(1000 + i, f"q{i}/x", "the license of words under terms of use for the work, version one, is not here\n" * (i % 3) + code, "x") for i in range(200)]
+    got = scanned(spark, rows)
+    wrong = {i: (got[i, rows[i][1]].own_licence, w, got[i, rows[i][1]].cosine) for i, w in want.items() if got[i, rows[i][1]].own_licence != w}
+    assert wrong == {}
+    assert all(r.own_licence is None for (i, _), r in got.items() if i >= 1000)
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "d/LICENSE", APACHE), ("a", "d/COPYING", "Licensed under the MIT License"), (None, "d/x", "text")], "doc_id string, path string, text string")
+    assert {r.doc_id: r.licence for r in ls.scan(df).collect()} == {"b": "Apache-2.0", "a": "MIT", None: "MIT"}

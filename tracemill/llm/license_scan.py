@@ -1,15 +1,20 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance down directories.
 
-1. Segments: each line of a text that holds a licence cue, and each block of
-   lines between empty lines that does.  Whole texts are searched.  Equal
-   segments are compared once, however many documents hold them.
+1. Segments: each line of a text that holds a licence cue, each block of lines
+   that does, and each run of neighbouring blocks that do, as the notice at the
+   head of a file or a licence text of several paragraphs.  Between blocks are
+   lines of nothing but space and comment marks.  Whole texts are searched.
+   Equal segments are compared once, however many documents hold them.
 2. TF-IDF: a term weighs its count in the segment times ln((1 + N) / (1 + df)) + 1,
    with df the documents of the whole corpus that hold it, counted for every
    term of the segments and the templates: a term that a constant share of the
-   documents holds weighs the same, however many documents there are.  The SQL
-   below weighs terms outside the templates as if df were 0.
-3. A document has the licence of the template with the greatest cosine over its
-   segments, MIN_COSINE at least; ties go to the template that is named first.
+   documents holds weighs the same, however many documents there are.
+3. A segment has the licence of the template (licences.py) with the greatest
+   cosine, MIN_COSINE at least; ties go to the template that is named first.  A
+   document has that of its longest segment with one - more words say more -
+   and then the greatest cosine.  An SPDX-License-Identifier names the licence
+   itself and goes before; its cosine is 1, and "-only", "-or-later" and "+" are
+   left out of its name.
 4. Licence files - by name (LICENSE, COPYING, ...), or because at least
    FILE_SHARE of their words are the matching segment - give their licence to
    their directory; of several, the greatest cosine and then the least doc_id
@@ -23,8 +28,8 @@ Only built-in functions are used.  Documents are read for step 2 and for the
 segments; their texts are never shuffled, only counts of terms are.
 
 Defined cases: a null or empty text has no segment and may still inherit; a
-null path has no directory and inherits nothing; null doc_ids are kept; very
-long texts are searched whole; rows that repeat are each reported; an empty
+null path has no directory and inherits nothing; null doc_ids are kept, ids may
+be of any type; very long texts are searched whole; rows that repeat are each reported; an empty
 table gives no rows; further columns are not carried.
 """
 
@@ -34,32 +39,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.cluster import prepare, settle
+from tracemill.llm.columns import identified
+from tracemill.llm.licences import TEMPLATES
 
 MIN_COSINE, FILE_SHARE = 0.7, 0.3
-#: Licence and wording, several for a licence where usage differs.
-TEMPLATES: list[tuple[str, str]] = [
-    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("CC0-1.0", "CC0 1.0 Universal, dedicated to the public domain"),
-    ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("Proprietary", "All rights reserved"),
-    ("Proprietary", "Copyright. All rights reserved"),
-]
-CUE = r"(?i)licen[cs]|copyright|rights reserved|public domain|permission is hereby|redistribution and use|creative commons"
+CUE = r"(?i)licen[cs]|copyright|rights reserved|public domain|permission (?:is|to)|redistribution|creative commons|warrant|unencumbered"
+#: Between blocks.
+GAP = r"\n[ \t\r\n/*#;%!|=~-]*\n"
+SPDX = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.+-]*(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)"
+SUFFIX = r"-only|-or-later|\+"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|copyright)([.-][a-z0-9.-]*)?$"
 
@@ -68,6 +56,14 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def segments(text: Column) -> Column:
+    """The lines, blocks and runs of blocks of text that hold a cue."""
+    cued = lambda x: x.rlike(CUE)
+    blocks = F.split(text, GAP)
+    runs = F.split(F.array_join(F.transform(blocks, lambda b: F.when(cued(b), b).otherwise("\x01")), "\n\n"), "\x01")
+    return F.array_distinct(F.filter(F.concat(F.split(text, "\n"), blocks, F.transform(runs, lambda r: F.btrim(r, F.lit("\n")))), cued))
+
+
 def _templates(spark: SparkSession) -> DataFrame:
     rows = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)]
     return spark.createDataFrame(rows, "template int, licence string, wording string").select("template", "licence", terms(F.col("wording")).alias("terms"))
@@ -92,8 +88,9 @@ def scan(files: DataFrame) -> DataFrame:
     # A cue has no line break: a text without one has no segment, and isn't cut up.
     cued = F.col("text").rlike(CUE)
     cues = files.select(
-        "doc_id", "path",
-        F.when(cued, F.array_union(F.filter(F.split("text", "\n"), lambda s: s.rlike(CUE)), F.filter(F.split("text", r"\n\s*\n"), lambda s: s.rlike(CUE)))).alias("segments"),
+        identified(files, "doc_id")[0].alias("doc_id"), "path",
+        F.when(cued, segments(F.col("text"))).alias("segments"),
+        F.when(cued, F.regexp_replace(F.nullif(F.regexp_extract("text", SPDX, 1), F.lit("")), SUFFIX, "")).alias("tag"),
         F.when(cued, F.size(terms(F.col("text")))).alias("n_terms"),
     )
     # (doc_id, path, segments): the texts are left behind here.
@@ -113,15 +110,17 @@ def scan(files: DataFrame) -> DataFrame:
     right = _weighed(wording, "template", idf, unseen).select("template", "term", F.col("w").alias("v"))
     cosine = left.join(F.broadcast(right), "term").groupBy("segment", "template").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine")).filter(F.col("cosine") >= MIN_COSINE)
     named = cosine.join(F.broadcast(templates.select("template", "licence")), "template")
+    # A document's best segment is its longest one with a template.
     best = found.join(named.groupBy("segment").agg(F.max(F.struct("cosine", (-F.col("template")).alias("last"), "licence")).alias("b")), "segment")
-    own = best.groupBy("row").agg(F.max(F.struct(F.col("b.cosine").alias("cosine"), F.col("b.last").alias("last"), F.col("b.licence").alias("licence"), "size")).alias("b"))
+    own = best.groupBy("row").agg(F.max(F.struct("size", F.col("b.cosine").alias("cosine"), F.col("b.last").alias("last"), F.col("b.licence").alias("licence"))).alias("b"))
+    licence = F.coalesce("tag", "b.licence")
     docs = cues.join(own, "row", "left").select(
-        "doc_id", "path", F.col("b.licence").alias("own_licence"), F.col("b.cosine").alias("cosine"),
-        F.coalesce(F.col("b").isNotNull() & (F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (F.col("b.size") >= FILE_SHARE * F.col("n_terms"))), F.lit(False)).alias("is_file"),
+        "doc_id", "path", licence.alias("own_licence"), F.when(F.col("tag").isNotNull(), 1.0).otherwise(F.col("b.cosine")).alias("cosine"),
+        (licence.isNotNull() & (F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | F.coalesce(F.col("b.size") >= FILE_SHARE * F.col("n_terms"), F.lit(False)))).alias("is_file"),
         F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory"),
     )
     docs = settle(docs)
-    licensed = docs.filter("is_file AND path IS NOT NULL").groupBy("directory").agg(F.max(F.struct("cosine", (-F.col("doc_id")).alias("id"), "own_licence")).alias("b")).select(F.col("directory").alias("from_directory"), F.col("b.own_licence").alias("inherited"))
+    licensed = docs.filter("is_file AND path IS NOT NULL").groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("doc_id").isNull().alias("none"), "doc_id", "own_licence")).alias("b")).select(F.col("directory").alias("from_directory"), F.col("b.own_licence").alias("inherited"))
     depth = F.size(F.split("directory", "/"))
     up = docs.filter("path IS NOT NULL").select("directory").distinct().select(
         "directory", F.explode(F.transform(F.sequence(F.lit(0), depth), lambda k: F.array_join(F.slice(F.split("directory", "/"), F.lit(1), k), "/"))).alias("from_directory")).distinct()
@@ -143,23 +142,28 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     """The scan of documents in DuckDB's SQL."""
-    rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+    cued = lambda x: f"regexp_matches({x}, '{CUE}')"
     return rf"""
-WITH files AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, text FROM documents),
+WITH files AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, text, nullif(regexp_extract(text, '{SPDX}', 1), '') AS tag FROM documents),
 templates AS (SELECT template, licence, regexp_extract_all(lower(wording), '{TERM}') AS terms FROM (VALUES {rows}) v(template, licence, wording)),
-vocabulary AS (SELECT DISTINCT unnest(terms) AS term FROM templates),
 held AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{TERM}'))) AS term FROM files),
 total AS (SELECT count(*)::DOUBLE AS n FROM files),
-idf AS (SELECT term, ln((1 + n) / (1 + count(doc_id))) + 1 AS idf FROM vocabulary CROSS JOIN total LEFT JOIN held USING (term) GROUP BY term, n),
-found AS (SELECT DISTINCT doc_id, segment FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS segment FROM files UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) FROM files) WHERE regexp_matches(segment, '{CUE}')),
+idf AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM held CROSS JOIN total GROUP BY term),
+blocks AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{GAP}')) AS block, generate_subscripts(regexp_split_to_array(text, '{GAP}'), 1) AS k FROM files),
+islands AS (SELECT doc_id, block, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM blocks WHERE {cued("block")}),
+found AS (SELECT DISTINCT doc_id, segment FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS segment FROM files UNION ALL SELECT doc_id, block FROM islands
+  UNION ALL SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY k) FROM islands GROUP BY doc_id, island) WHERE {cued("segment")}),
 segments AS (SELECT DISTINCT segment, regexp_extract_all(lower(segment), '{TERM}') AS terms FROM found),
 bags AS (SELECT 's' || segment AS bag, unnest(terms) AS term FROM segments UNION ALL SELECT 't' || template, unnest(terms) FROM templates),
 weights AS (SELECT bag, term, count(*) * coalesce(any_value(idf), ln(1 + any_value(n)) + 1) AS w FROM bags LEFT JOIN idf USING (term) CROSS JOIN total GROUP BY bag, term),
 norms AS (SELECT bag, sqrt(sum(w * w)) AS norm FROM weights GROUP BY bag),
 units AS (SELECT bag, term, w / norm AS w FROM weights JOIN norms USING (bag)),
 cosines AS (SELECT substr(a.bag, 2) AS segment, substr(b.bag, 2)::INT AS template, round(sum(a.w * b.w), 6) AS cosine FROM units a JOIN units b USING (term) WHERE a.bag[1] = 's' AND b.bag[1] = 't' GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= {MIN_COSINE}),
-best AS (SELECT doc_id, licence, cosine, len(regexp_extract_all(lower(segment), '{TERM}')) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, template, licence DESC, len(regexp_extract_all(lower(segment), '{TERM}')) DESC) AS k FROM found JOIN cosines USING (segment) JOIN templates USING (template)),
-docs AS (SELECT f.doc_id, path, licence AS own_licence, cosine, coalesce(licence IS NOT NULL AND size >= {FILE_SHARE} * len(regexp_extract_all(lower(text), '{TERM}')), false) AS is_file, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM files f LEFT JOIN best b ON b.doc_id = f.doc_id AND k = 1),
+best AS (SELECT doc_id, licence, cosine, len(s.terms) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY len(s.terms) DESC, cosine DESC, template) AS k FROM found JOIN segments s USING (segment) JOIN cosines USING (segment) JOIN templates USING (template)),
+docs AS (SELECT f.doc_id, path, coalesce(regexp_replace(tag, '{SUFFIX}', '', 'g'), licence) AS own_licence, CASE WHEN tag IS NULL THEN cosine ELSE 1.0 END AS cosine,
+  coalesce(size >= {FILE_SHARE} * len(regexp_extract_all(lower(text), '{TERM}')), false) OR (coalesce(tag, licence) IS NOT NULL AND coalesce(regexp_matches(path, '{FILE_NAME}'), false)) AS is_file, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM files f LEFT JOIN best b ON b.doc_id = f.doc_id AND k = 1),
 licensed AS (SELECT directory AS from_directory, arg_max(own_licence, (cosine, -doc_id)) AS inherited FROM docs WHERE is_file GROUP BY directory),
 nearest AS (SELECT d.directory, arg_max(from_directory, len(from_directory)) AS from_directory, arg_max(inherited, len(from_directory)) AS inherited FROM (SELECT DISTINCT directory FROM docs) d JOIN licensed l ON d.directory = from_directory OR starts_with(d.directory, from_directory || '/') GROUP BY d.directory)
 SELECT doc_id, path, own_licence, cosine, is_file, CASE WHEN own_licence IS NULL THEN inherited END AS inherited_licence, CASE WHEN own_licence IS NULL THEN from_directory END AS inherited_from, coalesce(own_licence, inherited) AS licence
