@@ -66,6 +66,21 @@ def test_odd_rows(spark):
     assert {r.shard for r in sh.assign(df.filter("doc_id = 1"), root=only).collect()} == {"a/x/2"}
 
 
+def test_columns_and_keys_of_any_name(spark):
+    df = spark.createDataFrame([("a", "eu-west", "t"), ("b", "us-east", "u")], "doc_id string, Region string, `tick``s` string")
+    out = sh.assign(df)
+    assert out.columns == ["doc_id", "Region", "tick`s", "region_", "rack", "shard"]
+    for r in out.collect():
+        assert (r.region_, r.rack, r.shard) == by_hand(r.doc_id, sh.PRODUCTION) and r.Region in ("eu-west", "us-east")
+    assert [r[3:] for r in sh.assign(df.withColumnRenamed("doc_id", "my id"), "my id").orderBy("my id").collect()] == [r[3:] for r in out.orderBy("doc_id").collect()]
+
+
+def test_thousands_of_shards(spark):
+    big = sh.tree({f"g{a}": {f"r{b}": {f"s{c}": 1 + (a + b + c) % 3 for c in range(20)} for b in range(20)} for a in range(10)})
+    got = shards(spark.range(300).withColumnRenamed("id", "doc_id"), big)
+    assert all(v == by_hand(k, big) for k, v in got.items())
+
+
 def test_sql(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/sf0.01/documents.parquet'")

@@ -9,10 +9,13 @@ only to or from that child: movement stays inside the subtrees whose weights
 change.  A parent's weight is the sum of its children's.
 
 Everything is one projection of built-in functions over the key column: no
-shuffle, no Python, no state.  Ties go to the child that is named first.
+shuffle, no Python, no state.  A level is one expression over a constant map
+from each node to its children, so the plan has the same size for any number of
+shards.  Ties go to the child that is named first.
 
-Defined cases: a null key gets null nodes; keys that repeat get the same shard;
-children of weight 0 or less get nothing, and a tree in which no child has
+Defined cases: a null key gets null nodes; keys may be of any type, those that
+repeat get the same shard; a table that has a column of a level's name already
+keeps it, and the level's column gets an underscore behind its name; children of weight 0 or less get nothing, and a tree in which no child has
 weight is an error; an empty table gives no rows; text is not read.
 """
 
@@ -23,6 +26,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.columns import fresh, quoted
+
 LEVELS = ("region", "rack", "shard")
 
 
@@ -59,46 +64,44 @@ PRODUCTION = tree({
 _SPACE = float(1 << 52)
 
 
-def draw(key: Column, node: Node) -> Column:
-    """The node's draw for the key: exponential, of rate its weight."""
-    h = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{node.name}"))), 1, 13), 16, 10).cast("double")
-    return -F.log((h + 0.5) / F.lit(_SPACE)) / F.lit(node.total)
+def draw(key: Column, name: Column, weight: Column) -> Column:
+    """The draw for the key of the node of a name: exponential, of rate its weight."""
+    h = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("|"), name)), 1, 13), 16, 10).cast("double")
+    return -F.log((h + 0.5) / F.lit(_SPACE)) / weight
 
 
-def _choose(key: Column, node: Node) -> Column:
-    """The name of the child of node that the key goes to."""
+def _able(node: Node) -> Column:
+    """The children that have weight, as an array."""
     able = [c for c in node.children if c.total > 0]
     if not able:
         raise ValueError(f"no child of {node.name or 'the root'} has weight")
-    if len(able) == 1:
-        return F.lit(able[0].name)
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c.name).alias("name"), F.lit(float(c.total)).alias("weight")) for i, c in enumerate(able)])
+
+
+def _choose(key: Column, children: Column) -> Column:
+    """The name of the child that the key goes to; null without children."""
     # A struct is compared field by field: the draw, then the place among the children.
-    return F.least(*[F.struct(draw(key, c).alias("d"), F.lit(i).alias("i"), F.lit(c.name).alias("name")) for i, c in enumerate(able)])["name"]
+    return F.array_min(F.transform(children, lambda c: F.struct(draw(key, c["name"], c["weight"]).alias("d"), c["i"].alias("i"), c["name"].alias("name"))))["name"]
 
 
 def assign(df: DataFrame, key: str = "doc_id", root: Node = PRODUCTION, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """df with a column for each level: the full name of the node that the key goes to."""
-    k = F.col(f"`{key}`")
-    nodes, out = [root], df
-    for level in levels:
-        pick = F.lit(None).cast("string")
-        if nodes == [root]:
-            pick = F.when(k.isNotNull(), _choose(k, root))
-        else:
-            above = F.col(f"`{levels[levels.index(level) - 1]}`")
-            for n in nodes:
-                if n.total > 0:
-                    pick = F.when(above == n.name, _choose(k, n)).otherwise(pick)
-        out = out.withColumn(level, pick)
-        nodes = [c for n in nodes for c in n.children]
+    k, names, nodes, above, out = quoted(key), fresh(df, *levels), [root], None, df
+    for name in names:
+        children = _able(root)
+        if above is not None:
+            children = F.element_at(F.create_map(*[x for n in nodes if n.total > 0 for x in (F.lit(n.name), _able(n))]), above)
+        out = out.withColumn(name, F.when(k.isNotNull(), _choose(k, children)))
+        nodes, above = [c for n in nodes for c in n.children], quoted(name)
     return out
 
 
 def moves(df: DataFrame, before: Node, after: Node, key: str = "doc_id", levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """key, from, to: the keys whose shard two trees give differently."""
-    last = levels[-1]
-    old = assign(df.select(key), key, before, levels).select(key, F.col(last).alias("from"))
-    return assign(old, key, after, levels).filter(f"`{last}` != `from`").select(key, "from", F.col(last).alias("to"))
+    one = df.select(quoted(key).alias("key"))
+    old = assign(one, "key", before, levels).select("key", quoted(levels[-1]).alias("from"))
+    new = assign(old, "key", after, levels).filter(quoted(levels[-1]) != F.col("from"))
+    return new.select(F.col("key").alias(key), "from", quoted(levels[-1]).alias("to"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
