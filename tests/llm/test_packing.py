@@ -64,3 +64,8 @@ def test_long_texts_have_the_ids_of_the_whole_text(monkeypatch):
 def test_query_on_the_small_tables(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     check(packing.op9_packing(spark, f"{DATA}/sf0.001").collect(), docs)
+
+
+def test_ids_of_any_type(make):
+    rows = packing.pack(make(["one two three", "four"]).selectExpr("concat('d', doc_id) AS doc_id", "text")).collect()
+    assert {r.doc_id for r in rows} == {"d0", "d1"}

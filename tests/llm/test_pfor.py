@@ -51,3 +51,8 @@ def test_query_on_the_small_tables(spark):
     assert len(rows) == len(docs)
     for r in rows:
         assert np.array_equal(pfor.decode(r.blob, r.block_starts), tokens.ids(docs[r.doc_id]))
+
+
+def test_ids_of_any_type(make):
+    rows = pfor.to_blocks(make(["one two three"]).selectExpr("concat('d', doc_id) AS doc_id", "text")).collect()
+    assert [(r.doc_id, pfor.decode(r.blob, r.block_starts).tolist()) for r in rows] == [("d0", tokens.ids("one two three").tolist())]

@@ -10,7 +10,8 @@ Every task packs what it reads.  A batch is named by its bucket, its task and a
 number; the last batch of a bucket in a task may be smaller.  So nothing is
 shuffled, and the documents' tokens are written where they are made.
 
-Defined cases: a null or empty text has no pieces; null doc_ids keep theirs; a
+Defined cases: a null or empty text has no pieces; null doc_ids keep
+theirs, ids may be of any type; a
 very long text is tokenised whole; rows that repeat are each packed; an empty
 table gives no rows; columns other than doc_id and text are not carried.
 """
@@ -23,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracemill.llm import tokens as tk
 from tracemill.llm.cluster import prepare
+from tracemill.llm.columns import identified, quoted
 
 LARGEST = 11
 BATCH_TOKENS = 1 << 15
-SCHEMA = "doc_id long, piece int, first_token int, bucket int, n_tokens int, batch long, tokens array<int>"
+SCHEMA = "doc_id {}, piece int, first_token int, bucket int, n_tokens int, batch long, tokens array<int>"
 
 
 def decompose(n: int, largest: int = LARGEST) -> list[int]:
@@ -75,7 +76,8 @@ def _pack(folder: str, vocabulary: str, largest: int, batch_tokens: int):
 def pack(docs: DataFrame, folder: str = tk.VOCABULARIES, vocabulary: str = tk.VOCABULARY, largest: int = LARGEST, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """A row for each piece: doc_id, its place in the document, its bucket (log2 of its length), its batch and its token ids."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack(folder, vocabulary, largest, batch_tokens), SCHEMA)
+    doc_id, kind = identified(docs, "doc_id")
+    return docs.select(doc_id, quoted("text").cast("string")).mapInArrow(_pack(folder, vocabulary, largest, batch_tokens), SCHEMA.format(kind))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ each.
 All blocks of one width in a batch of documents are packed together, as arrays.
 
 Defined cases: a null or empty text is a document of no blocks and an empty
-blob; null doc_ids are kept; very long texts are written whole; rows that
+blob; null doc_ids are kept, ids may be of any type; very long texts are written
+whole; rows that
 repeat are each written; an empty table gives no rows; further columns are not
 carried.
 """
@@ -26,15 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracemill.llm import tokens as tk
 from tracemill.llm.cluster import prepare
+from tracemill.llm.columns import identified, quoted
 
 BLOCK = 128
 PERCENTILE = 0.90
 HEAD = np.dtype([("minimum", "<u4"), ("width", "u1"), ("exceptions", "<u2"), ("last", "u1")])
-SCHEMA = "doc_id long, n_tokens int, block_starts array<int>, blob binary"
+SCHEMA = "doc_id {}, n_tokens int, block_starts array<int>, blob binary"
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
@@ -128,7 +129,8 @@ def _write(folder: str, vocabulary: str, block: int, percentile: float):
 def to_blocks(docs: DataFrame, folder: str = tk.VOCABULARIES, vocabulary: str = tk.VOCABULARY, block: int = BLOCK, percentile: float = PERCENTILE) -> DataFrame:
     """doc_id, n_tokens, block_starts and blob: a row for each document, where it was read."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_write(folder, vocabulary, block, percentile), SCHEMA)
+    doc_id, kind = identified(docs, "doc_id")
+    return docs.select(doc_id, quoted("text").cast("string")).mapInArrow(_write(folder, vocabulary, block, percentile), SCHEMA.format(kind))
 
 
 def op6_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
