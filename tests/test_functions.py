@@ -54,3 +54,31 @@ def test_bucket_quantile(spark, bounds, counts, q, want):
 def test_severities(spark):
     df = spark.createDataFrame([(i,) for i in (0, 1, 4, 5, 9, 13, 17, 20, 24, 25)], "n int")
     assert [r[0] for r in df.select(severity_name(F.col("n"))).collect()] == ["UNSPECIFIED", "TRACE", "TRACE", "DEBUG", "INFO", "WARN", "ERROR", "ERROR", "FATAL", "UNSPECIFIED"]
+
+
+@pytest.mark.parametrize("large", [10**6, 20])
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 0.95, 1.0])
+def test_grouped_quantiles_of_large_and_small_groups(spark, monkeypatch, large, q):
+    """Groups of one value to thousands, null keys and values, ties: with bins and without."""
+    import random
+
+    from tracemill.functions import temporal
+
+    monkeypatch.setattr(temporal, "LARGE", large)
+    r = random.Random(7)
+    rows = [(k, r.choice([None, float(r.randrange(40)), r.gauss(0, 50)])) for k, n in (("a", 3000), ("b", 300), ("c", 1), (None, 500)) for _ in range(n)] + [("d", None), ("e", 2.5)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    near = {x.k: x.v for x in temporal.nearest_rank(df, ["k"], "x", q, "v").collect()}
+    linear = {x.k: x.v for x in temporal.interpolated(df, ["k"], "x", q, "v").collect()}
+    want = {}
+    for k, x in rows:
+        if x is not None:
+            want.setdefault(k, []).append(x)
+    assert near.keys() == linear.keys() == want.keys()
+    import numpy as np
+
+    for k, xs in want.items():
+        xs.sort()
+        assert near[k] == xs[int(q * (len(xs) - 1) + 0.5)]
+        assert linear[k] == pytest.approx(float(np.quantile(xs, q)), abs=1e-9)
+    assert temporal.nearest_rank(df, [], "x", q, "v").first().v == sorted(x for _, x in rows if x is not None)[int(q * (sum(x is not None for _, x in rows) - 1) + 0.5)]

@@ -29,6 +29,14 @@ def test_asof(spark):
     assert {r.id: r.v_asof for r in joins.asof(left, right, ["k"], "t", tolerance=2).collect()}[2] is None
 
 
+def test_only_small_sides_are_broadcast(spark, monkeypatch):
+    a, b = spark.range(100).withColumnRenamed("id", "k"), spark.range(50).withColumnRenamed("id", "k")
+    plan = lambda: joins.join(a, b, "k", "inner", 10**7, 50)._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 10)
+    assert "broadcast" not in plan()
+
+
 def test_range_join(spark):
     r = random.Random(2)
     points = [(i, r.randrange(-50, 50)) for i in range(80)]
@@ -108,6 +116,10 @@ def test_templates_run(spark):
     for _, q in nl.TEMPLATES:
         assert e.query(q).count() == 0
     g = nl.grammar(e.catalog)
+    drawn = {nl.sample(g, seed) for seed in range(300)}
+    assert len(drawn) > 280 and any("BETWEEN" in x for x in drawn) and any(" JOIN " in x for x in drawn)
+    for text in drawn:
+        parse(text)
     assert '"logs" | "metrics" | "traces"' in g and '"duration_ns"' in g and "root ::= select" in g
     import re
 

@@ -95,5 +95,7 @@ def test_traces(spark):
 def test_broken_requests_give_nothing(spark, tmp_path):
     whole = request(msg((1, ("fixed", 7))))
     assert decoded(spark, "logs", b"", None, whole[:-3], b"\xff\xff", b"\x0b") == []
+    df = spark.createDataFrame([(i, r) for i, r in enumerate([b"", None, whole[:-3], whole, b"\xff\xff"])], "i int, content binary")
+    assert [r.i for r in ob.rejected(df, "logs").collect()] == [2, 4]
     (tmp_path / "a.bin").write_bytes(whole)
     assert ob.read(spark, str(tmp_path), "logs").count() == 1

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from tracemill import queries as q
+from tracemill.inputs import HOUR, NOW, engine
 
 DATA = "/root/testdata/sf0.001"
 
@@ -104,11 +105,11 @@ class Random:
 @pytest.mark.parametrize("seed", range(40))
 def test_random_statements(spark, duck, seed):
     text = Random(seed).statement()
-    same(q.engine(spark, DATA).query(text), duck.sql(q.WITH + text))
+    same(engine(spark, DATA).query(text), duck.sql(q.WITH + text))
 
 
 @pytest.mark.parametrize("text,sql", [
-    ("SELECT event_id, 1 AS one, 2.5 AS half, 'it''s' AS text, TRUE AS yes, INTERVAL '5 minutes' AS five, now() - 1h AS before FROM logs -- a comment\n;", f"SELECT event_id, 1 AS one, 2.5::DOUBLE AS half, 'it''s' AS text, TRUE AS yes, 300000000000 AS five, {q.NOW - q.HOUR} AS before FROM logs"),
+    ("SELECT event_id, 1 AS one, 2.5 AS half, 'it''s' AS text, TRUE AS yes, INTERVAL '5 minutes' AS five, now() - 1h AS before FROM logs -- a comment\n;", f"SELECT event_id, 1 AS one, 2.5::DOUBLE AS half, 'it''s' AS text, TRUE AS yes, 300000000000 AS five, {NOW - HOUR} AS before FROM logs"),
     ('SELECT l.event_id "the id", l.user_id AS u, u * 2 AS twice, twice + 1 AS more FROM logs l', 'SELECT event_id AS "the id", user_id AS u, user_id * 2 AS twice, user_id * 2 + 1 AS more FROM logs'),
     ("SELECT event_id FROM logs ORDER BY event_id OFFSET 4",) * 2,
     ("SELECT event_id FROM logs ORDER BY user_id % 5 DESC, event_id",) * 2,
@@ -116,25 +117,7 @@ def test_random_statements(spark, duck, seed):
 ])
 def test_whole_tables(spark, duck, text, sql):
     """What literals, aliases, offset_alone, order_by_expression and order_nulls_last do to some rows, over all rows."""
-    got, want = q.engine(spark, DATA).query(text), duck.sql(q.WITH + sql)
+    got, want = engine(spark, DATA).query(text), duck.sql(q.WITH + sql)
     if "ORDER" in text:
         assert [tuple(r) for r in got.collect()] == want.fetchall()
     same(got, want)
-
-
-@pytest.mark.parametrize("name", ["store_compacted", "stream_ingest", "stream_windows"])
-def test_all_days(spark, duck, monkeypatch, name):
-    """What these queries read back of some days, of all days; of stream_windows but for what the watermark keeps open."""
-    last = duck.sql("SELECT max(epoch_us(ts) * 1000) FROM events").fetchall()[0][0]
-    end = (last - q.HOUR) // q.DAY * q.DAY if name == "stream_windows" else last + 1
-    sql = q.ORACLE_SQL[name].replace(str(q.T0), "0").replace(str(q.T1), str(end))
-    monkeypatch.setattr(q, "T0", 0)
-    monkeypatch.setattr(q, "T1", end)
-    same(q.QUERIES[name](spark, DATA), duck.sql(sql))
-
-
-def test_range_join_of_all_errors(spark, duck):
-    m = q._metrics(spark, DATA)
-    spans = m.filter("event_type = 'error'").selectExpr("event_id AS span", "timestamp_ns AS low", f"timestamp_ns + {q.HOUR} AS high")
-    got = q.joins.within(m.select("event_id", "timestamp_ns"), spans, "timestamp_ns", "low", "high", q.HOUR).select("span", "event_id")
-    same(got, duck.sql(q.ORACLE_SQL["range_join"].replace(" AND s.value > 150", "")))

@@ -53,8 +53,28 @@ def test_logs(spark):
     assert (b["timestamp_ns"], b["observed_timestamp_ns"], b["body"], b["trace_id"], b["severity_text"], b["severity_number"], b["attributes"]) == (5, 5, "3", None, None, 0, None)
 
 
+def test_structured_values_at_any_depth(spark):
+    deep = {"stringValue": "bottom"}
+    want = "bottom"
+    for i in range(40):
+        deep, want = ({"arrayValue": {"values": [deep, {"intValue": str(i)}]}}, [want, i]) if i % 2 else ({"kvlistValue": {"values": [{"key": "k\"", "value": deep}, {"key": "b", "value": {"bytesValue": "AP8="}}]}}, {'k"': want, "b": "AP8="})
+    record = {"timeUnixNano": "1", "body": deep, "attributes": [{"key": "deep", "value": deep}, {"key": "x", "value": {"doubleValue": 0.5}}, {"key": "b", "value": {"bytesValue": "AP8="}}, {"key": "e", "value": {"arrayValue": {}}}]}
+    span = {"traceId": "0" * 32, "spanId": "1" * 16, "events": [{"timeUnixNano": "7", "name": "e", "attributes": [{"key": "deep", "value": deep}]}], "links": [{"traceId": "A" * 32, "spanId": "2" * 16, "attributes": [{"key": "deep", "value": deep}]}]}
+    (r,) = decode(spark, "logs", log_request(record, resource=[{"key": "deep", "value": deep}]))
+    assert json.loads(r["body"]) == want and json.loads(r["attributes"]) == {"deep": want, "x": 0.5, "b": "AP8=", "e": []} and json.loads(r["resource_attributes"]) == {"deep": want}
+    (t,) = decode(spark, "traces", {"resourceSpans": [{"scopeSpans": [{"spans": [span]}]}]})
+    assert json.loads(t["events"]) == [{"timestamp_ns": 7, "name": "e", "attributes": {"deep": want}}]
+    assert json.loads(t["links"]) == [{"trace_id": "a" * 32, "span_id": "2" * 16, "attributes": {"deep": want}}]
+
+
+def test_rejected_requests(spark):
+    rows = ["not json", "[1]", "", "{}", json.dumps(log_request({"timeUnixNano": "1"})), '{"cut": ', None, "3"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, value string")
+    assert sorted(r.i for r in otlp.rejected(df).collect()) == [0, 1, 2, 5, 6, 7]
+
+
 def test_unknown_values_are_empty_text(spark):
-    (r,) = decode(spark, "logs", log_request({"timeUnixNano": "x", "attributes": [{"key": "m", "value": {"kvlistValue": {}}}, {"key": "n"}, {"key": "i", "value": {"intValue": 4}}]}, resource=[]))
+    (r,) = decode(spark, "logs", log_request({"timeUnixNano": "x", "attributes": [{"key": "m", "value": {"other": {}}}, {"key": "n"}, {"key": "i", "value": {"intValue": 4}}]}, resource=[]))
     assert json.loads(r["attributes"]) == {"m": "", "n": "", "i": 4} and r["timestamp_ns"] == 0 and r["resource_attributes"] is None and r["body"] is None
 
 
@@ -117,7 +137,7 @@ def test_files_are_sorted_by_time(spark, tmp_path):
     store.write(log_rows(spark, [3000, 1000, 2000]).coalesce(1), "logs", path)
     import pyarrow.parquet as pq
 
-    (f,) = (tmp_path / "logs" / "part=0").glob("*.parquet")
+    (f,) = (tmp_path / "logs").rglob("part=0/*.parquet")
     assert pq.read_table(f)["timestamp_ns"].to_pylist() == [1000, 2000, 3000]
     assert pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD"
 
@@ -131,7 +151,80 @@ def test_compaction(spark, tmp_path):
     assert store.compact(spark, "logs", path) == [0]
     assert store.parts(spark, path) == {0: 1, H: 2}
     assert sorted(tuple(r) for r in store.read(spark, path).collect()) == before
-    assert not [p for p in (tmp_path / "logs").iterdir() if p.name.startswith("_") and p.name != "_SUCCESS"]
+    assert sorted(p.name for p in (tmp_path / "logs").iterdir()) == ["_commits", "data"]
+    assert store.compact(spark, "logs", path) == []
+    # Old files stay for those who read them, and go when they are old enough.
+    assert store.vacuum(spark, path) == 0 and store.vacuum(spark, path, 0) == 4
+    assert sorted(tuple(r) for r in store.read(spark, path).collect()) == before
+    assert len(list((tmp_path / "logs").rglob("part=0/*.parquet"))) == 1
+
+
+def test_compaction_to_files_of_a_size(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    for k in range(4):
+        store.write(log_rows(spark, range(k, H, H // 500)), "logs", path)
+    size = sum(b for _, b in store.live(store.commits(spark, path)).values())
+    assert store.compact(spark, "logs", path, file_bytes=size // 3) == [0]
+    assert 2 <= store.parts(spark, path)[0] <= 4
+    import pyarrow.parquet as pq
+
+    ranges = []
+    for f in (tmp_path / "logs").rglob(f"commit={store.commits(spark, path)[-1].id}/part=0/*.parquet"):
+        t = pq.read_table(f)["timestamp_ns"].to_pylist()
+        assert t == sorted(t)
+        ranges.append((t[0], t[-1], len(t)))
+    ranges.sort()
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    assert sum(n for *_, n in ranges) == store.read(spark, path).count() >= 2000
+
+
+def test_one_compaction_at_a_time(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    store.write(log_rows(spark, [1]), "logs", path)
+    (tmp_path / "logs" / "_compacting").touch()
+    with pytest.raises(RuntimeError, match="being compacted"):
+        store.compact(spark, "logs", path)
+
+
+def test_a_commit_is_written_once_and_a_killed_one_is_not_read(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "logs")
+    store.write(log_rows(spark, [1, 2]), "logs", path, commit="a")
+    store.write(log_rows(spark, [1, 2]), "logs", path, commit="a")
+    assert store.read(spark, path).count() == 2
+    whole = store.publish
+    monkeypatch.setattr(store, "publish", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.write(log_rows(spark, [3, 4, 5]), "logs", path, commit="b")
+    monkeypatch.setattr(store, "publish", whole)
+    assert store.read(spark, path).count() == 2
+    store.write(log_rows(spark, [3, 4]), "logs", path, commit="b")
+    assert sorted(r.timestamp_ns for r in store.read(spark, path).collect()) == [1, 2, 3, 4]
+    store.stage(store.partitioned(log_rows(spark, [9]), "logs"), "logs", path, "never")
+    assert store.vacuum(spark, path) == 0 and store.vacuum(spark, path, 0) == 1 and store.read(spark, path).count() == 4
+
+
+def test_no_store_an_empty_one_and_one_of_a_file_sink(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        store.read(spark, str(tmp_path / "none"))
+    store.write(log_rows(spark, []), "logs", str(tmp_path / "empty"))
+    assert store.read(spark, str(tmp_path / "empty")).count() == 0 and store.compact(spark, "logs", str(tmp_path / "empty")) == []
+    (tmp_path / "sink" / "_spark_metadata").mkdir(parents=True)
+    with pytest.raises(ValueError, match="file sink"):
+        store.read(spark, str(tmp_path / "sink"))
+
+
+@pytest.mark.parametrize("signal", ["metrics", "traces"])
+def test_stores_of_metrics_and_traces(spark, tmp_path, signal):
+    path = str(tmp_path / signal)
+    if signal == "metrics":
+        df = otlp.metrics(spark.createDataFrame([(json.dumps({"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": f"m{i % 3}", "gauge": {"dataPoints": [{"timeUnixNano": str(i * H), "asInt": i}]}}]}]}]}),) for i in range(6)], "value string"))
+    else:
+        df = otlp.traces(spark.createDataFrame([(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": f"{i % 3:032x}", "spanId": f"{i:016x}", "name": "s", "startTimeUnixNano": str(i * H), "endTimeUnixNano": str(i * H + 5)}]}]}]}),) for i in range(6)], "value string"))
+    store.write(df, signal, path)
+    e = store.register(Engine(spark), signal, path)
+    where, n = ("metric_name = 'm1'", 2) if signal == "metrics" else ("timestamp_ns >= 2h", 4)
+    assert e.query(f"select count(*) as n from {signal} where {where}").first().n == n
+    assert sorted(store.parts(spark, path)) == [i * H for i in range(6)]
 
 
 @given(st.lists(st.tuples(st.integers(0, 2**62), st.text(alphabet="abc xyz", max_size=64)), min_size=1, max_size=30))
@@ -162,6 +255,65 @@ def test_stream_to_store(spark, tmp_path):
     assert rows == [(2, 0), (5, 0), (6, 0), (H + 1, H), (3 * H, 3 * H)]
 
 
+def test_streams_batches_and_compaction_in_one_store(spark, tmp_path):
+    landing, path, check = (str(tmp_path / n) for n in ("landing", "store", "check"))
+    (tmp_path / "landing").mkdir()
+
+    def land(name, *times):
+        (tmp_path / "landing" / name).write_text("\n".join(json.dumps(log_request({"timeUnixNano": str(t)})) for t in times))
+        ingest.ingest(spark, landing, path, check, "logs", files_per_trigger=1, lines=True).awaitTermination()
+
+    def stored():
+        return sorted(r.timestamp_ns for r in store.read(spark, path).collect())
+
+    land("a", 1, 2, H + 1)
+    store.write(log_rows(spark, [3, H + 2]), "logs", path)
+    assert stored() == [1, 2, 3, H + 1, H + 2]
+    assert store.compact(spark, "logs", path, least=2) == [0, H]
+    land("b", 4, 3 * H)
+    land("c", 5)
+    assert stored() == [1, 2, 3, 4, 5, H + 1, H + 2, 3 * H]
+    store.write(log_rows(spark, [6]), "logs", path)
+    assert store.compact(spark, "logs", path, least=2) == [0] and store.parts(spark, path) == {0: 1, H: 1, 3 * H: 1}
+    store.vacuum(spark, path, 0)
+    land("d", 7)
+    assert stored() == [1, 2, 3, 4, 5, 6, 7, H + 1, H + 2, 3 * H]
+
+
+def test_a_killed_ingest_goes_on_without_loss_or_repeats(spark, tmp_path, monkeypatch):
+    """Killed after the files are written, and again after they are published but before the stream notes the batch."""
+    landing, path, check = (str(tmp_path / n) for n in ("landing", "store", "check"))
+    (tmp_path / "landing").mkdir()
+    for i in range(4):
+        (tmp_path / "landing" / f"{i}.json").write_text(json.dumps(log_request({"timeUnixNano": str(i)})))
+    whole, calls = store.publish, []
+
+    def broken(*a):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("killed before")
+        whole(*a)
+        if len(calls) == 4:
+            raise RuntimeError("killed after")
+
+    monkeypatch.setattr(store, "publish", broken)
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            ingest.ingest(spark, landing, path, check, "logs", files_per_trigger=1).awaitTermination()
+    ingest.ingest(spark, landing, path, check, "logs", files_per_trigger=1).awaitTermination()
+    assert sorted(r.timestamp_ns for r in store.read(spark, path).collect()) == [0, 1, 2, 3]
+    assert len(store.commits(spark, path)) == 4
+
+
+def test_what_is_taken_at_a_time_is_bounded_by_bytes(spark, tmp_path):
+    landing, path, check = (str(tmp_path / n) for n in ("landing", "store", "check"))
+    (tmp_path / "landing").mkdir()
+    for i in range(4):
+        (tmp_path / "landing" / f"{i}.json").write_text(json.dumps(log_request({"timeUnixNano": str(i), "body": {"stringValue": "x" * 1000}})))
+    ingest.ingest(spark, landing, path, check, "logs", bytes_per_trigger=1000).awaitTermination()
+    assert store.read(spark, path).count() == 4 and len(store.commits(spark, path)) == 4
+
+
 @pytest.mark.parametrize("build,want", [
     (lambda d: ingest.windowed_counts(d, "logs", ["body"], "10 seconds", "0 seconds"), [("a", 2), ("a", 1), ("b", 1)]),
     (lambda d: ingest.sessions(d, "logs", ["body"], "5 seconds", "0 seconds"), [("a", 2), ("a", 1), ("b", 1)]),
@@ -206,21 +358,3 @@ def test_feedback(spark, tmp_path):
     assert f.examples() == [("qb", "select 2"), ("qc", "select 3")] and f.examples(1) == [("qb", "select 2")]
     with pytest.raises(KeyError):
         f.rate("none", True)
-
-
-def test_deep_arrays_keep_their_elements(spark):
-    def nested(depth):
-        return {"arrayValue": {"values": [{"stringValue": "]}x"}, nested(depth - 1)]}} if depth else {"intValue": "7"}
-
-    for depth in (2, 3, 4, 6):
-        request = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": "1", "body": nested(depth)}]}]}]}
-        got = json.loads(otlp.logs(spark.createDataFrame([(json.dumps(request),)], "value string")).collect()[0].body)
-        for _ in range(min(depth, 3)):
-            assert got[0] == "]}x"
-            got = got[1]
-        if depth == 4:
-            assert got == nested(1)["arrayValue"]["values"]
-        if depth == 6:
-            assert got == nested(3)["arrayValue"]["values"]
-        if depth < 4:
-            assert got == 7

@@ -37,5 +37,5 @@ class Engine:
         return self
 
     def query(self, text: str, join_hint: str | None = None) -> DataFrame:
-        """The result of a statement. join_hint: broadcast, shuffle_hash or merge for its joins; Catalyst decides else."""
+        """The result of a statement. join_hint: broadcast, shuffle_hash or merge for its joins; Catalyst decides else, and where a side to broadcast is known to be too large."""
         return Lowering(self.catalog, self.now(), join_hint, self.functions).lower(parse(text))

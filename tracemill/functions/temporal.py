@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECOND = 10**9
-#: Parts that the values of an ungrouped quantile are ranked in.
-BINS = 64
+#: Parts that the values of a group are ranked in if it has more than LARGE distinct ones.
+BINS, LARGE = 64, 1_000_000
 
 
 def time_bucket(width_ns: int, ts: Column) -> Column:
@@ -30,35 +30,54 @@ def delta(x: Column, order: Column) -> Column:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], x: str, q: float, out: str) -> DataFrame:
-    """(keys, out): the value of rank round_half_up(q * (n - 1)) of each group's non-null x, counted from 0.
+    """(keys, out): the value of rank round_half_up(q * (n - 1)) of each group's non-null x, counted from 0."""
+    return _quantile(df, keys, x, q, out, False)
 
-    Exact at any size: equal values are counted before anything moves, and the
-    running count goes over distinct values, which spill; no group is collected.
-    """
-    if not 0 <= q <= 1:
-        raise ValueError(f"quantile {q} is not in 0..1")
-    counted = df.filter(F.col(f"`{x}`").isNotNull()).groupBy(*[F.col(f"`{k}`") for k in keys], F.col(f"`{x}`").alias("__x")).agg(F.count("*").alias("__n"))
-    if keys:
-        part = Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
-        ranked = counted.withColumns({"__upto": F.sum("__n").over(part.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(part)})
-    else:
-        ranked = _ranked(counted)
-    rank = F.floor(F.lit(float(q)) * (F.col("__all") - 1) + 0.5)
-    return ranked.filter((F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)).select(*[F.col(f"`{k}`") for k in keys], F.col("__x").alias(out))
 
+def interpolated(df: DataFrame, keys: list[str], x: str, q: float, out: str) -> DataFrame:
+    """(keys, out): the value at q * (n - 1) of each group's sorted non-null x, linear between two of them."""
+    return _quantile(df, keys, x, q, out, True)
 
-def _ranked(counted: DataFrame) -> DataFrame:
-    """counted (__x, __n) with the running and the whole count, over bins of values: no task sorts them all.
 
-    The bins' edges are approximate quantiles of the distinct values, so bins
-    are about equal; the result doesn't depend on them.
+def _quantile(df: DataFrame, keys: list[str], x: str, q: float, out: str, between: bool) -> DataFrame:
+    """Exact at any size, and no task sorts all of a large group.
+
+    Equal values are counted before anything moves.  The values of large groups
+    are put into bins by approximate quantiles of them; the bins' counts tell
+    which bins hold the ranks that are asked for, and only these are sorted.
+    Bins' borders don't show in the result.
     """
-    edges = counted.agg(F.percentile_approx(F.col("__x").cast("double"), [i / BINS for i in range(1, BINS)], 100 * BINS).alias("__edges"))
-    binned = counted.crossJoin(F.broadcast(edges)).withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col("__x").cast("double")))).drop("__edges")
-    one = Window.partitionBy(F.lit(1))  # of BINS rows
-    sums = binned.groupBy("__bin").agg(F.sum("__n").alias("__here")).withColumns({"__before": F.sum("__here").over(one.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__here"), "__all": F.sum("__here").over(one)})
-    inside = F.sum("__n").over(Window.partitionBy("__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
-    return binned.join(F.broadcast(sums), "__bin").withColumn("__upto", F.col("__before") + inside)
+    if not 0 <= q <= 1:
+        raise ValueError(f"quantile {q} is not in 0..1")
+    names = [f"__q{i}" for i in range(len(keys))]
+    by = [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
+    counted = df.filter(F.col(f"`{x}`").isNotNull()).groupBy(*by, F.col(f"`{x}`").alias("__x")).agg(F.count("*").alias("__n"))
+    edges = counted.groupBy(*names).agg(F.count("*").alias("__many"), F.percentile_approx(F.col("__x").cast("double"), [i / BINS for i in range(1, BINS)], 100 * BINS).alias("__edges")).filter(F.col("__many") > LARGE)
+    binned = _joined(counted, edges.select(*names, "__edges"), names, "left")
+    binned = binned.withColumn("__bin", F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col("__x").cast("double"))), F.lit(0))).drop("__edges")
+    group = Window.partitionBy(*(names or [F.lit(1)]))  # of BINS rows
+    sums = binned.groupBy(*names, "__bin").agg(F.sum("__n").alias("__here"))
+    sums = sums.withColumns({"__before": F.sum("__here").over(group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__here"), "__all": F.sum("__here").over(group)})
+    place = F.lit(float(q)) * (F.col("__all") - 1)
+    low, high = (F.floor(place), F.ceil(place)) if between else (F.floor(place + 0.5),) * 2
+    hit = sums.filter((F.col("__before") <= high) & (F.col("__before") + F.col("__here") > low)).drop("__here")
+    inside = F.sum("__n").over(Window.partitionBy(*names, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = _joined(binned, hit, [*names, "__bin"], "inner").withColumn("__upto", F.col("__before") + inside)
+    holds = lambda rank: (F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)
+    shown = [F.col(n).alias(k) for k, n in zip(keys, names)]
+    if not between:
+        return ranked.filter(holds(low)).select(*shown, F.col("__x").alias(out))
+    ends = ranked.groupBy(*names).agg(F.max(F.when(holds(low), F.col("__x"))).alias("__a"), F.max(F.when(holds(high), F.col("__x"))).alias("__b"), F.max(place - low).alias("__share"))
+    return ends.select(*shown, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__share")).alias(out))
+
+
+def _joined(a: DataFrame, b: DataFrame, names: list[str], how: str) -> DataFrame:
+    """a with b by names, in which null equals null; each once."""
+    right = b.withColumnsRenamed({n: f"{n}_r" for n in names})
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"{n}_r"))
+    return a.join(right if names else F.broadcast(right), on, how).drop(*[f"{n}_r" for n in names])
 
 
 def bucket_quantile(q: float, bounds: Column, counts: Column) -> Column:

@@ -61,7 +61,8 @@ def correlations(df: DataFrame, columns: list[str], limit: float = R_LIMIT) -> D
 
 def lag_correlations(df: DataFrame, time: str, a: str, b: str, bucket_ns: int, lags: range) -> DataFrame:
     """lag, n, r: Pearson r of a's bucket means with b's, lag buckets later; one row a lag."""
-    means = df.groupBy((F.floor(F.col(time) / F.lit(bucket_ns))).alias("t")).agg(F.avg(a).alias("a"), F.avg(b).alias("b"))
+    at = F.col(time)
+    means = df.groupBy(F.call_function("div", at - F.pmod(at, F.lit(bucket_ns)), F.lit(bucket_ns)).alias("t")).agg(F.avg(a).alias("a"), F.avg(b).alias("b"))
     shifted = means.select(F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"), "t", "a").select("lag", (F.col("t") + F.col("lag")).alias("t"), "a")
     return shifted.join(means.select("t", "b"), "t").groupBy("lag").agg(F.count("*").alias("n"), pearson(F.col("a"), F.col("b")).alias("r"))
 

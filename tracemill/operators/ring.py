@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -41,14 +41,23 @@ class Ring:
         return self.replicas(int(np.searchsorted(self.hashes, np.uint64(self.place(key)))) % len(self.owners), n)
 
 
+def series_key(name: Column | str, attributes: Column | str) -> Column:
+    """What tells a series from others: its name and its labels, sorted, from the text of a JSON object."""
+    pairs = F.transform(F.map_entries(F.from_json(attributes, "map<string, string>")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return F.concat_ws("\x1f", name, F.array_sort(pairs))
+
+
 def assign(df: DataFrame, key: str, ring: Ring, replicas: int = 1, out: str = "nodes") -> DataFrame:
     """df with the nodes of each key, the first the owner; null keys have none."""
-    lists = [ring.replicas(i, replicas) for i in range(len(ring.owners))]
+    lists = pa.array([ring.replicas(i, replicas) for i in range(len(ring.owners))], pa.list_(pa.string()))
 
     @F.arrow_udf(ArrayType(StringType()))
-    def look(h: pa.Array) -> pa.Array:
-        x = np.array([0 if v is None else int(v, 16) for v in h.to_pylist()], np.uint64)
-        at = np.searchsorted(ring.hashes, x) % len(lists)
-        return pa.array([None if v is None else lists[i] for v, i in zip(h.to_pylist(), at)], pa.list_(pa.string()))
-
-    return df.withColumn(out, look(F.substring(F.md5(F.col(f"`{key}`").cast("string")), 1, 16)))
+    def look(place: pa.Array) -> pa.Array:
+        known = place.drop_null()
+        wide = np.frombuffer(b"".join(known.to_pylist()), ">u8").astype(np.uint64) if len(known) else np.zeros(0, np.uint64)
+        at = np.full(len(place), -1)
+        at[place.is_valid().to_numpy(zero_copy_only=False)] = np.searchsorted(ring.hashes, wide) % len(lists)
+        return lists.take(pa.array(at, mask=at < 0))
+
+    # The first eight bytes of the digest.
+    return df.withColumn(out, look(F.unhex(F.substring(F.md5(F.col("`" + key.replace("`", "``") + "`").cast("string")), 1, 16))))

@@ -19,11 +19,14 @@ from tracemill.catalog import Catalog, Table
 from tracemill.errors import BindError
 from tracemill.functions import temporal
 from tracemill.functions.scalars import SCALARS, Scalar
+from tracemill.operators.joins import BROADCAST_BYTES, estimated_bytes
 from tracemill.plans import syntax as s
 from tracemill.plans.bounds import bounds, constant
 from tracemill.plans.parser import interval_ns
 
 AGGREGATES = frozenset("count sum avg min max stddev percentile rate delta histogram_quantile count_distinct approx_count_distinct".split())
+#: An estimate of size from which there is none.
+UNKNOWN = 1 << 62
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
     "and": lambda a, b: a & b, "or": lambda a, b: a | b, "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "%": lambda a, b: a % b,
@@ -197,7 +200,7 @@ class Lowering:
     # Aggregates
 
     def aggregate(self, e: s.Call) -> Column:
-        """The aggregate as a column, except for histogram_quantile."""
+        """The aggregate as a column, except for quantiles."""
         n = len(e.args)
         if n < 1 or any(has_aggregate(a) for a in e.args) and e.name != "rate":
             raise BindError(f"{e.name}() can't take these arguments")
@@ -216,10 +219,6 @@ class Lowering:
         x = x if keep is None else F.when(keep, x)
         if e.name == "delta":
             return temporal.delta(x, self.time_order())
-        if e.name == "percentile":
-            if n != 2:
-                raise BindError("percentile(x, q) takes two arguments")
-            return F.percentile(x.cast("double"), F.lit(self.fraction(e.args[1])))
         if n != 1:
             raise BindError(f"{e.name}() takes one argument")
         simple = {"count": F.count, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev, "count_distinct": F.count_distinct, "approx_count_distinct": F.approx_count_distinct}
@@ -235,16 +234,23 @@ class Lowering:
         """Group self.df; keys and calls are then in self.grouped."""
         names = [f"__k{i}" for i in range(len(keys))]
         base = self.df.withColumns({n: self.column(k) for n, k in zip(names, keys)})
-        ranks = [c for c in calls if c.name == "histogram_quantile"]
+        ranks = [c for c in calls if c.name in ("histogram_quantile", "percentile")]
         made = {c: f"__a{i}" for i, c in enumerate(calls)}
         plain = [self.aggregate(c).alias(made[c]) for c in calls if c not in ranks]
         out = base.groupBy(*names).agg(*(plain or [F.count(F.lit(1)).alias("__n")]))
         for c in ranks:
-            if len(c.args) not in (2, 3):
+            between = c.name == "percentile"
+            if between and len(c.args) != 2:
+                raise BindError("percentile(x, q) takes two arguments")
+            if not between and len(c.args) not in (2, 3):
                 raise BindError("histogram_quantile(q, x) takes two arguments, and a number of buckets that is not used")
-            x = self.column(c.args[1])
+            if any(map(has_aggregate, c.args)):
+                raise BindError(f"{c.name}() can't take these arguments")
+            value, q = (c.args[0], c.args[1]) if between else (c.args[1], c.args[0])
+            x = self.column(value).cast("double") if between else self.column(value)
             x = x if c.where is None else F.when(self.column(c.where), x)
-            found = temporal.nearest_rank(base.withColumn("__x_in", x), names, "__x_in", self.fraction(c.args[0]), made[c])
+            pick = temporal.interpolated if between else temporal.nearest_rank
+            found = pick(base.withColumn("__x_in", x), names, "__x_in", self.fraction(q), made[c])
             found = found.withColumnsRenamed({n: f"__r{n}" for n in names})
             on = F.lit(True)
             for n in names:
@@ -278,7 +284,7 @@ class Lowering:
         self.df = self.scan(q.source, where)
         for j in q.joins:
             right = self.scan(j.source, where)
-            if self.join_hint:
+            if self.join_hint and not (self.join_hint == "broadcast" and BROADCAST_BYTES < estimated_bytes(right) < UNKNOWN):
                 right = right.hint(self.join_hint)
             on = self.bound(j.on, {}, False)
             left, self.df = self.df, self.df.join(right)  # for types

@@ -7,57 +7,16 @@ language go through the engine; operators without syntax are called directly.
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.engine import Engine
+from tracemill import io_queries
 from tracemill.functions import temporal
+from tracemill.inputs import DAY, HOUR, M, NOW, T0, T1, WITH, engine, metric_rows, read
 from tracemill.operators import joins, rca, ring, windows
 from tracemill.plans.parser import parse
-from tracemill.sources import otlp, store
-from tracemill.streaming import ingest
-
-DAY, HOUR = 86400 * 10**9, 3600 * 10**9
-T0, T1, T2 = 1704844800 * 10**9, 1705708800 * 10**9, 1706659200 * 10**9
-NOW = T2
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def events_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").withColumn("timestamp_ns", F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
-
-
-def engine(spark: SparkSession, sf_dir: str, tables: set[str] | None = None) -> Engine:
-    """An engine over the tables that are asked for; all without."""
-    out = Engine(spark, now=lambda: NOW)
-    asked = lambda name: tables is None or name in tables
-    if asked("logs"):
-        severity = F.when(F.col("event_type") == "error", 17).when(F.col("event_type") == "purchase", 13).when(F.col("event_type") == "signup", 9).otherwise(5)
-        e = events_ns(spark, sf_dir).select("timestamp_ns", "event_id", severity.alias("severity_number"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("severity_text"), F.col("event_type").alias("body"), F.col("props").alias("attributes"), "user_id")
-        out.register("logs", e, ties=("event_id",))
-    if asked("metrics"):
-        e = events_ns(spark, sf_dir).select("timestamp_ns", "event_id", F.col("event_type").alias("name"), F.col("value").alias("value_double"), F.lit(None).cast("long").alias("value_int"), "user_id")
-        out.register("metrics", e, ties=("event_id",))
-    if asked("traces"):
-        start = F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000
-        out.register("traces", read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").alias("span_id"), F.col("l_returnflag").alias("name"), start.alias("start_time_ns"), (F.col("l_quantity") * 1e6).cast("long").alias("duration_ns"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("price")))
-    for name in ("orders", "customer", "nation", "region", "supplier", "part"):
-        if asked(name):
-            out.register(name, read(spark, sf_dir, name))
-    return out
-
-
-WITH = """WITH logs AS (SELECT epoch_us(ts) * 1000 AS timestamp_ns, event_id, CASE event_type WHEN 'error' THEN 17 WHEN 'purchase' THEN 13 WHEN 'signup' THEN 9 ELSE 5 END AS severity_number,
-  CASE WHEN event_type <> 'click' THEN event_type END AS severity_text, event_type AS body, props AS attributes, user_id FROM events),
-metrics AS (SELECT epoch_us(ts) * 1000 AS timestamp_ns, event_id, event_type AS name, event_type AS metric_name, value AS value_double, value, user_id FROM events),
-traces AS (SELECT l_orderkey AS trace_id, l_linenumber AS span_id, l_returnflag AS name, epoch_us(l_shipdate::TIMESTAMP) * 1000 AS start_time_ns, epoch_us(l_shipdate::TIMESTAMP) * 1000 AS timestamp_ns, CAST(l_quantity * 1e6 AS BIGINT) AS duration_ns, l_linestatus AS status, l_extendedprice AS price FROM lineitem)
-"""
 
 #: name: (statement of the query language, SQL after WITH).
 STATEMENTS: dict[str, tuple[str, str]] = {
@@ -86,14 +45,14 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT trace_id, span_id, duration_ns / 1000000 AS ms, duration_ns % 7 AS rest, -span_id AS minus, (trace_id + span_id) * 2 - 1 AS sum2, round(price / 3, 4) AS third FROM traces",
         "SELECT trace_id, span_id, duration_ns // 1000000 AS ms, duration_ns % 7 AS rest, -span_id AS minus, (trace_id + span_id) * 2 - 1 AS sum2, round(price / 3, 4) AS third FROM traces"),
     "literals": (
-        "SELECT event_id, 1 AS one, 2.5 AS half, 'it''s' AS text, TRUE AS yes, FALSE AS no, INTERVAL '5 minutes' AS five, now() - 1h AS before FROM logs WHERE user_id = 1 -- a comment\n;",
-        f"SELECT event_id, 1 AS one, 2.5::DOUBLE AS half, 'it''s' AS text, TRUE AS yes, FALSE AS no, 300000000000 AS five, {NOW - HOUR} AS before FROM logs WHERE user_id = 1"),
+        "SELECT event_id, 1 AS one, 2.5 AS half, 'it''s' AS text, TRUE AS yes, FALSE AS no, INTERVAL '5 minutes' AS five, now() - 1h AS before FROM logs -- a comment\n;",
+        f"SELECT event_id, 1 AS one, 2.5::DOUBLE AS half, 'it''s' AS text, TRUE AS yes, FALSE AS no, 300000000000 AS five, {NOW - HOUR} AS before FROM logs"),
     "bare_durations": (
         "SELECT count(*) AS n FROM logs WHERE timestamp_ns >= now() - 7d AND timestamp_ns < now() - INTERVAL '2 days'",
         f"SELECT count(*) AS n FROM logs WHERE timestamp_ns >= {NOW - 7 * DAY} AND timestamp_ns < {NOW - 2 * DAY}"),
     "aliases": (
-        'SELECT l.event_id "the id", l.user_id AS u, u * 2 AS twice, twice + 1 AS more FROM logs l WHERE l.user_id < 9',
-        'SELECT event_id AS "the id", user_id AS u, user_id * 2 AS twice, user_id * 2 + 1 AS more FROM logs WHERE user_id < 9'),
+        'SELECT l.event_id "the id", l.user_id AS u, u * 2 AS twice, twice + 1 AS more FROM logs l',
+        'SELECT event_id AS "the id", user_id AS u, user_id * 2 AS twice, user_id * 2 + 1 AS more FROM logs'),
     "distinct": ("SELECT DISTINCT body, severity_number FROM logs ORDER BY body", "SELECT DISTINCT body, severity_number FROM logs"),
     "global_aggregates": (
         "SELECT count(*) AS n, count(severity_text) AS texts, sum(user_id) AS total, round(avg(user_id), 6) AS mean, min(user_id) AS least, max(user_id) AS most FROM logs",
@@ -126,17 +85,17 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT histogram_quantile(0.99, value) AS p99, histogram_quantile(0.25, user_id) AS p25, count(*) AS n FROM metrics",
         "SELECT v[floor(0.99 * (n - 1) + 0.5)::BIGINT + 1] AS p99, u[floor(0.25 * (n - 1) + 0.5)::BIGINT + 1] AS p25, n FROM (SELECT list(value ORDER BY value) AS v, list(user_id ORDER BY user_id) AS u, count(*) AS n FROM metrics)"),
     "order_nulls_last": (
-        "SELECT event_id, severity_text FROM logs ORDER BY severity_text DESC, event_id LIMIT 100 OFFSET 3",
-        "SELECT event_id, severity_text FROM logs ORDER BY severity_text DESC NULLS LAST, event_id LIMIT 100 OFFSET 3"),
+        "SELECT event_id, severity_text FROM logs ORDER BY severity_text DESC, event_id",
+        "SELECT event_id, severity_text FROM logs ORDER BY severity_text DESC NULLS LAST, event_id"),
     "top_k": (
         "SELECT event_id, value FROM metrics ORDER BY value DESC, event_id LIMIT 10 OFFSET 5",
         "SELECT event_id, value FROM metrics ORDER BY value DESC, event_id LIMIT 10 OFFSET 5"),
     "offset_alone": (
-        "SELECT event_id FROM logs WHERE user_id = 2 ORDER BY event_id OFFSET 4",
-        "SELECT event_id FROM logs WHERE user_id = 2 ORDER BY event_id OFFSET 4"),
+        "SELECT event_id FROM logs ORDER BY event_id OFFSET 4",
+        "SELECT event_id FROM logs ORDER BY event_id OFFSET 4"),
     "order_by_expression": (
-        "SELECT event_id FROM logs ORDER BY user_id % 5 DESC, event_id LIMIT 50",
-        "SELECT event_id FROM logs ORDER BY user_id % 5 DESC, event_id LIMIT 50"),
+        "SELECT event_id FROM logs ORDER BY user_id % 5 DESC, event_id",
+        "SELECT event_id FROM logs ORDER BY user_id % 5 DESC, event_id"),
     "join_inner": (
         "SELECT o.o_orderpriority AS priority, count(*) AS n, sum(t.duration_ns) AS total FROM traces t JOIN orders o ON t.trace_id = o.o_orderkey WHERE t.name = 'R' GROUP BY o.o_orderpriority",
         "SELECT o_orderpriority AS priority, count(*) AS n, sum(duration_ns)::DOUBLE AS total FROM traces JOIN orders ON trace_id = o_orderkey WHERE name = 'R' GROUP BY 1"),
@@ -155,57 +114,56 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "cross_signal": (
         "SELECT l.event_id, t.span_id, t.duration_ns FROM logs l JOIN traces t ON l.user_id = t.trace_id WHERE l.severity_number >= 17 AND t.duration_ns > 40000000",
         "SELECT event_id, span_id, duration_ns FROM logs JOIN traces ON user_id = trace_id WHERE severity_number >= 17 AND duration_ns > 40000000"),
+    "scalars": (
+        "SELECT event_id, abs(value - 100) AS a, floor(value) AS f, ceil(value) AS c, round(sqrt(value), 8) AS s, round(ln(value), 8) AS l, round(exp(value / 1000), 8) AS e, lower(name) AS lo, upper(name) AS up, length(name) AS n, trim(name) AS t, hex(name) AS h, coalesce(value_int, user_id, 7) AS k FROM metrics",
+        "SELECT event_id, abs(value - 100) AS a, floor(value)::BIGINT AS f, ceil(value)::BIGINT AS c, round(sqrt(value), 8) AS s, round(ln(value), 8) AS l, round(exp(value / 1000), 8) AS e, lower(name) AS lo, upper(name) AS up, length(name)::INT AS n, trim(name) AS t, lower(hex(name)) AS h, user_id AS k FROM metrics"),
     "json_and_severity": (
         "SELECT severity(severity_number) AS level, json(attributes, '$.k') AS k, count(*) AS n FROM logs GROUP BY level, k",
         "SELECT CASE severity_number WHEN 17 THEN 'ERROR' WHEN 13 THEN 'WARN' WHEN 9 THEN 'INFO' ELSE 'DEBUG' END AS level, json_extract_string(attributes, '$.k') AS k, count(*) AS n FROM logs GROUP BY 1, 2"),
 }
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_ns(spark, sf_dir).select("event_id", "timestamp_ns", "user_id", "event_type", "value")
-
-
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rca.anomalies(_metrics(spark, sf_dir), ["value", "user_id"], ["event_id"])
+    return rca.anomalies(metric_rows(spark, sf_dir), ["value", "user_id"], ["event_id"])
 
 
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _metrics(spark, sf_dir).select("value", "event_id", "timestamp_ns", (F.col("value") * 2 + 1).alias("twice"), "event_type")
+    df = metric_rows(spark, sf_dir).select("value", "event_id", "timestamp_ns", (F.col("value") * 2 + 1).alias("twice"), "event_type")
     return rca.correlations(df, rca.numeric_columns(df))
 
 
 def lag_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rca.lag_correlations(_metrics(spark, sf_dir), "timestamp_ns", "value", "user_id", 12 * HOUR, range(-5, 6))
+    out = rca.lag_correlations(metric_rows(spark, sf_dir), "timestamp_ns", "value", "user_id", 12 * HOUR, range(-5, 6))
     return out.select("lag", "n", F.round("r", 6).alias("r"))
 
 
 def rolling_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.rolling_z(_metrics(spark, sf_dir), "value", ["timestamp_ns", "event_id"], ["event_type"], 20).select("event_id", F.round("z", 5).alias("z"))
+    return windows.rolling_z(metric_rows(spark, sf_dir), "value", ["timestamp_ns", "event_id"], ["event_type"], 20).select("event_id", F.round("z", 5).alias("z"))
 
 
 def rate_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.change(_metrics(spark, sf_dir), "value", "timestamp_ns", ["timestamp_ns", "event_id"], ["event_type"]).select("event_id", F.round("change", 6).alias("change"))
+    return windows.change(metric_rows(spark, sf_dir), "value", "timestamp_ns", ["timestamp_ns", "event_id"], ["event_type"]).select("event_id", F.round("change", 6).alias("change"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = windows.sessions(_metrics(spark, sf_dir), "timestamp_ns", ["timestamp_ns", "event_id"], ["user_id"], 6 * HOUR)
+    s = windows.sessions(metric_rows(spark, sf_dir), "timestamp_ns", ["timestamp_ns", "event_id"], ["user_id"], 6 * HOUR)
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("timestamp_ns").alias("start"), F.max("timestamp_ns").alias("end"))
 
 
 def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.top_per_group(_metrics(spark, sf_dir), ["event_type"], [F.desc("value"), "event_id"], 3).select("event_type", "event_id", "value")
+    return windows.top_per_group(metric_rows(spark, sf_dir), ["event_type"], [F.desc("value"), "event_id"], 3).select("event_type", "event_id", "value")
 
 
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _metrics(spark, sf_dir)
+    m = metric_rows(spark, sf_dir)
     errors = m.filter("event_type = 'error'").select("user_id", "timestamp_ns", "event_id")
     buys = m.filter("event_type = 'purchase'").groupBy("user_id", "timestamp_ns").agg(F.max("value").alias("value"))
     return joins.asof(errors, buys, ["user_id"], "timestamp_ns").select("event_id", F.col("timestamp_ns_asof").alias("bought_ns"), F.col("value_asof").alias("value"))
 
 
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _metrics(spark, sf_dir)
-    spans = m.filter("event_type = 'error' AND value > 150").select(F.col("event_id").alias("span"), F.col("timestamp_ns").alias("low"), (F.col("timestamp_ns") + HOUR).alias("high"))
+    m = metric_rows(spark, sf_dir)
+    spans = m.filter("event_type = 'error'").select(F.col("event_id").alias("span"), F.col("timestamp_ns").alias("low"), (F.col("timestamp_ns") + HOUR).alias("high"))
     return joins.within(m.select("event_id", "timestamp_ns"), spans, "timestamp_ns", "low", "high", HOUR).select("span", "event_id")
 
 
@@ -215,6 +173,12 @@ def join_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.join(o, small, o.o_custkey == small.c_custkey, left_rows=1_500_000, right_rows=150_000).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
+def join_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of medium size: a hash join."""
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    return joins.join(o, c, o.o_custkey == c.c_custkey, left_rows=900_000, right_rows=150_000).groupBy("c_mktsegment", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
 def semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
     on = o.o_custkey == c.c_custkey
@@ -223,7 +187,7 @@ def semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _metrics(spark, sf_dir)
+    m = metric_rows(spark, sf_dir)
     a, b = m.filter("value > 100").select("user_id"), m.filter("event_type = 'error'").select("user_id")
     parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b), "except_all": a.exceptAll(b)}
     return functools.reduce(DataFrame.union, [d.select(F.lit(k).alias("kind"), "user_id") for k, d in parts.items()])
@@ -234,125 +198,41 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).rollup("event_type", F.expr("user_id % 3").alias("third")).agg(F.count("*").alias("n"))
+    return metric_rows(spark, sf_dir).rollup("event_type", F.expr("user_id % 3").alias("third")).agg(F.count("*").alias("n"))
 
 
 def bucketed_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values counted into buckets by type, and the median read from the counts."""
     bounds = [10.0, 25.0, 50.0, 100.0, 200.0]
-    m = _metrics(spark, sf_dir)
+    m = metric_rows(spark, sf_dir)
     edges = [float("-inf"), *bounds, float("inf")]
     counts = m.groupBy("event_type").agg(*[F.sum(F.when((F.col("value") > lo) & (F.col("value") <= hi), 1).otherwise(0)).alias(f"c{i}") for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
     h = counts.select("event_type", F.array(*[F.lit(b) for b in bounds]).alias("bounds"), F.array(*[F.col(f"c{i}") for i in range(len(bounds) + 1)]).alias("counts"))
     return h.select("event_type", F.round(temporal.bucket_quantile(0.5, F.col("bounds"), F.col("counts")), 6).alias("p50"))
 
 
-def _requests(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:
-    """events as export requests in JSON."""
-    e = events_ns(spark, sf_dir)
-    t, user = F.col("timestamp_ns").cast("string"), (F.col("user_id") % 5).cast("string")
-    resource = F.concat(F.lit('"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc'), user, F.lit('"}}]}'))
-    entry = {
-        "logs": ("resourceLogs", "scopeLogs", "logRecords", F.concat(F.lit('{"timeUnixNano":"'), t, F.lit('","severityNumber":9,"body":{"stringValue":"'), F.col("event_type"), F.lit('"},"attributes":[{"key":"id","value":{"intValue":"'), F.col("event_id").cast("string"), F.lit('"}}]}'))),
-        "metrics": ("resourceMetrics", "scopeMetrics", "metrics", F.concat(F.lit('{"name":"'), F.col("event_type"), F.lit('","gauge":{"dataPoints":[{"timeUnixNano":'), t, F.lit(',"asDouble":'), F.col("value").cast("string"), F.lit(',"attributes":[]}]}}'))),
-        "traces": ("resourceSpans", "scopeSpans", "spans", F.concat(F.lit('{"traceId":"'), F.when(F.col("event_id") % 7 == 0, F.lit("g")).otherwise(F.lit("0")), F.lpad(F.lower(F.hex("event_id")), 31, "0"), F.lit('","spanId":"'), F.lpad(F.lower(F.hex("user_id")), 16, "0"), F.lit('","parentSpanId":"","name":"'), F.col("event_type"), F.lit('","kind":2,"startTimeUnixNano":"'), t, F.lit('","endTimeUnixNano":"'), (F.col("timestamp_ns") + F.floor((F.col("value") - 50) * 1000).cast("long")).cast("string"), F.lit('","status":{"code":1}}'))),
-    }[signal]
-    outer, scopes, items, item = entry
-    return e.select(F.concat(F.lit(f'{{"{outer}":[{{'), resource, F.lit(f',"{scopes}":[{{"scope":{{"name":"test"}},"{items}":['), item, F.lit("]}]}]}")).alias("value"))
-
-
-def otlp_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = otlp.logs(_requests(spark, sf_dir, "logs"))
-    return d.select("timestamp_ns", "observed_timestamp_ns", "severity_number", "body", "attributes", F.get_json_object("resource_attributes", "$['service.name']").alias("service"), "scope_name")
-
-
-def otlp_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = otlp.metrics(_requests(spark, sf_dir, "metrics"))
-    return d.select("timestamp_ns", "name", F.col("metric_type").cast("int").alias("metric_type"), "value_double", "attributes", "scope_name")
-
-
-def otlp_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = otlp.traces(_requests(spark, sf_dir, "traces"))
-    return d.select(F.lower(F.hex("trace_id")).alias("trace_id"), F.lower(F.hex("span_id")).alias("span_id"), "name", "kind", "start_time_ns", "duration_ns", "status_code", "events", "links")
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base}/tracemill-{uuid.uuid4().hex}"
-
-
-def _stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    path, logs = _folder(spark), otlp.logs(_requests(spark, sf_dir, "logs"))
-    store.write(logs, "logs", path, DAY)
-    return path, logs
-
-
-def store_pruned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, _ = _stored(spark, sf_dir)
-    e = store.register(Engine(spark), "logs", path, DAY)
-    return e.query(f"SELECT timestamp_ns, body, service_name FROM logs WHERE timestamp_ns >= {T0} AND timestamp_ns < {T1}")
-
-
-def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, logs = _stored(spark, sf_dir)
-    for _ in range(3):
-        store.write(logs, "logs", path, DAY)
-    store.compact(spark, "logs", path)
-    return store.read(spark, path, T0, T1 - 1, DAY).groupBy("body").agg(F.count("*").alias("n"))
-
-
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
-    _requests(spark, sf_dir, "logs").groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("value").alias("v")).select(F.explode("v").alias("value")).write.text(f"{folder}/landing")
-    raw = spark.readStream.schema("value string").option("maxFilesPerTrigger", 4).text(f"{folder}/landing")
-    out = store.partitioned(otlp.logs(raw), "logs", DAY).writeStream.format("parquet").option("path", f"{folder}/store").option("checkpointLocation", f"{folder}/checkpoint").partitionBy("part").trigger(availableNow=True).start()
-    out.awaitTermination()
-    return store.read(spark, f"{folder}/store", T0, T1 - 1, DAY).groupBy("part", "body").agg(F.count("*").alias("n"))
-
-
-def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
-    events_ns(spark, sf_dir).select("timestamp_ns", "event_type").coalesce(1).write.parquet(f"{folder}/in")
-    raw = spark.readStream.schema("timestamp_ns long, event_type string").parquet(f"{folder}/in")
-    counts = ingest.windowed_counts(raw, "logs", ["event_type"], "1 day", "1 hour")
-    counts = counts.select((F.unix_micros("start") * 1000).alias("start_ns"), "event_type", "n")
-    q = counts.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema("start_ns long, event_type string, n long").parquet(f"{folder}/out").filter(F.col("start_ns") < T1)
-
-
 def ring_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ring.Ring([f"node{i}" for i in range(5)])
     return ring.assign(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", r, 3).select("c_custkey", F.concat_ws(",", "nodes").alias("nodes"))
 
 
-_M = "m AS (SELECT event_id, epoch_us(ts) * 1000 AS timestamp_ns, user_id, event_type, value FROM events)"
 OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "anomalies": (anomalies, f"WITH {_M}, l AS (SELECT event_id, 'value' AS \"column\", value AS value FROM m UNION ALL SELECT event_id, 'user_id', user_id::DOUBLE FROM m), z AS (SELECT *, abs(value - avg(value) OVER (PARTITION BY \"column\")) / stddev_pop(value) OVER (PARTITION BY \"column\") AS z FROM l) SELECT event_id, \"column\", value, round(z, 2) AS z FROM z WHERE z > 3"),
-    "correlations": (correlations, f"WITH {_M}, d AS (SELECT value, event_id, timestamp_ns, value * 2 + 1 AS twice FROM m), p AS (SELECT 'value' AS a, 'event_id' AS b, corr(value, event_id) AS r FROM d UNION ALL SELECT 'value', 'timestamp_ns', corr(value, timestamp_ns) FROM d UNION ALL SELECT 'value', 'twice', corr(value, twice) FROM d UNION ALL SELECT 'event_id', 'timestamp_ns', corr(event_id, timestamp_ns) FROM d UNION ALL SELECT 'event_id', 'twice', corr(event_id, twice) FROM d UNION ALL SELECT 'timestamp_ns', 'twice', corr(timestamp_ns, twice) FROM d) SELECT a, b, round(r, 3) AS r FROM p WHERE abs(r) >= 0.8"),
-    "lag_correlation": (lag_correlation, f"WITH {_M}, b AS (SELECT timestamp_ns // {12 * HOUR} AS t, avg(value) AS a, avg(user_id) AS b FROM m GROUP BY 1), k AS (SELECT unnest(range(-5, 6)) AS lag) SELECT lag, count(*) AS n, round(corr(x.a, y.b), 6) AS r FROM k CROSS JOIN b x JOIN b y ON y.t = x.t + lag GROUP BY lag"),
-    "rolling_z": (rolling_z, f"WITH {_M} SELECT event_id, round(CASE WHEN s > 0 THEN (value - a) / s END, 5) AS z FROM (SELECT event_id, value, avg(value) OVER w AS a, stddev_pop(value) OVER w AS s FROM m WINDOW w AS (PARTITION BY event_type ORDER BY timestamp_ns, event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))"),
-    "rate_of_change": (rate_of_change, f"WITH {_M} SELECT event_id, round(CASE WHEN s > 0 THEN v / s END, 6) AS change FROM (SELECT event_id, (timestamp_ns - lag(timestamp_ns) OVER w) / 1e9 AS s, value - lag(value) OVER w AS v FROM m WINDOW w AS (PARTITION BY event_type ORDER BY timestamp_ns, event_id))"),
-    "sessions": (sessions, f"WITH {_M}, g AS (SELECT *, CASE WHEN timestamp_ns - lag(timestamp_ns) OVER w <= {6 * HOUR} THEN 0 ELSE 1 END AS f FROM m WINDOW w AS (PARTITION BY user_id ORDER BY timestamp_ns, event_id)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY timestamp_ns, event_id)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n, min(timestamp_ns) AS start, max(timestamp_ns) AS \"end\" FROM s GROUP BY 1, 2"),
-    "top_per_group": (top_per_group, f"WITH {_M} SELECT event_type, event_id, value FROM m QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 3"),
-    "asof_join": (asof_join, f"WITH {_M}, b AS (SELECT user_id, timestamp_ns, max(value) AS value FROM m WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT e.event_id, b.timestamp_ns AS bought_ns, b.value FROM m e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.timestamp_ns >= b.timestamp_ns WHERE e.event_type = 'error'"),
-    "range_join": (range_join, f"WITH {_M} SELECT s.event_id AS span, p.event_id FROM m s JOIN m p ON p.timestamp_ns BETWEEN s.timestamp_ns AND s.timestamp_ns + {HOUR} WHERE s.event_type = 'error' AND s.value > 150"),
+    "anomalies": (anomalies, f"WITH {M}, l AS (SELECT event_id, 'value' AS \"column\", value AS value FROM m UNION ALL SELECT event_id, 'user_id', user_id::DOUBLE FROM m), z AS (SELECT *, abs(value - avg(value) OVER (PARTITION BY \"column\")) / stddev_pop(value) OVER (PARTITION BY \"column\") AS z FROM l) SELECT event_id, \"column\", value, round(z, 2) AS z FROM z WHERE z > 3"),
+    "correlations": (correlations, f"WITH {M}, d AS (SELECT value, event_id, timestamp_ns, value * 2 + 1 AS twice FROM m), p AS (SELECT 'value' AS a, 'event_id' AS b, corr(value, event_id) AS r FROM d UNION ALL SELECT 'value', 'timestamp_ns', corr(value, timestamp_ns) FROM d UNION ALL SELECT 'value', 'twice', corr(value, twice) FROM d UNION ALL SELECT 'event_id', 'timestamp_ns', corr(event_id, timestamp_ns) FROM d UNION ALL SELECT 'event_id', 'twice', corr(event_id, twice) FROM d UNION ALL SELECT 'timestamp_ns', 'twice', corr(timestamp_ns, twice) FROM d) SELECT a, b, round(r, 3) AS r FROM p WHERE abs(r) >= 0.8"),
+    "lag_correlation": (lag_correlation, f"WITH {M}, b AS (SELECT timestamp_ns // {12 * HOUR} AS t, avg(value) AS a, avg(user_id) AS b FROM m GROUP BY 1), k AS (SELECT unnest(range(-5, 6)) AS lag) SELECT lag, count(*) AS n, round(corr(x.a, y.b), 6) AS r FROM k CROSS JOIN b x JOIN b y ON y.t = x.t + lag GROUP BY lag"),
+    "rolling_z": (rolling_z, f"WITH {M} SELECT event_id, round(CASE WHEN s > 0 THEN (value - a) / s END, 5) AS z FROM (SELECT event_id, value, avg(value) OVER w AS a, stddev_pop(value) OVER w AS s FROM m WINDOW w AS (PARTITION BY event_type ORDER BY timestamp_ns, event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))"),
+    "rate_of_change": (rate_of_change, f"WITH {M} SELECT event_id, round(CASE WHEN s > 0 THEN v / s END, 6) AS change FROM (SELECT event_id, (timestamp_ns - lag(timestamp_ns) OVER w) / 1e9 AS s, value - lag(value) OVER w AS v FROM m WINDOW w AS (PARTITION BY event_type ORDER BY timestamp_ns, event_id))"),
+    "sessions": (sessions, f"WITH {M}, g AS (SELECT *, CASE WHEN timestamp_ns - lag(timestamp_ns) OVER w <= {6 * HOUR} THEN 0 ELSE 1 END AS f FROM m WINDOW w AS (PARTITION BY user_id ORDER BY timestamp_ns, event_id)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY timestamp_ns, event_id)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n, min(timestamp_ns) AS start, max(timestamp_ns) AS \"end\" FROM s GROUP BY 1, 2"),
+    "top_per_group": (top_per_group, f"WITH {M} SELECT event_type, event_id, value FROM m QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 3"),
+    "asof_join": (asof_join, f"WITH {M}, b AS (SELECT user_id, timestamp_ns, max(value) AS value FROM m WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT e.event_id, b.timestamp_ns AS bought_ns, b.value FROM m e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.timestamp_ns >= b.timestamp_ns WHERE e.event_type = 'error'"),
+    "range_join": (range_join, f"WITH {M} SELECT s.event_id AS span, p.event_id FROM m s JOIN m p ON p.timestamp_ns BETWEEN s.timestamp_ns AND s.timestamp_ns + {HOUR} WHERE s.event_type = 'error'"),
     "join_strategies": (join_strategies, "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
+    "join_hashed": (join_hashed, "SELECT c_mktsegment, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"),
     "semi_anti": (semi_anti, "SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'with' ELSE 'without' END AS kind FROM customer"),
-    "set_operations": (set_operations, f"WITH {_M}, a AS (SELECT user_id FROM m WHERE value > 100), b AS (SELECT user_id FROM m WHERE event_type = 'error') SELECT 'union' AS kind, user_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'except_all', user_id FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)"),
+    "set_operations": (set_operations, f"WITH {M}, a AS (SELECT user_id FROM m WHERE value > 100), b AS (SELECT user_id FROM m WHERE event_type = 'error') SELECT 'union' AS kind, user_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'except_all', user_id FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)"),
     "cube": (cube, "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"),
-    "rollup": (rollup, f"WITH {_M} SELECT event_type, user_id % 3 AS third, count(*) AS n FROM m GROUP BY ROLLUP (event_type, user_id % 3)"),
-    "bucketed_histogram": (bucketed_histogram, f"WITH {_M}, b AS (SELECT unnest([0, 10, 25, 50, 100]) AS low, unnest([10, 25, 50, 100, 200]) AS high), c AS (SELECT event_type, low, high, count(*) FILTER (value > CASE WHEN low > 0 THEN low ELSE '-inf'::DOUBLE END AND value <= high) AS n, count(*) FILTER (value <= high) AS upto, count(*) AS total FROM m CROSS JOIN b GROUP BY 1, 2, 3) SELECT event_type, round(coalesce(arg_min(low + (high - low) * (0.5 * total - (upto - n)) / n, low) FILTER (n > 0 AND upto >= 0.5 * total), 200), 6) AS p50 FROM c GROUP BY 1"),
-    "otlp_logs": (otlp_logs, "SELECT epoch_us(ts) * 1000 AS timestamp_ns, epoch_us(ts) * 1000 AS observed_timestamp_ns, 9 AS severity_number, event_type AS body, '{\"id\":' || event_id || '}' AS attributes, 'svc' || user_id % 5 AS service, 'test' AS scope_name FROM events"),
-    "otlp_metrics": (otlp_metrics, "SELECT epoch_us(ts) * 1000 AS timestamp_ns, event_type AS name, 0 AS metric_type, value AS value_double, NULL::VARCHAR AS attributes, 'test' AS scope_name FROM events"),
-    "otlp_traces": (otlp_traces, "SELECT lpad(lower(to_hex(event_id)), 32, '0') AS trace_id, lpad(lower(to_hex(user_id)), 16, '0') AS span_id, event_type AS name, 2 AS kind, epoch_us(ts) * 1000 AS start_time_ns, greatest(floor((value - 50) * 1000)::BIGINT, 0) AS duration_ns, 1 AS status_code, '[]' AS events, '[]' AS links FROM events WHERE event_id % 7 <> 0"),
-    "store_pruned_read": (store_pruned_read, f"SELECT epoch_us(ts) * 1000 AS timestamp_ns, event_type AS body, 'svc' || user_id % 5 AS service_name FROM events WHERE epoch_us(ts) * 1000 >= {T0} AND epoch_us(ts) * 1000 < {T1}"),
-    "store_compacted": (store_compacted, f"SELECT event_type AS body, 4 * count(*) AS n FROM events WHERE epoch_us(ts) * 1000 >= {T0} AND epoch_us(ts) * 1000 < {T1} GROUP BY 1"),
-    "stream_ingest": (stream_ingest, f"SELECT epoch_us(ts) * 1000 // {DAY} * {DAY} AS part, event_type AS body, count(*) AS n FROM events WHERE epoch_us(ts) * 1000 >= {T0} AND epoch_us(ts) * 1000 < {T1} GROUP BY 1, 2"),
-    "stream_windows": (stream_windows, f"SELECT epoch_us(ts) * 1000 // {DAY} * {DAY} AS start_ns, event_type, count(*) AS n FROM events WHERE epoch_us(ts) * 1000 < {T1} GROUP BY 1, 2"),
+    "rollup": (rollup, f"WITH {M} SELECT event_type, user_id % 3 AS third, count(*) AS n FROM m GROUP BY ROLLUP (event_type, user_id % 3)"),
+    "bucketed_histogram": (bucketed_histogram, f"WITH {M}, b AS (SELECT unnest([0, 10, 25, 50, 100]) AS low, unnest([10, 25, 50, 100, 200]) AS high), c AS (SELECT event_type, low, high, count(*) FILTER (value > CASE WHEN low > 0 THEN low ELSE '-inf'::DOUBLE END AND value <= high) AS n, count(*) FILTER (value <= high) AS upto, count(*) AS total FROM m CROSS JOIN b GROUP BY 1, 2, 3) SELECT event_type, round(coalesce(arg_min(low + (high - low) * (0.5 * total - (upto - n)) / n, low) FILTER (n > 0 AND upto >= 0.5 * total), 200), 6) AS p50 FROM c GROUP BY 1"),
     "ring_assign": (ring_assign, "WITH v AS (SELECT 'node' || n AS node, substr(md5('node' || n || '#' || i), 1, 16) AS h FROM range(5) a(n), range(150) b(i)), k AS (SELECT c_custkey, substr(md5(c_custkey::VARCHAR), 1, 16) AS h FROM customer), d AS (SELECT c_custkey, node, min(CASE WHEN v.h >= k.h THEN '0' ELSE '1' END || v.h) AS place FROM k CROSS JOIN v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY place) AS n FROM d) SELECT c_custkey, string_agg(node, ',' ORDER BY place) AS nodes FROM r WHERE n <= 3 GROUP BY 1"),
 }
 
@@ -363,5 +243,5 @@ def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir, tables).query(text)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _statement(text) for k, (text, _) in STATEMENTS.items()} | {k: f for k, (f, _) in OPERATORS.items()}
-ORACLE_SQL: dict[str, str] = {k: WITH + sql for k, (_, sql) in STATEMENTS.items()} | {k: sql for k, (_, sql) in OPERATORS.items() if sql}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _statement(text) for k, (text, _) in STATEMENTS.items()} | {k: f for k, (f, _) in OPERATORS.items()} | {k: f for k, (f, _) in io_queries.OPERATORS.items()}
+ORACLE_SQL: dict[str, str] = {k: WITH + sql for k, (_, sql) in STATEMENTS.items()} | {k: sql for k, (_, sql) in OPERATORS.items() if sql} | {k: sql for k, (_, sql) in io_queries.OPERATORS.items()}

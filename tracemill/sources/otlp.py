@@ -1,19 +1,25 @@
 """OpenTelemetry JSON to the three signals, in batch or streaming.
 
-Input is a column of JSON text, one export request a row.  Everything is
-built-in: one from_json with a fixed schema, explode, and higher-order
-functions.
+Input is a column of JSON text, one export request a row.  A request is read by
+one from_json with a fixed schema and exploded.  Attribute values that are text,
+numbers, truth values or bytes become JSON by built-in functions.  Arrays and
+key-value lists, which nest to any depth, stay the text that they came as until
+then; the attributes that hold one are converted together in Arrow batches, and
+for all others that step gets nulls.
 """
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.schema import LOGS, METRICS, TRACES
 
-#: A value; those in an array stay JSON text until they are decoded.
-_VALUE = "struct<stringValue: string, boolValue: boolean, intValue: string, doubleValue: double, arrayValue: struct<values: array<string>>>"
+#: A value; arrays and key-value lists stay JSON text.
+_VALUE = "struct<stringValue: string, boolValue: boolean, intValue: string, doubleValue: double, bytesValue: string, arrayValue: string, kvlistValue: string>"
 _ATTRIBUTES = f"array<struct<key: string, value: {_VALUE}>>"
 _SCOPE = "struct<name: string, version: string>"
 _RESOURCE = f"struct<attributes: {_ATTRIBUTES}>"
@@ -26,8 +32,71 @@ _SPAN = (
     f"struct<traceId: string, spanId: string, parentSpanId: string, name: string, kind: string, startTimeUnixNano: string, endTimeUnixNano: string, status: struct<code: string, message: string>, "
     f"attributes: {_ATTRIBUTES}, events: array<{_EVENT}>, links: array<{_LINK}>>"
 )
-#: Arrays within arrays that are still decoded; the elements of deeper ones stay the JSON that they came as.
-_DEPTH = 3
+
+
+def plain(value: object) -> object:
+    """A decoded value without its type names, at any depth; what has none is the empty string."""
+    if not isinstance(value, dict):
+        return ""
+    for kind in ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue"):
+        x = value.get(kind)
+        if x is None:
+            continue
+        if kind in ("arrayValue", "kvlistValue"):
+            x = json.loads(x) if isinstance(x, str) else x
+            listed = x.get("values") or [] if isinstance(x, dict) else []
+            return [plain(v) for v in listed] if kind == "arrayValue" else entries(listed)
+        if kind == "intValue":
+            try:
+                return int(x)
+            except ValueError:
+                continue
+        return x
+    return ""
+
+
+def entries(listed: list) -> dict:
+    return {e["key"]: plain(e.get("value")) for e in listed if isinstance(e, dict) and isinstance(e.get("key"), str)}
+
+
+def _dumped(x: object) -> str:
+    return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
+def _event(e: dict) -> dict:
+    return {"timestamp_ns": _whole(e.get("timeUnixNano")), "name": e.get("name") or "", "attributes": entries(e.get("attributes") or [])}
+
+
+def _link(k: dict) -> dict:
+    return {"trace_id": k["traceId"].lower(), "span_id": k["spanId"].lower(), "attributes": entries(k.get("attributes") or [])}
+
+
+def _whole(x: object) -> int:
+    try:
+        return int(x)
+    except (TypeError, ValueError):
+        return 0
+
+
+_SHAPES = {"value": plain, "attributes": entries, "events": lambda x: [_event(e) for e in x], "links": lambda x: [_link(k) for k in x]}
+
+
+def _nested(shape: str):
+    """JSON of typed values to plain JSON; nulls stay. Values nested too deep for the interpreter stay as they came."""
+
+    @F.arrow_udf("string")
+    def convert(text: pa.Array) -> pa.Array:
+        if text.null_count == len(text):
+            return text.cast(pa.string())
+        out = []
+        for t in text.to_pylist():
+            try:
+                out.append(None if t is None else _dumped(_SHAPES[shape](json.loads(t))))
+            except RecursionError:
+                out.append(t)
+        return pa.array(out, pa.string())
+
+    return convert
 
 
 def quote(x: Column) -> Column:
@@ -36,32 +105,43 @@ def quote(x: Column) -> Column:
     return F.substring(one, F.lit(2), F.length(one) - 2)
 
 
-def any_value(v: Column, depth: int = _DEPTH) -> Column:
-    """A value as plain JSON. Kinds that aren't decoded, and missing values, are the empty string."""
+def holds_more(v: Column) -> Column:
+    """Whether a value is an array or a key-value list."""
+    return v["arrayValue"].isNotNull() | v["kvlistValue"].isNotNull()
+
+
+def any_hold_more(listed: Column) -> Column:
+    return F.coalesce(F.exists(listed, lambda e: F.coalesce(holds_more(e["value"]), F.lit(False))), F.lit(False))
+
+
+def any_value(v: Column) -> Column:
+    """A value that isn't nested as plain JSON. Missing values are the empty string."""
     whole = v["intValue"].try_cast("long")
-    raw = F.transform(v["arrayValue"]["values"], lambda x: F.when(x.startswith("{"), x).otherwise(F.lit('""')))
-    items = F.concat(F.lit("["), F.array_join(raw, ","), F.lit("]"))
-    if depth:
-        items = F.concat(F.lit("["), F.array_join(F.transform(v["arrayValue"]["values"], lambda x: any_value(F.from_json(x, _VALUE), depth - 1)), ","), F.lit("]"))
     return (
         F.when(v["stringValue"].isNotNull(), quote(v["stringValue"]))
         .when(v["boolValue"].isNotNull(), v["boolValue"].cast("string"))
         .when(whole.isNotNull(), whole.cast("string"))
         .when(v["doubleValue"].isNotNull(), v["doubleValue"].cast("string"))
-        .when(v["arrayValue"]["values"].isNotNull(), items)
+        .when(v["bytesValue"].isNotNull(), quote(v["bytesValue"]))
         .otherwise(F.lit('""'))
     )
 
 
-def attributes(entries: Column) -> Column:
+def flat(listed: Column) -> Column:
+    """Key-value entries without nested values as the text of a JSON object."""
+    each = F.transform(F.filter(listed, lambda e: e["key"].isNotNull()), lambda e: F.concat(quote(e["key"]), F.lit(":"), any_value(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}"))
+
+
+def attributes(listed: Column) -> Column:
     """Key-value entries as the text of a JSON object; null for none."""
-    each = F.transform(F.filter(entries, lambda e: e["key"].isNotNull()), lambda e: F.concat(quote(e["key"]), F.lit(":"), any_value(e["value"])))
-    return F.when(F.size(entries) > 0, F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}")))
+    more = any_hold_more(listed)
+    return F.when(F.size(listed) > 0, F.coalesce(_nested("attributes")(F.when(more, F.to_json(listed))), flat(listed)))
 
 
 def body(v: Column) -> Column:
     """Text bodies as they are, others as JSON."""
-    return F.when(v.isNull(), None).when(v["stringValue"].isNotNull(), v["stringValue"]).otherwise(any_value(v))
+    return F.when(v.isNull(), None).when(v["stringValue"].isNotNull(), v["stringValue"]).otherwise(F.coalesce(_nested("value")(F.when(holds_more(v), F.to_json(v))), any_value(v)))
 
 
 def nanos(x: Column) -> Column:
@@ -80,15 +160,22 @@ def hex_id(x: Column, digits: int) -> Column:
 
 
 def _entries(df: DataFrame, column: str, outer: str, scopes: str, items: str, item: str) -> DataFrame:
-    """A row for each item, with resource, scope and schema_url."""
+    """A row for each item, with what its resource and scope give it; resources are converted once, not for each item."""
     shape = f"{outer} array<struct<resource: {_RESOURCE}, schemaUrl: string, {scopes}: array<struct<scope: {_SCOPE}, schemaUrl: string, {items}: array<{item}>>>>>"
     a = df.select(F.explode(F.from_json(F.col(column), shape)[outer]).alias("r"))
-    b = a.select(F.col("r.resource").alias("resource"), F.col("r.schemaUrl").alias("url"), F.explode(f"r.{scopes}").alias("s"))
-    return b.select("resource", F.col("s.scope").alias("scope"), F.coalesce(filled(F.col("s.schemaUrl")), filled(F.col("url"))).alias("schema_url"), F.explode(f"s.{items}").alias("x"))
+    b = a.select(attributes(F.col("r.resource.attributes")).alias("resource_attributes"), F.col("r.schemaUrl").alias("url"), F.explode(f"r.{scopes}").alias("s"))
+    return b.select(
+        "resource_attributes", filled(F.col("s.scope.name")).alias("scope_name"), filled(F.col("s.scope.version")).alias("scope_version"),
+        F.coalesce(filled(F.col("s.schemaUrl")), filled(F.col("url"))).alias("schema_url"), F.explode(f"s.{items}").alias("x"))
+
 
+_GIVEN = ("resource_attributes", "scope_name", "scope_version", "schema_url")
 
-def _common() -> list[Column]:
-    return [attributes(F.col("x.attributes")).alias("attributes"), attributes(F.col("resource.attributes")).alias("resource_attributes"), filled(F.col("scope.name")).alias("scope_name"), filled(F.col("scope.version")).alias("scope_version")]
+
+def rejected(df: DataFrame, column: str = "value") -> DataFrame:
+    """The rows that are no request: text that isn't JSON, or JSON that isn't an object. The decoders give nothing for them."""
+    kind = F.schema_of_variant(F.try_parse_json(F.trim(F.col(column))))
+    return df.filter(F.coalesce(~kind.startswith("OBJECT"), F.lit(True)))
 
 
 def _as(df: DataFrame, schema) -> DataFrame:
@@ -101,35 +188,46 @@ def logs(df: DataFrame, column: str = "value") -> DataFrame:
     seen = nanos(F.col("x.observedTimeUnixNano"))
     return _as(x.select(
         at.alias("timestamp_ns"), F.when(seen > 0, seen).otherwise(at).alias("observed_timestamp_ns"), hex_id(F.col("x.traceId"), 32).alias("trace_id"), hex_id(F.col("x.spanId"), 16).alias("span_id"),
-        F.coalesce("x.severityNumber", F.lit(0)).alias("severity_number"), filled(F.col("x.severityText")).alias("severity_text"), body(F.col("x.body")).alias("body"), *_common(), "schema_url"), LOGS)
+        F.coalesce("x.severityNumber", F.lit(0)).alias("severity_number"), filled(F.col("x.severityText")).alias("severity_text"), body(F.col("x.body")).alias("body"), attributes(F.col("x.attributes")).alias("attributes"), *_GIVEN), LOGS)
 
 
 def metrics(df: DataFrame, column: str = "value") -> DataFrame:
     """Points of gauges (type 0) and sums (type 1); other kinds have no rows in JSON."""
     m = _entries(df, column, "resourceMetrics", "scopeMetrics", "metrics", _METRIC)
     arms = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"x.{k}.dataPoints").alias("points")) for i, k in enumerate(("gauge", "sum"))])
-    one = m.select("resource", "scope", "schema_url", F.col("x.name").alias("name"), F.col("x.description").alias("description"), F.col("x.unit").alias("unit"), F.explode(arms).alias("arm"))
-    x = one.select("resource", "scope", "schema_url", "name", "description", "unit", F.col("arm.kind").alias("metric_type"), F.explode("arm.points").alias("x"))
+    one = m.select(*_GIVEN, F.col("x.name").alias("name"), F.col("x.description").alias("description"), F.col("x.unit").alias("unit"), F.explode(arms).alias("arm"))
+    x = one.select(*_GIVEN, "name", "description", "unit", F.col("arm.kind").alias("metric_type"), F.explode("arm.points").alias("x"))
     start = nanos(F.col("x.startTimeUnixNano"))
     none = F.lit(None)
     return _as(x.select(
         nanos(F.col("x.timeUnixNano")).alias("timestamp_ns"), F.when(start > 0, start).alias("start_timestamp_ns"), F.coalesce("name", F.lit("")).alias("name"), filled(F.col("description")).alias("description"), filled(F.col("unit")).alias("unit"), "metric_type",
-        F.col("x.asDouble").alias("value_double"), F.col("x.asInt").try_cast("long").alias("value_int"), none.alias("histogram_count"), none.alias("histogram_sum"), none.alias("histogram_bounds"), none.alias("histogram_counts"), *_common(), "schema_url"), METRICS)
+        F.col("x.asDouble").alias("value_double"), F.col("x.asInt").try_cast("long").alias("value_int"), none.alias("histogram_count"), none.alias("histogram_sum"), none.alias("histogram_bounds"), none.alias("histogram_counts"),
+        attributes(F.col("x.attributes")).alias("attributes"), *_GIVEN), METRICS)
+
+
+def _listed(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+
+def _or_empty(listed: Column) -> Column:
+    return F.when(F.size(listed) > 0, flat(listed)).otherwise("{}")
 
 
 def traces(df: DataFrame, column: str = "value") -> DataFrame:
     """Spans whose ids are hexadecimal and of full length; a span that ends before it starts lasts 0."""
     x = _entries(df, column, "resourceSpans", "scopeSpans", "spans", _SPAN)
     start, end = nanos(F.col("x.startTimeUnixNano")), nanos(F.col("x.endTimeUnixNano"))
-    events = F.transform(F.coalesce("x.events", F.array().cast(f"array<{_EVENT}>")), lambda e: F.concat(F.lit('{"timestamp_ns":'), nanos(e["timeUnixNano"]).cast("string"), F.lit(',"name":'), quote(F.coalesce(e["name"], F.lit(""))), F.lit(',"attributes":'), F.coalesce(attributes(e["attributes"]), F.lit("{}")), F.lit("}")))
-    good = F.filter(F.coalesce("x.links", F.array().cast(f"array<{_LINK}>")), lambda k: hex_id(k["traceId"], 32).isNotNull() & hex_id(k["spanId"], 16).isNotNull())
-    links = F.transform(good, lambda k: F.concat(F.lit('{"trace_id":'), quote(F.lower(k["traceId"])), F.lit(',"span_id":'), quote(F.lower(k["spanId"])), F.lit(',"attributes":'), F.coalesce(attributes(k["attributes"]), F.lit("{}")), F.lit("}")))
-    listed = lambda items: F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    events = F.coalesce("x.events", F.array().cast(f"array<{_EVENT}>"))
+    links = F.filter(F.coalesce("x.links", F.array().cast(f"array<{_LINK}>")), lambda k: hex_id(k["traceId"], 32).isNotNull() & hex_id(k["spanId"], 16).isNotNull())
+    more = lambda listed: F.when(F.exists(listed, lambda e: any_hold_more(e["attributes"])), F.to_json(listed))
+    flat_events = F.transform(events, lambda e: F.concat(F.lit('{"timestamp_ns":'), nanos(e["timeUnixNano"]).cast("string"), F.lit(',"name":'), quote(F.coalesce(e["name"], F.lit(""))), F.lit(',"attributes":'), _or_empty(e["attributes"]), F.lit("}")))
+    flat_links = F.transform(links, lambda k: F.concat(F.lit('{"trace_id":'), quote(F.lower(k["traceId"])), F.lit(',"span_id":'), quote(F.lower(k["spanId"])), F.lit(',"attributes":'), _or_empty(k["attributes"]), F.lit("}")))
     number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0))
-    return _as(x.select(
+    good = x.filter(hex_id(F.col("x.traceId"), 32).isNotNull() & hex_id(F.col("x.spanId"), 16).isNotNull())
+    return _as(good.select(
         hex_id(F.col("x.traceId"), 32).alias("trace_id"), hex_id(F.col("x.spanId"), 16).alias("span_id"), hex_id(F.col("x.parentSpanId"), 16).alias("parent_span_id"), F.coalesce("x.name", F.lit("")).alias("name"), number("x.kind").alias("kind"),
         start.alias("start_time_ns"), end.alias("end_time_ns"), F.greatest(end - start, F.lit(0).cast("long")).alias("duration_ns"), number("x.status.code").alias("status_code"), filled(F.col("x.status.message")).alias("status_message"),
-        *_common(), listed(events).alias("events"), listed(links).alias("links"), "schema_url").filter("trace_id IS NOT NULL AND span_id IS NOT NULL"), TRACES)
+        attributes(F.col("x.attributes")).alias("attributes"), F.coalesce(_nested("events")(more(events)), _listed(flat_events)).alias("events"), F.coalesce(_nested("links")(more(links)), _listed(flat_links)).alias("links"), *_GIVEN), TRACES)
 
 
 DECODERS = {"logs": logs, "metrics": metrics, "traces": traces}

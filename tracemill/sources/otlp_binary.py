@@ -195,20 +195,39 @@ def traces(data: bytes) -> Iterator[dict]:
 DECODERS: dict[str, Callable[[bytes], Iterator[dict]]] = {"logs": logs, "metrics": metrics, "traces": traces}
 
 
+def _parsed(parse: Callable[[bytes], Iterator[dict]], content: bytes | None) -> list[dict] | None:
+    """The rows of a request; None if it isn't whole."""
+    try:
+        return list(parse(content)) if content else []
+    except (IndexError, ValueError, struct.error, AttributeError, TypeError):
+        return None
+
+
+def rejected(df: DataFrame, signal: str, column: str = "content") -> DataFrame:
+    """The rows whose request isn't whole, and of which `decode` gives nothing."""
+    parse = DECODERS[signal]
+
+    @F.arrow_udf("boolean")
+    def broken(content: pa.Array) -> pa.Array:
+        return pa.array([_parsed(parse, x) is None for x in content.to_pylist()], pa.bool_())
+
+    return df.filter(broken(F.col(column)))
+
+
 def decode(df: DataFrame, signal: str, column: str = "content") -> DataFrame:
-    """The rows of a signal in a binary column of requests. A request that isn't whole gives none."""
+    """The rows of a signal in a binary column of requests. A request that isn't whole gives none: `rejected` has those."""
     schema, parse = SIGNALS[signal], DECODERS[signal]
     arrow = to_arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Columns, a batch of requests at a time.
+            columns: dict[str, list] = {n: [] for n in arrow.names}
             for content in batch.column(0).to_pylist():
-                try:
-                    found = list(parse(content)) if content else []
-                except (IndexError, ValueError, struct.error, AttributeError, TypeError):
-                    found = []
-                if found:
-                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in found], arrow)
+                for r in _parsed(parse, content) or ():
+                    for n, column in columns.items():
+                        column.append(r.get(n))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(F.col(column).alias("content")).mapInArrow(rows, schema)
 
