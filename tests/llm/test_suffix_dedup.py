@@ -1,7 +1,6 @@
 import random
 from collections import defaultdict
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -16,13 +15,13 @@ def brute(docs, depth):
             continue
         w = t.split()
         for a in range(len(w) - depth + 1):
-            seen[tuple(w[a : a + depth])].append((i, a))
+            seen[tuple(w[a : a + depth])].append(((i, t), a))
     for v in seen.values():
         if len(v) > 1:
             for i, a in v:
                 marks[i].update(range(a, a + depth))
     out = []
-    for i, m in marks.items():
+    for (i, _), m in marks.items():
         # Spans that touch are one.
         m = sorted(m)
         start = m[0]
@@ -33,7 +32,7 @@ def brute(docs, depth):
     return sorted(out)
 
 
-def found(df, depth, gram=16):
+def found(df, depth, gram=sd.GRAM):
     return sorted(tuple(r) for r in sd.repeated_spans(df, depth, gram).collect())
 
 
@@ -65,16 +64,40 @@ def test_pieces_of_any_size(monkeypatch, depth, gram, piece, batch):
     chunks = sd.tk.chunks
     monkeypatch.setattr(sd.tk, "chunks", lambda c: chunks(c, piece))
     docs = [(i, t) for i, t in mixed(depth + 1) if i is not None and t is not None]
-    table = pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "text": [t for _, t in docs]})
+    monkeypatch.setattr(sd, "BATCH_BYTES", 1)
+    assert by_hand(docs, depth, gram, batch) == marked(docs, depth)
+
+
+@pytest.mark.parametrize("depth,gram", CASES)
+@pytest.mark.parametrize("bits", [0, 3])
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch, depth, gram, bits):
+    """All words, digits and partitions have one hash, or one of eight: what is found stays exact."""
+    weak = lambda x: x & sd.tk.U((1 << bits) - 1)
+    words, spans, groups = sd.tk.Words._hashes, sd.tk.span_hash, sd.radix_groups
+    monkeypatch.setattr(sd.tk.Words, "_hashes", lambda self: weak(words(self)))
+    monkeypatch.setattr(sd.tk, "mix", lambda x, f=sd.tk.mix: weak(f(x)))
+    monkeypatch.setattr(sd.tk, "span_hash", lambda *a: weak(spans(*a)))
+    monkeypatch.setattr(sd, "radix_groups", groups)
+    docs = [(i, t) for i, t in mixed(depth + 2) if i is not None and t is not None and len(t) < 3000]
+    assert by_hand(docs, depth, gram, 100) == marked(docs, depth)
+
+
+def by_hand(docs, depth, gram, batch):
+    keys = {t: k for k, (_, t) in enumerate(docs)}
+    table = pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "text": [t for _, t in docs], "text_key": pa.array([keys[t] for _, t in docs], pa.int64())})
     rows = pa.Table.from_batches(list(sd._digits(depth, min(gram, depth))(iter(table.to_batches(7))))).sort_by("digit").combine_chunks()
     marks = defaultdict(set)
     for b in sd._repeated(depth)(iter(rows.to_batches(batch))):
-        for i, s, e in zip(*(c.to_pylist() for c in b.columns)):
+        for i, _, s, e in zip(*(c.to_pylist() for c in b.columns)):
             marks[i].update(range(s, e))
+    return marks
+
+
+def marked(docs, depth):
     want = defaultdict(set)
     for i, s, e in brute(docs, depth):
         want[i].update(range(s, e))
-    assert marks == want
+    return want
 
 
 def test_passage_of_fifty_words_and_clean_documents(make):
@@ -87,25 +110,24 @@ def test_empty(make):
     assert found(make([]), 50) == []
 
 
-def test_groups_over_many_batches():
-    """A group that goes over batch borders loses nothing."""
-    r = np.random.default_rng(1)
-    digit = np.sort(r.integers(0, 6, 300)).astype(np.int64)
-    rest = [r.integers(0, 4, r.integers(1, 4)).astype(np.uint64) << np.uint64(r.integers(0, 2) * 32) for _ in digit]
-    doc, word = np.arange(300), r.integers(0, 1000, 300).astype(np.int32)
-    told = r.random(300) < 0.2
-    table = pa.table({"digit": digit, "doc_id": doc, "first_word": word, "end_word": pa.nulls(300, pa.int32()), "told": told, "rest": pa.array([x.tobytes() for x in rest], pa.binary())})
-    count = defaultdict(int)
-    for d, xs in zip(digit, rest):
-        for x in xs:
-            count[int(d), int(x)] += 1
-    want = {(int(i), int(w) + k) for d, i, w, xs in zip(digit, doc, word, rest) for k, x in enumerate(xs) if count[int(d), int(x)] > 1 and not told[i]}
-    for size in (1, 3, 50, 1000):
-        got = set()
-        for b in sd._repeated(5)(iter(table.combine_chunks().to_batches(size))):
-            for i, s, e in zip(*(c.to_pylist() for c in b.columns)):
-                got.update((i, p) for p in range(s, e - 5 + 1))
-        assert got == want
+def test_texts_of_one_id_have_spans_of_their_own(make, spark):
+    a, b = prose(1, 60), prose(2, 60)
+    docs = [(1, a), (1, b + " tail"), (2, a), (3, b)]
+    assert found(make(docs), 50) == brute(docs, 50) == [(1, 0, 60), (1, 0, 60), (2, 0, 60), (3, 0, 60)]
+    ids = make(docs).selectExpr("concat('d', doc_id) AS doc_id", "text")
+    assert found(ids, 50) == [("d1", 0, 60), ("d1", 0, 60), ("d2", 0, 60), ("d3", 0, 60)]
+
+
+def test_white_space_between_words_does_not_count(make):
+    w = prose(5, 70).split()
+    assert found(make([(1, " ".join(w)), (2, "\n\t ".join(w) + "\n")]), 50) == [(1, 0, 70), (2, 0, 70)]
+
+
+def test_passes_cover_the_window():
+    for depth in (1, 2, 5, 50, 64):
+        for first in (1, 16):
+            p = sd.passes(depth, min(first, depth))
+            assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:])) and sum(p[-1]) == depth
 
 
 def test_query_on_the_small_tables(spark):
