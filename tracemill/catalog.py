@@ -44,8 +44,9 @@ def with_conveniences(signal: str, df: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    def __init__(self) -> None:
-        self._tables: dict[str, Table] = {}
+    def __init__(self, below: "Catalog | None" = None) -> None:
+        """below: a catalog whose tables are here too, unless there are others of their names."""
+        self._tables: dict[str, Table] = dict(below._tables) if below else {}
 
     def register(self, name: str, df: DataFrame, time: str | None = None, ties: tuple[str, ...] = (), partition: tuple[str, int] | None = None) -> None:
         self._tables[name] = Table(widened(df), time, ties, partition)

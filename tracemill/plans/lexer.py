@@ -26,7 +26,7 @@ _TOKEN = re.compile(
     |(?P<string>'(?:[^']|'')*')
     |(?P<quoted>"(?:[^"]|"")*")
     |(?P<name>[^\W\d]\w*)
-    |(?P<op><=|>=|<>|!=|[-+*/%=<>(),.;])""",
+    |(?P<op><=|>=|<>|!=|\|\||[-+*/%=<>(),.;])""",
     re.X,
 )
 

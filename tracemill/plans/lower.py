@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +27,13 @@ from tracemill.plans.parser import interval_ns
 AGGREGATES = frozenset("count sum avg min max stddev percentile rate delta histogram_quantile count_distinct approx_count_distinct".split())
 #: An estimate of size from which there is none.
 UNKNOWN = 1 << 62
+TYPES = {"bigint": "bigint", "long": "bigint", "int": "int", "integer": "int", "double": "double", "float": "double", "string": "string", "varchar": "string", "text": "string", "boolean": "boolean"}
+#: Functions of windows alone, with the arguments that they take.
+RANKINGS = {"row_number": (0, 0), "rank": (0, 0), "dense_rank": (0, 0), "ntile": (1, 1), "lag": (1, 2), "lead": (1, 2), "first_value": (1, 1), "last_value": (1, 1)}
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
     "and": lambda a, b: a & b, "or": lambda a, b: a | b, "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "%": lambda a, b: a % b,
+    "||": lambda a, b: F.concat(a.cast("string"), b.cast("string")),
 }
 
 
@@ -65,8 +69,15 @@ def rebuilt(e: s.Expr, swap: Callable[[s.Expr], s.Expr | None]) -> s.Expr:
     new = swap(e)
     if new is not None:
         return new
-    if isinstance(e, (s.Unary, s.IsNull, s.Like)):
+    if isinstance(e, (s.Unary, s.IsNull, s.Like, s.Cast)):
         return replace(e, x=rebuilt(e.x, swap))
+    if isinstance(e, s.Case):
+        return s.Case(tuple((rebuilt(a, swap), rebuilt(b, swap)) for a, b in e.whens), rebuilt(e.other, swap))
+    if isinstance(e, s.Over):
+        whole = s.Call(e.call.name, tuple(rebuilt(a, swap) for a in e.call.args), None if e.call.where is None else rebuilt(e.call.where, swap))
+        return s.Over(whole, tuple(rebuilt(x, swap) for x in e.partition), tuple(s.Order(rebuilt(o.expr, swap), o.descending) for o in e.order), e.frame)
+    if isinstance(e, s.Sets):
+        return s.Sets(e.kind, tuple(rebuilt(k, swap) for k in e.keys), tuple(tuple(rebuilt(k, swap) for k in x) for x in e.sets))
     if isinstance(e, s.Binary):
         return replace(e, a=rebuilt(e.a, swap), b=rebuilt(e.b, swap))
     if isinstance(e, s.Between):
@@ -82,6 +93,8 @@ class Lowering:
     def __init__(self, catalog: Catalog, now: int, join_hint: str | None = None, functions: dict[str, Scalar] = SCALARS):
         self.catalog, self.now, self.join_hint, self.functions = catalog, now, join_hint, functions
         self.scope: dict[str, Table] = {}
+        #: Columns that joins by name have made one: name to the table that has it.
+        self.shared: dict[str, str] = {}
         #: Group keys and aggregates by their trees, once rows are grouped.
         self.grouped: dict[s.Expr, Column] | None = None
         self.df: DataFrame
@@ -96,6 +109,8 @@ class Lowering:
             if name.name not in self.scope[name.table].df.columns:
                 raise BindError(f"table {name.table!r} has no column {name.name!r}")
             return f"{name.table}.{name.name}"
+        if name.name in self.shared:
+            return f"{self.shared[name.name]}.{name.name}"
         found = [a for a, t in self.scope.items() if name.name in t.df.columns]
         if len(found) > 1:
             raise BindError(f"column {name.name!r} is ambiguous: it is in {', '.join(found)}")
@@ -168,6 +183,17 @@ class Lowering:
             return self.column(e.x).like(e.pattern.replace("\\", "\\\\"))
         if isinstance(e, s.Call):
             return self.call(e)
+        if isinstance(e, s.Case):
+            out = None
+            for test, value in e.whens:
+                out = F.when(self.condition(test), self.column(value)) if out is None else out.when(self.condition(test), self.column(value))
+            return out.otherwise(self.column(e.other))
+        if isinstance(e, s.Cast):
+            if e.to not in TYPES:
+                raise BindError(f"unknown type {e.to!r}; there are {', '.join(sorted(TYPES))}")
+            return self.column(e.x).try_cast(TYPES[e.to])
+        if isinstance(e, s.Over):
+            return self.over(e)
         raise BindError("* is allowed in SELECT and count(*) only")
 
     def condition(self, e: s.Expr) -> Column:
@@ -197,12 +223,44 @@ class Lowering:
             raise BindError(f"{e.name}() takes {least}" + (f" to {most}" * (most != least)) + f" arguments, not {len(e.args)}")
         return build(*[a.value if isinstance(a, s.Literal) and i else self.column(a) for i, a in enumerate(e.args)])
 
+    def over(self, e: s.Over) -> Column:
+        """A ranking, a neighbour's value or an aggregate over a window. Nulls are last, as in ORDER BY."""
+        name, args = e.call.name, e.call.args
+        window = Window.partitionBy(*[self.column(p) for p in e.partition])
+        if e.order:
+            window = window.orderBy(*self.sorted([(o.expr, o.descending) for o in e.order]))
+        if e.frame is not None:
+            low, high = e.frame
+            window = window.rowsBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
+        if name in AGGREGATES:
+            if name in ("histogram_quantile", "percentile", "rate", "delta"):
+                raise BindError(f"{name}() has no OVER")
+            return self.aggregate(e.call, True).over(window)
+        if name not in RANKINGS:
+            raise BindError(f"{name}() has no OVER")
+        least, most = RANKINGS[name]
+        if not least <= len(args) <= most or not e.order:
+            raise BindError(f"{name}() OVER needs {least}" + f" to {most}" * (most != least) + " arguments and ORDER BY")
+        if name in ("row_number", "rank", "dense_rank"):
+            made = getattr(F, name)()
+        elif name in ("first_value", "last_value"):
+            made = getattr(F, name)(self.column(args[0]))
+        else:
+            last = args[-1].value if isinstance(args[-1], s.Literal) and isinstance(args[-1].value, int) else None
+            if last is None and (name == "ntile" or len(args) == 2):
+                raise BindError(f"{name}() takes a whole number")
+            made = F.ntile(last) if name == "ntile" else getattr(F, name)(self.column(args[0]), last if len(args) == 2 else 1)
+        return made.over(window)
+
+    def sorted(self, order: list[tuple[s.Expr, bool]]) -> list[Column]:
+        return [c.desc_nulls_last() if down else c.asc_nulls_last() for e, down in order for c in [self.column(e)]]
+
     # Aggregates
 
-    def aggregate(self, e: s.Call) -> Column:
+    def aggregate(self, e: s.Call, over: bool = False) -> Column:
         """The aggregate as a column, except for quantiles."""
         n = len(e.args)
-        if n < 1 or any(has_aggregate(a) for a in e.args) and e.name != "rate":
+        if n < 1 or any(has_aggregate(a) for a in e.args) and e.name != "rate" and not over:
             raise BindError(f"{e.name}() can't take these arguments")
         keep = self.column(e.where) if e.where is not None else None
         if e.name == "rate":
@@ -232,12 +290,22 @@ class Lowering:
 
     def group(self, keys: list[s.Expr], calls: list[s.Call]) -> None:
         """Group self.df; keys and calls are then in self.grouped."""
+        sets = keys[0] if len(keys) == 1 and isinstance(keys[0], s.Sets) else None
+        keys = list(sets.keys) if sets else keys
         names = [f"__k{i}" for i in range(len(keys))]
         base = self.df.withColumns({n: self.column(k) for n, k in zip(names, keys)})
         ranks = [c for c in calls if c.name in ("histogram_quantile", "percentile")]
         made = {c: f"__a{i}" for i, c in enumerate(calls)}
         plain = [self.aggregate(c).alias(made[c]) for c in calls if c not in ranks]
-        out = base.groupBy(*names).agg(*(plain or [F.count(F.lit(1)).alias("__n")]))
+        if sets is None:
+            by = base.groupBy(*names)
+        elif ranks:
+            raise BindError(f"{ranks[0].name}() can't be grouped by {sets.kind}")
+        elif sets.kind == "sets":
+            by = base.groupingSets([[F.col(names[keys.index(k)]) for k in x] for x in sets.sets], *[F.col(n) for n in names])
+        else:
+            by = getattr(base, sets.kind)(*names)
+        out = by.agg(*(plain or [F.count(F.lit(1)).alias("__n")]))
         for c in ranks:
             between = c.name == "percentile"
             if between and len(c.args) != 2:
@@ -273,11 +341,59 @@ class Lowering:
                 df = df.filter(F.col(part) <= high - high % width)
         return df.select(*[quoted(c).alias(f"{source.name}.{c}") for c in df.columns])
 
-    def lower(self, q: s.Select) -> DataFrame:
+    def joined_by_name(self, left: DataFrame, right: DataFrame, j: s.Join) -> DataFrame:
+        """A join on columns of one name; without a table, the name means the column that has a value."""
+        on, mine = F.lit(True), j.source.name
+        for c in j.using:
+            others = {a: t for a, t in self.scope.items() if a != mine and c in t.df.columns and f"{a}.{c}" in left.columns}
+            theirs = self.shared.get(c) or next(iter(others), None)
+            if theirs is None or c not in self.scope[mine].df.columns:
+                raise BindError(f"column {c!r} of USING isn't in both tables")
+            if len(others) > 1 and c not in self.shared:
+                raise BindError(f"column {c!r} is ambiguous: it is in {', '.join(others)}")
+            on = on & (quoted(f"{theirs}.{c}") == quoted(f"{mine}.{c}"))
+            self.shared[c] = theirs
+        out = left.join(right, on, j.how)
+        if j.how in ("left_semi", "left_anti"):
+            del self.scope[mine]
+        elif j.how in ("right", "full"):
+            out = out.withColumns({f"{self.shared[c]}.{c}": F.coalesce(quoted(f"{self.shared[c]}.{c}"), quoted(f"{mine}.{c}")) for c in j.using})
+        return out
+
+    def below(self) -> "Lowering":
+        return Lowering(self.catalog, self.now, self.join_hint, self.functions)
+
+    def lower(self, q: s.Select | s.Compound | s.With) -> DataFrame:
+        if isinstance(q, s.With):
+            catalog = Catalog(self.catalog)
+            for name, query in q.named:
+                catalog.register(name, Lowering(catalog, self.now, self.join_hint, self.functions).lower(query))
+            return Lowering(catalog, self.now, self.join_hint, self.functions).lower(q.query)
+        return self.compound(q) if isinstance(q, s.Compound) else self.single(q)
+
+    def compound(self, q: s.Compound) -> DataFrame:
+        a, b = self.below().lower(q.a), self.below().lower(q.b)
+        if len(a.columns) != len(b.columns):
+            raise BindError(f"{q.op.upper()} of {len(a.columns)} and of {len(b.columns)} columns")
+        b = b.toDF(*a.columns)
+        if q.op == "union":
+            out = a.union(b) if q.all else a.union(b).distinct()
+        elif q.op == "intersect":
+            out = a.intersectAll(b) if q.all else a.intersect(b)
+        else:
+            out = a.exceptAll(b) if q.all else a.subtract(b)
+        if not (q.order or q.limit is not None or q.offset):
+            return out
+        whole = s.Select((s.Item(s.Star()),), s.Source("", "", None), (), None, (), None, q.order, q.limit, q.offset)
+        catalog = Catalog(self.catalog)
+        catalog.register("", out)
+        return Lowering(catalog, self.now, None, self.functions).lower(whole)
+
+    def single(self, q: s.Select) -> DataFrame:
         for source in (q.source, *(j.source for j in q.joins)):
             if source.name in self.scope:
                 raise BindError(f"two tables are called {source.name!r}")
-            self.scope[source.name] = self.catalog.table(source.table)
+            self.scope[source.name] = self.catalog.table(source.table) if source.query is None else Table(self.below().lower(source.query))
         where = None if q.where is None else self.bound(q.where, {}, False)
         if where is not None and has_aggregate(where):
             raise BindError("an aggregate is not allowed in WHERE")
@@ -286,10 +402,19 @@ class Lowering:
             right = self.scan(j.source, where)
             if self.join_hint and not (self.join_hint == "broadcast" and BROADCAST_BYTES < estimated_bytes(right) < UNKNOWN):
                 right = right.hint(self.join_hint)
+            left = self.df
+            if j.how == "cross":
+                self.df = left.crossJoin(right)
+                continue
+            if j.using:
+                self.df = self.joined_by_name(left, right, j)
+                continue
             on = self.bound(j.on, {}, False)
-            left, self.df = self.df, self.df.join(right)  # for types
+            self.df = left.join(right)  # for types
             on = self.condition(on)
             self.df = left.join(right, on, j.how)
+            if j.how in ("left_semi", "left_anti"):
+                del self.scope[j.source.name]
         if where is not None:
             self.df = self.df.filter(self.condition(where))
 
@@ -297,7 +422,7 @@ class Lowering:
         items: list[tuple[s.Expr, str]] = []
         for item in q.items:
             if isinstance(item.expr, s.Star):
-                items += [(s.Name(c, a), c) for a, t in self.scope.items() for c in t.df.columns]
+                items += [(s.Name(c, a), c) for a, t in self.scope.items() for c in t.df.columns if self.shared.get(c, a) == a]
                 continue
             e = self.bound(item.expr, aliases, False)
             items.append((e, item.alias or rendered(item.expr)))

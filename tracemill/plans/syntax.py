@@ -38,7 +38,7 @@ class Unary(Expr):
 
 @dataclass(frozen=True)
 class Binary(Expr):
-    op: str  # + - * / % = != < <= > >= and or
+    op: str  # + - * / % || = != < <= > >= and or
     a: Expr
     b: Expr
 
@@ -74,6 +74,40 @@ class Call(Expr):
     where: Expr | None = None
 
 
+@dataclass(frozen=True)
+class Case(Expr):
+    """The value of the first condition that holds, else the last value."""
+
+    whens: tuple[tuple[Expr, Expr], ...]
+    other: Expr
+
+
+@dataclass(frozen=True)
+class Cast(Expr):
+    x: Expr
+    to: str
+
+
+@dataclass(frozen=True)
+class Over(Expr):
+    """A function over the rows around each row."""
+
+    call: Call
+    partition: tuple[Expr, ...]
+    order: tuple["Order", ...]
+    #: Rows before and after, None without bound; no frame: the usual one.
+    frame: tuple[int | None, int | None] | None = None
+
+
+@dataclass(frozen=True)
+class Sets(Expr):
+    """Group keys in several combinations; cube and rollup name theirs."""
+
+    kind: str  # cube rollup sets
+    keys: tuple[Expr, ...]
+    sets: tuple[tuple[Expr, ...], ...] = ()
+
+
 @dataclass(frozen=True)
 class Item:
     expr: Expr
@@ -84,6 +118,8 @@ class Item:
 class Source:
     table: str
     alias: str | None = None
+    #: A statement in place of a table.
+    query: "Select | Compound | None" = None
 
     @property
     def name(self) -> str:
@@ -92,9 +128,10 @@ class Source:
 
 @dataclass(frozen=True)
 class Join:
-    how: str  # inner left right
+    how: str  # inner left right full cross left_semi left_anti
     source: Source
-    on: Expr
+    on: Expr | None
+    using: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -117,9 +154,38 @@ class Select:
     distinct: bool = False
 
 
+@dataclass(frozen=True)
+class Compound:
+    """Two statements put together, by place of their columns."""
+
+    op: str  # union intersect except
+    all: bool
+    a: "Select | Compound"
+    b: "Select | Compound"
+    order: tuple[Order, ...] = ()
+    limit: int | None = None
+    offset: int | None = None
+
+
+@dataclass(frozen=True)
+class With:
+    """A statement with statements that have names."""
+
+    named: tuple[tuple[str, "Select | Compound"], ...]
+    query: "Select | Compound"
+
+
 def children(e: Expr) -> tuple[Expr, ...]:
     if isinstance(e, (Unary, IsNull, Like)):
         return (e.x,)
+    if isinstance(e, Cast):
+        return (e.x,)
+    if isinstance(e, Case):
+        return (*(x for w in e.whens for x in w), e.other)
+    if isinstance(e, Over):
+        return (*e.call.args, *((e.call.where,) if e.call.where is not None else ()), *e.partition, *(o.expr for o in e.order))
+    if isinstance(e, Sets):
+        return (*e.keys, *(x for w in e.sets for x in w))
     if isinstance(e, Binary):
         return (e.a, e.b)
     if isinstance(e, Between):

@@ -16,6 +16,7 @@ from tracemill import io_queries
 from tracemill.functions import temporal
 from tracemill.inputs import DAY, HOUR, M, NOW, T0, T1, WITH, engine, metric_rows, read
 from tracemill.operators import joins, rca, ring, windows
+from tracemill.plans import syntax as s
 from tracemill.plans.parser import parse
 
 #: name: (statement of the query language, SQL after WITH).
@@ -114,6 +115,40 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "cross_signal": (
         "SELECT l.event_id, t.span_id, t.duration_ns FROM logs l JOIN traces t ON l.user_id = t.trace_id WHERE l.severity_number >= 17 AND t.duration_ns > 40000000",
         "SELECT event_id, span_id, duration_ns FROM logs JOIN traces ON user_id = trace_id WHERE severity_number >= 17 AND duration_ns > 40000000"),
+    "join_full": (
+        "SELECT c.c_custkey AS customer, o.o_orderkey AS placed FROM customer c FULL OUTER JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F' AND c.c_acctbal > 0",
+        "SELECT c_custkey AS customer, o_orderkey AS placed FROM customer FULL OUTER JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' AND c_acctbal > 0"),
+    "join_cross": ("SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n", "SELECT r_name, n_name FROM region CROSS JOIN nation"),
+    "join_semi_anti": (
+        "SELECT c_custkey, 'with' AS kind FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey UNION ALL SELECT c_custkey, 'without' FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey",
+        "SELECT c_custkey, 'with' AS kind FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'without' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "join_using": (
+        "SELECT user_id, errors, total FROM (SELECT user_id, count(*) AS errors FROM logs WHERE severity_number >= 17 GROUP BY user_id) e FULL JOIN (SELECT user_id, count(*) AS total FROM metrics WHERE value > 100 GROUP BY user_id) t USING (user_id)",
+        "SELECT user_id, errors, total FROM (SELECT user_id, count(*) AS errors FROM logs WHERE severity_number >= 17 GROUP BY user_id) e FULL JOIN (SELECT user_id, count(*) AS total FROM metrics WHERE value > 100 GROUP BY user_id) t USING (user_id)"),
+    "set_statements": (
+        "SELECT user_id FROM metrics WHERE value > 100 UNION SELECT user_id FROM logs WHERE severity_number >= 17 EXCEPT SELECT user_id FROM logs WHERE user_id % 7 = 0 INTERSECT SELECT user_id FROM metrics ORDER BY user_id",
+        "SELECT user_id FROM metrics WHERE value > 100 UNION SELECT user_id FROM logs WHERE severity_number >= 17 EXCEPT SELECT user_id FROM logs WHERE user_id % 7 = 0 INTERSECT SELECT user_id FROM metrics"),
+    "set_all": (
+        "(SELECT user_id FROM metrics EXCEPT ALL SELECT user_id FROM logs WHERE severity_number >= 17) UNION ALL SELECT user_id FROM metrics INTERSECT ALL SELECT user_id FROM logs WHERE user_id < 50",
+        "(SELECT user_id FROM metrics EXCEPT ALL SELECT user_id FROM logs WHERE severity_number >= 17) UNION ALL (SELECT user_id FROM metrics INTERSECT ALL SELECT user_id FROM logs WHERE user_id < 50)"),
+    "windows": (
+        "SELECT event_id, row_number() OVER (PARTITION BY name ORDER BY value DESC, event_id) AS place, rank() OVER (PARTITION BY user_id ORDER BY name) AS ranked, lag(value, 2) OVER (PARTITION BY user_id ORDER BY timestamp_ns, event_id) AS before, round(sum(value) OVER (PARTITION BY name ORDER BY timestamp_ns, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING), 4) AS around, count(*) FILTER (WHERE value > 50) OVER (PARTITION BY user_id) AS large FROM metrics",
+        "SELECT event_id, row_number() OVER (PARTITION BY name ORDER BY value DESC, event_id) AS place, rank() OVER (PARTITION BY user_id ORDER BY name) AS ranked, lag(value, 2) OVER (PARTITION BY user_id ORDER BY timestamp_ns, event_id) AS before, round(sum(value) OVER (PARTITION BY name ORDER BY timestamp_ns, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING), 4) AS around, count(*) FILTER (WHERE value > 50) OVER (PARTITION BY user_id) AS large FROM metrics"),
+    "windows_of_groups": (
+        "SELECT name, user_id, count(*) AS n, dense_rank() OVER (PARTITION BY name ORDER BY count(*) DESC) AS place, sum(count(*)) OVER (PARTITION BY name) AS total FROM metrics GROUP BY name, user_id",
+        "SELECT name, user_id, count(*) AS n, dense_rank() OVER (PARTITION BY name ORDER BY count(*) DESC) AS place, (sum(count(*)) OVER (PARTITION BY name))::DOUBLE AS total FROM metrics GROUP BY name, user_id"),
+    "grouping_sets": (
+        "SELECT name, user_id % 3 AS third, count(*) AS n FROM metrics GROUP BY GROUPING SETS ((name, user_id % 3), (name), ())",
+        "SELECT name, user_id % 3 AS third, count(*) AS n FROM metrics GROUP BY GROUPING SETS ((name, user_id % 3), (name), ())"),
+    "cube_rollup": (
+        "SELECT 'cube' AS kind, name, status, count(*) AS n FROM traces GROUP BY CUBE (name, status) UNION ALL SELECT 'rollup', name, status, count(*) FROM traces GROUP BY ROLLUP (name, status)",
+        "SELECT 'cube' AS kind, name, status, count(*) AS n FROM traces GROUP BY CUBE (name, status) UNION ALL SELECT 'rollup', name, status, count(*) FROM traces GROUP BY ROLLUP (name, status)"),
+    "case_cast_concat": (
+        "SELECT event_id, CASE WHEN value > 100 THEN 'large' WHEN value > 10 THEN 'middle' ELSE 'small' END AS size, CASE name WHEN 'error' THEN 1 WHEN 'click' THEN 2 END AS code, CAST(event_id AS varchar) || '-' || name AS label, CAST(user_id AS double) / 4 AS part, CAST(name AS int) AS none FROM metrics",
+        "SELECT event_id, CASE WHEN value > 100 THEN 'large' WHEN value > 10 THEN 'middle' ELSE 'small' END AS size, CASE name WHEN 'error' THEN 1 WHEN 'click' THEN 2 END AS code, CAST(event_id AS varchar) || '-' || name AS label, CAST(user_id AS double) / 4 AS part, TRY_CAST(name AS int) AS none FROM metrics"),
+    "named_statements": (
+        "WITH days AS (SELECT time_bucket(1d, timestamp_ns) AS day, count(*) AS n FROM logs GROUP BY day), busy AS (SELECT day, n FROM days WHERE n > 10) SELECT b.day, b.n, e.errors FROM busy b LEFT JOIN (SELECT time_bucket(1d, timestamp_ns) AS day, count(*) AS errors FROM logs WHERE severity_number >= 17 GROUP BY day) e ON b.day = e.day ORDER BY b.day",
+        f"WITH days AS (SELECT timestamp_ns // {DAY} * {DAY} AS day, count(*) AS n FROM logs GROUP BY 1), busy AS (SELECT day, n FROM days WHERE n > 10) SELECT b.day, b.n, e.errors FROM busy b LEFT JOIN (SELECT timestamp_ns // {DAY} * {DAY} AS day, count(*) AS errors FROM logs WHERE severity_number >= 17 GROUP BY 1) e ON b.day = e.day".replace("WITH ", "", 1)),
     "scalars": (
         "SELECT event_id, abs(value - 100) AS a, floor(value) AS f, ceil(value) AS c, round(sqrt(value), 8) AS s, round(ln(value), 8) AS l, round(exp(value / 1000), 8) AS e, lower(name) AS lo, upper(name) AS up, length(name) AS n, trim(name) AS t, hex(name) AS h, coalesce(value_int, user_id, 7) AS k FROM metrics",
         "SELECT event_id, abs(value - 100) AS a, floor(value)::BIGINT AS f, ceil(value)::BIGINT AS c, round(sqrt(value), 8) AS s, round(ln(value), 8) AS l, round(exp(value / 1000), 8) AS e, lower(name) AS lo, upper(name) AS up, length(name)::INT AS n, trim(name) AS t, lower(hex(name)) AS h, user_id AS k FROM metrics"),
@@ -237,11 +272,20 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
 }
 
 
+def tables_of(q: s.Select | s.Compound | s.With) -> set[str]:
+    """The tables that a statement names."""
+    if isinstance(q, s.With):
+        return tables_of(q.query).union(*(tables_of(x) for _, x in q.named)) - {name for name, _ in q.named}
+    if isinstance(q, s.Compound):
+        return tables_of(q.a) | tables_of(q.b)
+    sources = (q.source, *(j.source for j in q.joins))
+    return set().union(*(tables_of(x.query) if x.query else {x.table} for x in sources))
+
+
 def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    q = parse(text)
-    tables = {q.source.table, *(j.source.table for j in q.joins)}
+    tables = tables_of(parse(text))
     return lambda spark, sf_dir: engine(spark, sf_dir, tables).query(text)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _statement(text) for k, (text, _) in STATEMENTS.items()} | {k: f for k, (f, _) in OPERATORS.items()} | {k: f for k, (f, _) in io_queries.OPERATORS.items()}
-ORACLE_SQL: dict[str, str] = {k: WITH + sql for k, (_, sql) in STATEMENTS.items()} | {k: sql for k, (_, sql) in OPERATORS.items() if sql} | {k: sql for k, (_, sql) in io_queries.OPERATORS.items()}
+ORACLE_SQL: dict[str, str] = {k: (WITH.rstrip() + ", " if sql.startswith("days AS") else WITH) + sql for k, (_, sql) in STATEMENTS.items()} | {k: sql for k, (_, sql) in OPERATORS.items() if sql} | {k: sql for k, (_, sql) in io_queries.OPERATORS.items()}
