@@ -15,6 +15,7 @@ def varied(i):
     return " ".join(s)
 
 
+PICTURES = "\u2605\u2665 \U0001f600\U0001f525 \u2014 \u2022 " * 12
 JUNK = ["#### $$$$ %%%% &&&& **** ==== " * 8, "BUY!! NOW!! CHEAP!! DEALS!! " * 12, "same line here\n" * 40, "word word word word word word word word " * 8, " | ".join(f"cell{i}" for i in range(60))]
 
 
@@ -110,6 +111,11 @@ def test_prose_of_other_scripts_has_no_bad_vote(make, text):
     assert {r.doc_id: r.keep for r in wq.score_quality(make(docs)).collect()}[50]
 
 
+def test_pictures_are_no_letters():
+    vote = dict(zip(wq.NAMES, wq.votes(pa.array([PICTURES + "buy it now"]))[0]))
+    assert vote["letters"] == wq.BAD and vote["function_words"] == wq.BAD
+
+
 def test_against_labels(spark):
     rows = wq.op8_weak_quality(spark, f"{DATA}/sf0.01").join(spark.read.parquet(f"{DATA}/sf0.01/labels.parquet"), "doc_id").collect()
     good, bad = [r for r in rows if r.quality and r[-2] == 1], [r for r in rows if r[-2] == 0]

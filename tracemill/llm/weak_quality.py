@@ -64,9 +64,12 @@ FUNCTION_WORDS = (
 ).split()
 _LETTER = np.zeros(256, np.int64)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC2:0xF5] = 1
+# These begin punctuation, symbols and pictures.
+_LETTER[[0xE2, 0xEE, 0xF0]] = 0
 #: First bytes of letters beyond Latin ones, and of those of scripts written without spaces (Thai, Khmer, Chinese, Japanese and the like).
 _OTHER, _DENSE = np.zeros(256, np.int64), np.zeros(256, np.int64)
-_OTHER[0xCD:0xF5] = 1
+# Not E2, EE, EF and F0: punctuation, symbols, pictures.
+_OTHER[0xCD:0xE2] = _OTHER[0xE3:0xEE] = 1
 _DENSE[[0xE0, 0xE1, *range(0xE3, 0xEA)]] = 1
 _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
