@@ -153,3 +153,36 @@ def test_convenience_columns(spark):
     assert run(e, "select service_name from logs") == [("api",)]
     assert run(e, "select metric_name, value from metrics") == [("cpu", 3.0)]
     assert run(e, "select timestamp_ns from traces") == [(7,)]
+
+
+@pytest.mark.parametrize("text", [
+    "select id from t where row_number() over (order by id) = 1", "select id from t group by rank() over (order by id)", "select row_number() over () from t", "select lower(s) over (order by id) from t", "select ntile(x) over (order by id) from t",
+    "select percentile(n, 0.5) over (order by id) from t", "select cast(id as blob) from t", "select id from t union select id, n from t", "select id from t join u using (none)", "select u.id from t semi join u on t.id = u.id",
+    "select histogram_quantile(0.5, n) from t group by cube (s)", "select a.id from (select id from t) a join (select id from t) a on a.id = a.id", "select x from (select id from t) a", "with a as (select id from t) select n from a",
+])
+def test_statements_that_bind_to_nothing(engine, text):
+    with pytest.raises(BindError):
+        engine.query(text)
+
+
+@pytest.mark.parametrize("text", [
+    "select case when id = 1 then 2 from t", "select case end from t", "select case when id then 1 else 2 from t", "select id from (select id from t)", "select id from t cross join u on t.id = u.id", "select sum(n) over (rows between 1 and 2) from t",
+    "select id from t union", "select id from t limit 1 union select id from t", "with a as select id from t select id from a", "select cast(id) from t",
+])
+def test_statements_that_are_none(engine, text):
+    with pytest.raises(QueryError):
+        engine.query(text)
+
+
+def test_words_of_later_syntax_stay_names(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5, 6)], '`union` int, `case` int, `over` int, `full` int, `with` int, `end` int')
+    e = Engine(spark).register("t", df)
+    assert run(e, "select union, case, over, full, with, t.end from t where case + 1 = 3 and over > 1") == [(1, 2, 3, 4, 5, 6)]
+    assert run(e, "select a.case as case, 7 as union from t as a") == [(2, 7)]
+
+
+def test_nested_statements_prune_and_push_down(spark, tmp_path):
+    spark.createDataFrame(ROWS, "id int, ts long, s string, n long, x double").write.parquet(str(tmp_path / "t"))
+    e = Engine(spark).register("t", spark.read.parquet(str(tmp_path / "t")), time="ts")
+    plan = e.query("with big as (select id, n, x from t where n >= 2) select id from (select id, n from big) b where n < 9 union all select id from big where id = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(n,2)" in plan and "LessThan(n,9)" in plan and "x:double" not in plan

@@ -45,6 +45,10 @@ def has_aggregate(e: s.Expr) -> bool:
     return isinstance(e, s.Call) and e.name in AGGREGATES or any(has_aggregate(c) for c in s.children(e))
 
 
+def has_over(e: s.Expr) -> bool:
+    return isinstance(e, s.Over) or any(has_over(c) for c in s.children(e))
+
+
 def rendered(e: s.Expr) -> str:
     """The name of a column without an alias."""
     if isinstance(e, s.Name):
@@ -397,6 +401,8 @@ class Lowering:
         where = None if q.where is None else self.bound(q.where, {}, False)
         if where is not None and has_aggregate(where):
             raise BindError("an aggregate is not allowed in WHERE")
+        if any(has_over(e) for e in (q.where, q.having, *q.group) if e is not None):
+            raise BindError("OVER is allowed in SELECT and ORDER BY only")
         self.df = self.scan(q.source, where)
         for j in q.joins:
             right = self.scan(j.source, where)
