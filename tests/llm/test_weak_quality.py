@@ -112,7 +112,7 @@ def test_prose_of_other_scripts_has_no_bad_vote(make, text):
 
 
 def test_pictures_are_no_letters():
-    vote = dict(zip(wq.NAMES, wq.votes(pa.array([PICTURES + "buy it now"]))[0]))
+    vote = dict(zip(wq.NAMES, wq.votes(pa.array([PICTURES + "sale prices"]))[0]))
     assert vote["letters"] == wq.BAD and vote["function_words"] == wq.BAD
 
 
