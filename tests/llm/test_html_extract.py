@@ -142,13 +142,13 @@ def test_time_is_in_proportion_to_the_page(unit):
 
     def took(n):
         page, best = (unit * (n // len(unit) + 1))[:n], 9e9
-        for _ in range(2):
+        for _ in range(3):
             began = time.perf_counter()
             he.extract(page)
             best = min(best, time.perf_counter() - began)
         return best
 
-    assert took(200_000) < 3.5 * took(100_000) + 0.05
+    assert took(200_000) < 3.5 * took(100_000) + 0.1
 
 
 class Outline(__import__("html.parser").parser.HTMLParser):

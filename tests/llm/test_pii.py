@@ -189,13 +189,13 @@ def test_time_is_in_proportion_to_the_text(unit):
     def took(n):
         text = (unit * (n // len(unit) + 1))[:n]
         best = 9e9
-        for _ in range(2):
+        for _ in range(3):
             began = time.perf_counter()
             pii.scan(text)
             best = min(best, time.perf_counter() - began)
         return best
 
-    assert took(120_000) < 3 * took(60_000) + 0.05
+    assert took(120_000) < 3 * took(60_000) + 0.1
 
 
 def planted(seed):
