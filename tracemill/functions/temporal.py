@@ -31,24 +31,26 @@ def delta(x: Column, order: Column) -> Column:
 
 def nearest_rank(df: DataFrame, keys: list[str], x: str, q: float, out: str) -> DataFrame:
     """(keys, out): the value of rank round_half_up(q * (n - 1)) of each group's non-null x, counted from 0."""
-    return _quantile(df, keys, x, q, out, False)
+    return quantiles(df, keys, x, [(q, out, False)])
 
 
 def interpolated(df: DataFrame, keys: list[str], x: str, q: float, out: str) -> DataFrame:
     """(keys, out): the value at q * (n - 1) of each group's sorted non-null x, linear between two of them."""
-    return _quantile(df, keys, x, q, out, True)
+    return quantiles(df, keys, x, [(q, out, True)])
 
 
-def _quantile(df: DataFrame, keys: list[str], x: str, q: float, out: str, between: bool) -> DataFrame:
-    """Exact at any size, and no task sorts all of a large group.
+def quantiles(df: DataFrame, keys: list[str], x: str, asked: list[tuple[float, str, bool]]) -> DataFrame:
+    """keys and a column for each (q, its name, whether between two values), of each group with a non-null x.
 
-    Equal values are counted before anything moves.  The values of large groups
-    are put into bins by approximate quantiles of them; the bins' counts tell
-    which bins hold the ranks that are asked for, and only these are sorted.
-    Bins' borders don't show in the result.
+    Exact at any size, and no task sorts all of a large group.  Equal values are
+    counted before anything moves.  The values of large groups are put into bins
+    by approximate quantiles of them; the bins' counts tell which bins hold the
+    ranks that are asked for, and only these are sorted.  Bins' borders don't
+    show in the result.
     """
-    if not 0 <= q <= 1:
-        raise ValueError(f"quantile {q} is not in 0..1")
+    for q, _, _ in asked:
+        if not 0 <= q <= 1:
+            raise ValueError(f"quantile {q} is not in 0..1")
     names = [f"__q{i}" for i in range(len(keys))]
     by = [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
     counted = df.filter(F.col(f"`{x}`").isNotNull()).groupBy(*by, F.col(f"`{x}`").alias("__x")).agg(F.count("*").alias("__n"))
@@ -58,17 +60,18 @@ def _quantile(df: DataFrame, keys: list[str], x: str, q: float, out: str, betwee
     group = Window.partitionBy(*(names or [F.lit(1)]))  # of BINS rows
     sums = binned.groupBy(*names, "__bin").agg(F.sum("__n").alias("__here"))
     sums = sums.withColumns({"__before": F.sum("__here").over(group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__here"), "__all": F.sum("__here").over(group)})
-    place = F.lit(float(q)) * (F.col("__all") - 1)
-    low, high = (F.floor(place), F.ceil(place)) if between else (F.floor(place + 0.5),) * 2
-    hit = sums.filter((F.col("__before") <= high) & (F.col("__before") + F.col("__here") > low)).drop("__here")
+    hit, ranks = F.lit(False), []
+    for q, _, between in asked:
+        place = F.lit(float(q)) * (F.col("__all") - 1)
+        low, high = (F.floor(place), F.ceil(place)) if between else (F.floor(place + 0.5),) * 2
+        ranks.append((place, low, high))
+        hit = hit | ((F.col("__before") <= high) & (F.col("__before") + F.col("__here") > low))
     inside = F.sum("__n").over(Window.partitionBy(*names, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = _joined(binned, hit, [*names, "__bin"], "inner").withColumn("__upto", F.col("__before") + inside)
-    holds = lambda rank: (F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)
-    shown = [F.col(n).alias(k) for k, n in zip(keys, names)]
-    if not between:
-        return ranked.filter(holds(low)).select(*shown, F.col("__x").alias(out))
-    ends = ranked.groupBy(*names).agg(F.max(F.when(holds(low), F.col("__x"))).alias("__a"), F.max(F.when(holds(high), F.col("__x"))).alias("__b"), F.max(place - low).alias("__share"))
-    return ends.select(*shown, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__share")).alias(out))
+    ranked = _joined(binned, sums.filter(hit).drop("__here"), [*names, "__bin"], "inner").withColumn("__upto", F.col("__before") + inside)
+    at = lambda rank: F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank), F.col("__x")))
+    ends = ranked.groupBy(*names).agg(*[c for i, (place, low, high) in enumerate(ranks) for c in (at(low).alias(f"__a{i}"), at(high).alias(f"__b{i}"), F.max(place - low).alias(f"__share{i}"))])
+    made = [((F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__share{i}")) if between else F.col(f"__a{i}")).alias(out) for i, (_, out, between) in enumerate(asked)]
+    return ends.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *made)
 
 
 def _joined(a: DataFrame, b: DataFrame, names: list[str], how: str) -> DataFrame:

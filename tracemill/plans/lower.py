@@ -310,6 +310,8 @@ class Lowering:
         else:
             by = getattr(base, sets.kind)(*names)
         out = by.agg(*(plain or [F.count(F.lit(1)).alias("__n")]))
+        # Quantiles of one value share their work.
+        alike: dict[tuple[s.Expr, s.Expr | None], list[s.Call]] = {}
         for c in ranks:
             between = c.name == "percentile"
             if between and len(c.args) != 2:
@@ -318,11 +320,12 @@ class Lowering:
                 raise BindError("histogram_quantile(q, x) takes two arguments, and a number of buckets that is not used")
             if any(map(has_aggregate, c.args)):
                 raise BindError(f"{c.name}() can't take these arguments")
-            value, q = (c.args[0], c.args[1]) if between else (c.args[1], c.args[0])
-            x = self.column(value).cast("double") if between else self.column(value)
-            x = x if c.where is None else F.when(self.column(c.where), x)
-            pick = temporal.interpolated if between else temporal.nearest_rank
-            found = pick(base.withColumn("__x_in", x), names, "__x_in", self.fraction(q), made[c])
+            alike.setdefault((c.args[0] if between else c.args[1], c.where), []).append(c)
+        for (value, where), mine in alike.items():
+            x = self.column(value)
+            x = x if where is None else F.when(self.column(where), x)
+            asked = [(self.fraction(c.args[1] if c.name == "percentile" else c.args[0]), made[c], c.name == "percentile") for c in mine]
+            found = temporal.quantiles(base.withColumn("__x_in", x), names, "__x_in", asked)
             found = found.withColumnsRenamed({n: f"__r{n}" for n in names})
             on = F.lit(True)
             for n in names:
