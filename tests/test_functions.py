@@ -56,7 +56,7 @@ def test_severities(spark):
     assert [r[0] for r in df.select(severity_name(F.col("n"))).collect()] == ["UNSPECIFIED", "TRACE", "TRACE", "DEBUG", "INFO", "WARN", "ERROR", "ERROR", "FATAL", "UNSPECIFIED"]
 
 
-@pytest.mark.parametrize("large", [10**6, 20])
+@pytest.mark.parametrize("large", [10**6, 20, None])
 @pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 0.95, 1.0])
 def test_grouped_quantiles_of_large_and_small_groups(spark, monkeypatch, large, q):
     """Groups of one value to thousands, null keys and values, ties: with bins and without."""
@@ -64,7 +64,8 @@ def test_grouped_quantiles_of_large_and_small_groups(spark, monkeypatch, large,
 
     from tracemill.functions import temporal
 
-    monkeypatch.setattr(temporal, "LARGE", large)
+    monkeypatch.setattr(temporal, "LARGE", large or 1)
+    monkeypatch.setattr(temporal, "SMALL_BYTES", 0 if large else 1 << 99)
     r = random.Random(7)
     rows = [(k, r.choice([None, float(r.randrange(40)), r.gauss(0, 50)])) for k, n in (("a", 3000), ("b", 300), ("c", 1), (None, 500)) for _ in range(n)] + [("d", None), ("e", 2.5)]
     df = spark.createDataFrame(rows, "k string, x double")

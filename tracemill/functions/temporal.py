@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.sizes import estimated_bytes
+
 SECOND = 10**9
 #: Parts that the values of a group are ranked in if it has more than LARGE distinct ones.
 BINS, LARGE = 64, 1_000_000
+#: Estimated size of an input up to which its groups are ranked without bins: none can be large.
+SMALL_BYTES = 32 << 20
 
 
 def time_bucket(width_ns: int, ts: Column) -> Column:
@@ -54,24 +58,39 @@ def quantiles(df: DataFrame, keys: list[str], x: str, asked: list[tuple[float, s
     names = [f"__q{i}" for i in range(len(keys))]
     by = [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
     counted = df.filter(F.col(f"`{x}`").isNotNull()).groupBy(*by, F.col(f"`{x}`").alias("__x")).agg(F.count("*").alias("__n"))
+    if estimated_bytes(df) <= SMALL_BYTES:
+        group = Window.partitionBy(*(names or [F.lit(1)]))
+        upto = F.sum("__n").over(group.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+        return _picked(counted.withColumns({"__upto": upto, "__all": F.sum("__n").over(group)}), keys, names, asked)
     edges = counted.groupBy(*names).agg(F.count("*").alias("__many"), F.percentile_approx(F.col("__x").cast("double"), [i / BINS for i in range(1, BINS)], 100 * BINS).alias("__edges")).filter(F.col("__many") > LARGE)
     binned = _joined(counted, edges.select(*names, "__edges"), names, "left")
     binned = binned.withColumn("__bin", F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col("__x").cast("double"))), F.lit(0))).drop("__edges")
     group = Window.partitionBy(*(names or [F.lit(1)]))  # of BINS rows
     sums = binned.groupBy(*names, "__bin").agg(F.sum("__n").alias("__here"))
     sums = sums.withColumns({"__before": F.sum("__here").over(group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__here"), "__all": F.sum("__here").over(group)})
-    hit, ranks = F.lit(False), []
+    hit = F.lit(False)
     for q, _, between in asked:
-        place = F.lit(float(q)) * (F.col("__all") - 1)
-        low, high = (F.floor(place), F.ceil(place)) if between else (F.floor(place + 0.5),) * 2
-        ranks.append((place, low, high))
+        _, low, high = _ranks(q, between)
         hit = hit | ((F.col("__before") <= high) & (F.col("__before") + F.col("__here") > low))
     inside = F.sum("__n").over(Window.partitionBy(*names, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
     ranked = _joined(binned, sums.filter(hit).drop("__here"), [*names, "__bin"], "inner").withColumn("__upto", F.col("__before") + inside)
+    return _picked(ranked, keys, names, asked)
+
+
+def _ranks(q: float, between: bool) -> tuple[Column, Column, Column]:
+    """(place, the ranks below and above it) of a quantile among __all values."""
+    place = F.lit(float(q)) * (F.col("__all") - 1)
+    return (place, F.floor(place), F.ceil(place)) if between else (place, *(F.floor(place + 0.5),) * 2)
+
+
+def _picked(ranked: DataFrame, keys: list[str], names: list[str], asked: list[tuple[float, str, bool]]) -> DataFrame:
+    """The quantiles from rows that say which ranks they hold: __n of them, up to __upto."""
     at = lambda rank: F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank), F.col("__x")))
+    ranks = [_ranks(q, between) for q, _, between in asked]
     ends = ranked.groupBy(*names).agg(*[c for i, (place, low, high) in enumerate(ranks) for c in (at(low).alias(f"__a{i}"), at(high).alias(f"__b{i}"), F.max(place - low).alias(f"__share{i}"))])
     made = [((F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__share{i}")) if between else F.col(f"__a{i}")).alias(out) for i, (_, out, between) in enumerate(asked)]
-    return ends.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *made)
+    # Without keys an aggregate of no rows is a row.
+    return ends.filter(F.col("__a0").isNotNull()).select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *made)
 
 
 def _joined(a: DataFrame, b: DataFrame, names: list[str], how: str) -> DataFrame:

@@ -19,10 +19,11 @@ from tracemill.catalog import Catalog, Table
 from tracemill.errors import BindError
 from tracemill.functions import temporal
 from tracemill.functions.scalars import SCALARS, Scalar
-from tracemill.operators.joins import BROADCAST_BYTES, estimated_bytes
+from tracemill.operators.joins import BROADCAST_BYTES
 from tracemill.plans import syntax as s
 from tracemill.plans.bounds import bounds, constant
 from tracemill.plans.parser import interval_ns
+from tracemill.sizes import estimated_bytes
 
 AGGREGATES = frozenset("count sum avg min max stddev percentile rate delta histogram_quantile count_distinct approx_count_distinct".split())
 #: An estimate of size from which there is none.

@@ -102,7 +102,8 @@ def _nested(shape: str):
 def quote(x: Column) -> Column:
     """Text as a JSON string."""
     one = F.to_json(F.array(x))
-    return F.substring(one, F.lit(2), F.length(one) - 2)
+    # Most texts have nothing to escape.
+    return F.when(x.rlike(r'["\\\x00-\x1f\x7f-\x{10ffff}]'), F.substring(one, F.lit(2), F.length(one) - 2)).otherwise(F.concat(F.lit('"'), x, F.lit('"')))
 
 
 def holds_more(v: Column) -> Column:
