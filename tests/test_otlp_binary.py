@@ -6,7 +6,9 @@ import struct
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tracemill.inputs import _sized
 from tracemill.schema import SIGNALS
 from tracemill.sources import otlp_binary as ob
 
@@ -99,3 +101,14 @@ def test_broken_requests_give_nothing(spark, tmp_path):
     assert [r.i for r in ob.rejected(df, "logs").collect()] == [2, 4]
     (tmp_path / "a.bin").write_bytes(whole)
     assert ob.read(spark, str(tmp_path), "logs").count() == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 100, 127, 128, 5000])
+def test_requests_of_fields_in_fields_are_small_plans(spark, n):
+    """Each level names its parts once, not once for each use of their length."""
+    column, want = F.col("x"), b"a" * n
+    for k in range(1, 6):
+        column, want = _sized(k, column), msg((k, want))
+    df = spark.createDataFrame([("61" * n,)], "x string").select(F.unhex(column).alias("content"))
+    assert df._jdf.queryExecution().analyzed().expressions().toString().count("x#") == 1
+    assert bytes(df.collect()[0].content) == want
