@@ -1,7 +1,12 @@
+import math
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.engine import Engine
 from tracemill.functions import temporal
+from tracemill.functions.scalars import SCALARS
 from tracemill.schema import severity_name
 
 
@@ -83,3 +88,20 @@ def test_grouped_quantiles_of_large_and_small_groups(spark, monkeypatch, large,
         assert near[k] == xs[int(q * (len(xs) - 1) + 0.5)]
         assert linear[k] == pytest.approx(float(np.quantile(xs, q)), abs=1e-9)
     assert temporal.nearest_rank(df, [], "x", q, "v").first().v == sorted(x for _, x in rows if x is not None)[int(q * (sum(x is not None for _, x in rows) - 1) + 0.5)]
+
+
+def test_logarithms_of_no_positive_numbers(spark):
+    """ln as DuckDB has it, of zeros and of whole numbers too."""
+    df = spark.createDataFrame([(1.0, 1), (0.0, 0), (-0.0, 0), (-2.0, -2), (math.inf, 1), (math.nan, 1), (None, None)], "x double, n long")
+    ln = SCALARS["ln"][2]
+    got = [[r.a, r.b] for r in df.select(ln(F.col("x")).alias("a"), ln(F.col("n")).alias("b")).collect()]
+    want = [[0.0, 0.0], [-math.inf, -math.inf], [-math.inf, -math.inf], [math.nan, math.nan], [math.inf, 0.0], [math.nan, 0.0], [None, None]]
+    assert repr(got) == repr(want)
+
+
+def test_statement_with_logarithms_against_duckdb(spark):
+    """Rows that sf0.001 has none of: value 0, as in sf0.1."""
+    rows = [(k, v) for k, v in enumerate([0.0, 0.5, 1.0, 250.0])]
+    e = Engine(spark).register("t", spark.createDataFrame(rows, "event_id int, value double"), time="event_id")
+    want = duckdb.sql("SELECT event_id, round(ln(value), 8) AS l FROM (VALUES (0, 0.0::DOUBLE), (1, 0.5), (2, 1.0), (3, 250.0)) t(event_id, value)").fetchall()
+    assert sorted(tuple(r) for r in e.query("SELECT event_id, round(ln(value), 8) AS l FROM t").collect()) == sorted(want)

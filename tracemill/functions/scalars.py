@@ -15,13 +15,20 @@ from tracemill.schema import severity_name
 
 Scalar = tuple[int, int, Callable[..., Column]]
 
+
+def natural_log(x: Column) -> Column:
+    """Minus infinity of zero and NaN below it, as IEEE 754 has it; Spark's gives null for both."""
+    x = x.cast("double")
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.ln(x))
+
+
 SCALARS: dict[str, Scalar] = {
     "round": (1, 2, lambda x, n=0: F.round(x.cast("double"), n)),
     "abs": (1, 1, F.abs),
     "floor": (1, 1, F.floor),
     "ceil": (1, 1, F.ceil),
     "sqrt": (1, 1, F.sqrt),
-    "ln": (1, 1, F.ln),
+    "ln": (1, 1, natural_log),
     "exp": (1, 1, F.exp),
     "lower": (1, 1, F.lower),
     "upper": (1, 1, F.upper),
