@@ -6,8 +6,10 @@ import os
 import random
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
+from tracemill import io_queries
 from tracemill import queries as q
 from tracemill.inputs import HOUR, NOW, engine
 
@@ -121,3 +123,18 @@ def test_whole_tables(spark, duck, text, sql):
     if "ORDER" in text:
         assert [tuple(r) for r in got.collect()] == want.fetchall()
     same(got, want)
+
+
+@pytest.mark.parametrize("name", ["stream_sessions", "stream_windows", "stream_join"])
+def test_streams_of_many_files(spark, duck, monkeypatch, tmp_path, name):
+    """No file holds all rows, so no task has to; the files are one batch, and none of their rows is late."""
+    sizes = []
+
+    def files(spark, out=io_queries.kept):
+        monkeypatch.setattr(io_queries, "kept", lambda df, folder: sizes.extend(pq.read_metadata(p).num_rows for p in glob.glob(f"{folder}/in/*.parquet")) or out(df, folder))
+        return str(tmp_path / "stream")
+
+    monkeypatch.setattr(io_queries, "shared_folder", files)
+    monkeypatch.setattr(io_queries, "FILE_ROWS", 100, raising=False)
+    same(q.QUERIES[name](spark, DATA), duck.sql(q.ORACLE_SQL[name]))
+    assert max(sizes) <= 100 and sum(sizes) == duck.sql("SELECT count(*) FROM events").fetchall()[0][0] + 1

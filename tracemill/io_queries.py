@@ -180,13 +180,16 @@ def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams of events. A last row far ahead lets the watermark pass all others.
 
 _FAR = T2 + 400 * DAY
+#: Most rows of a file that a stream reads, so that no task has to take more of them at once than its share of the bytes.
+FILE_ROWS = 250_000
 
 
 def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     folder = shared_folder(spark)
     e = metric_rows(spark, sf_dir)
     last = spark.createDataFrame([(-1, _FAR, -1, "end", 0.0)], e.schema)
-    e.union(last).coalesce(1).write.parquet(f"{folder}/in")
+    # Files of any number: without a limit a stream takes all that is there as one batch, so no row comes late.
+    e.union(last).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/in")
     out = build(spark.readStream.schema(e.schema).parquet(f"{folder}/in"))
     out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return kept(spark.read.schema(out.schema).parquet(f"{folder}/out"), folder)
