@@ -1,6 +1,8 @@
+import glob
 import random
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,32 @@ def test_range_join(spark):
     assert sorted((x.p, x.s) for x in got.collect()) == sorted((p, s) for p, at in points for s, lo, hi in spans if lo <= at <= hi)
 
 
+@pytest.mark.parametrize("block,known", [(1, False), (3, True), (504, True), (504, False)])
+def test_range_join_by_blocks(spark, monkeypatch, tmp_path, block, known):
+    """Ties, repeated rows, nulls, empty spans and columns of one name on both sides."""
+    monkeypatch.setattr(joins, "BLOCK", block)
+    r = random.Random(block)
+    points = [(i % 70, r.choice([None, *range(-20, 20)])) for i in range(90)]
+    spans = [(i, a, b) for i in range(30) for a, b in [(r.choice([None, *range(-30, 20)]), r.choice([None, *range(-30, 30)]))]]
+    p, s = spark.createDataFrame(points, "id int, at long"), spark.createDataFrame(spans, "id int, low long, high long")
+    if known:
+        p.write.parquet(str(tmp_path / "p"))
+        p = spark.read.parquet(str(tmp_path / "p"))
+    got = joins.within(p, s, "at", "low", "high", 7)
+    assert got.columns == ["id", "at", "id", "low", "high"]
+    want = [(i, at, *x) for i, at in points for x in spans if None not in (at, *x) and x[1] <= at <= x[2]]
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
+def test_range_join_gives_runs_of_a_span(spark, tmp_path):
+    """Pairs are ordered so that files hold them in few bytes: a span's points follow each other."""
+    points, spans = spark.range(3000).select("id", F.col("id").alias("at")), spark.range(200).select(F.col("id").alias("s"), F.lit(0).alias("low"), F.lit(2999).alias("high"))
+    joins.within(points, spans, "at", "low", "high", 3000).select("s", "id").write.parquet(str(tmp_path / "out"))
+    found = [pq.read_table(f)["s"].to_pylist() for f in glob.glob(f"{tmp_path}/out/*.parquet")]
+    assert sum(map(len, found)) == 600_000
+    assert sum(a != b for x in found for a, b in zip(x, x[1:])) < 6000
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("a", i * 10**9, float(v)) for i, v in enumerate([1, 1, 4, 4])] + [("b", 0, 9.0), ("b", 0, 8.0)], "k string, t long, v double")
     assert [r.z for r in windows.rolling_z(df, "v", ["t"], ["k"], 1).filter("k = 'a'").orderBy("t").collect()] == [None, None, 1.0, None]
